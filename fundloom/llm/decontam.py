@@ -42,13 +42,12 @@ def index(items: DataFrame, least: float = LEAST) -> DataFrame:
     """items(item_id, text) as item_id, n (its shingles), shingle, h, sketched, needed (least sketch hashes that a leak shows)."""
     cut = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.explode(F.arrays_zip(shingles(F.col("w"), "text").alias("shingle"), shingles(F.col("w"), "hash").alias("h"))).alias("x"))
     one = cut.select("item_id", "x.shingle", "x.h").distinct()
-    size = one.groupBy("item_id").agg(F.count("*").alias("n"))
+    item = Window.partitionBy("item_id")
+    sized = one.withColumn("n", F.count("*").over(item))
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     missed = lambda n: n - F.ceil(n * F.lit(least) - F.lit(1e-9))
-    size = size.select("item_id", "n", (missed(largest) + 1).cast("long").alias("k"), missed(F.col("n")).cast("long").alias("may_miss"))
-    order = F.row_number().over(Window.partitionBy("item_id").orderBy("h", "shingle"))
-    ranked = one.join(size, one.item_id.eqNullSafe(size.item_id)).select(one.item_id, "n", "shingle", "h", "k", "may_miss", order.alias("at"))
-    return ranked.select("item_id", "n", "shingle", "h", (F.col("at") <= F.col("k")).alias("sketched"), (F.least("k", "n") - F.col("may_miss")).alias("needed"))
+    sized = sized.select("*", (missed(largest) + 1).cast("long").alias("k"), missed(F.col("n")).cast("long").alias("may_miss"), F.row_number().over(item.orderBy("h", "shingle")).alias("at"))
+    return sized.select("item_id", "n", "shingle", "h", (F.col("at") <= F.col("k")).alias("sketched"), (F.least("k", "n") - F.col("may_miss")).alias("needed"))
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, secret_scan, url_filter
-from .common import materialize, table
+from . import chat, decontam, langid, licences, mixing, quality, rules, secret_scan, simhash, url_filter
+from .common import crc_mod, materialize, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs, crc_mod(F.col("doc_id"), 4) == 2)
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return quality.classify(docs, labels, crc_mod(F.col("doc_id"), 3) == 1)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return rules.judged(docs, labels)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +46,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -37,4 +61,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op6_url_filter, op7_decontamination, op9_mixing, op10_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_chat_formatting,
+        op6_url_filter, op7_decontamination, op8_simhash, op9_mixing, op10_secret_scan,
+    )
+}
+#: SQL for those that SQL can express; the others are tested against brute-force versions in tests/llm.
+ORACLES: dict[str, str] = {}

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import free_name, materialize
 
 SCOPE = 200
 # What a secret name, an access identifier and a hex string look like, and how long a match must be to stay.
@@ -112,3 +112,15 @@ def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     return F.aggregate(spans, start, step, lambda acc: F.concat(F.concat_ws("", acc["out"]), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]", scope: int = SCOPE) -> DataFrame:
+    """docs with their spans replaced in the text, and n_chars, where there is such a column, counted anew."""
+    scanned, names = scan(docs, text)
+    out = find(materialize(scanned), names, scope)
+    spans = F.col(next(c for c in out.columns if c not in scanned.columns))
+    column = F.when(F.size(spans) > 0, redact(F.col(f"`{text}`"), spans, mark)).otherwise(F.col(f"`{text}`"))
+    out = out.withColumn(text, column)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length(f"`{text}`").cast("long"), F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,7 +5,7 @@ is a rule that a shorter one with the same verdict and no less confidence covers
 urls that have this token are looked at, and the rule fires if all its tokens are there.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by its tokens like any other; no
-labels, or no rule that survives: the verdict is ``allow``; of several rules that fire, the most confident wins, then the larger
+labels, too few, or no rule that survives: the verdict is ``allow``; of several rules that fire, the most confident wins, then the larger
 support, then ``block``; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -19,8 +19,10 @@ from .common import ascii_lower, materialize
 
 #: (verdict, host, path); fixed by the task.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-MIN_SUPPORT = 0.005
+MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.6
+#: A rule must hold for so many labelled urls at least; with fewer labelled urls nothing is mined.
+MIN_ROWS = 20
 #: Items that stand for a label can't be tokens: tokens hold no blank.
 LABEL = {"block": "label block", "allow": "label allow"}
 
@@ -49,7 +51,7 @@ def tokens(url: Column) -> Column:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """labelled(tokens, verdict) to rule_id, wanted (the tokens), verdict, confidence, support."""
     items = labelled.select(F.concat("tokens", F.array(F.when(F.col("verdict") == "block", LABEL["block"]).otherwise(LABEL["allow"]))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / items.count()), minConfidence=min_confidence).fit(items)
     verdict = F.when(F.col("consequent")[0] == LABEL["block"], "block").when(F.col("consequent")[0] == LABEL["allow"], "allow")
     found = materialize(
         model.associationRules.select(F.array_sort("antecedent").alias("wanted"), verdict.alias("verdict"), "confidence", "support")
@@ -87,7 +89,7 @@ def judge(pages: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPOR
     host, path = parts(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"), tokens(F.col("url")).alias("tokens"))
     cut = cut.withColumn("fixed", host_rule(F.col("host"), F.col("path")))
-    if taught.isEmpty():
+    if taught.count() < MIN_ROWS:
         nothing = F.lit(None).cast("string")
         return cut.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", F.lit("allow")).alias("verdict"), nothing.alias("mined"), F.lit(None).cast("double").alias("confidence"))
     sets = cut.groupBy("tokens").agg(F.count("*").alias("n"))
