@@ -1,4 +1,6 @@
 """All queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .operators import aggregates, finance, reporting, reshape, relational, scalars  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
