@@ -70,10 +70,10 @@ def b09(t):
     return t.inv.select(F.date_format("d", "yyyy-MM").alias("period")).filter(F.col("period").between("1996-11", "1997-02")).groupBy("period").agg(F.count("*").alias("n"))
 
 
-@query("b10_default_scope", "SELECT company_id, company FROM company WHERE NOT (company_id % 50 = 0)")
+@query("b10_default_scope", "SELECT company_id, company FROM company WHERE NOT (segment = 'HOUSEHOLD')")
 def b10(t):
-    """Sentinel rows stay hidden; each fiftieth company stands for one."""
-    base = t.company.withColumn("is_aggregate", F.col("company_id") % 50 == 0)
+    """Sentinel rows stay hidden; one segment stands for them."""
+    base = t.company.withColumn("is_aggregate", F.col("segment") == "HOUSEHOLD")
     return base.filter("not is_aggregate").select("company_id", "company")
 
 
@@ -129,10 +129,10 @@ def c05(t):
     return own.join(t.company.select("company_id"), "company_id", "left_semi").select("company_id", "r.d", dbl("r.cost").alias("cost"))
 
 
-@query("c05b_as_of_join", """SELECT r.inv_id, r.d, r.n, r.gross::DOUBLE AS gross, (SELECT max(v.d) FROM (SELECT DISTINCT d FROM inv WHERE stage = '1-URGENT') v WHERE v.d <= r.d) AS price_date FROM recv r WHERE r.line = 'O' AND r.inv_id % 7 = 0""")
+@query("c05b_as_of_join", """SELECT r.inv_id, r.d, r.n, r.gross::DOUBLE AS gross, (SELECT max(v.d) FROM (SELECT DISTINCT d FROM inv WHERE stage = '1-URGENT') v WHERE v.d <= r.d) AS price_date FROM recv r WHERE r.flag = 'R'""")
 def c05b(t):
     """Backward as-of join of receipts to price dates: union, then the last date so far within each month and the carried one."""
-    rows = t.recv.filter("line = 'O' and inv_id % 7 = 0")
+    rows = t.recv.filter("flag = 'R'")
     dates = t.inv.filter("stage = '1-URGENT'").select("d").distinct().withColumn("p", F.col("d"))
     days = rows.select("d").distinct().withColumn("p", F.lit(None).cast("date"))
     both = days.unionByName(dates).withColumn("m", F.trunc("d", "month"))

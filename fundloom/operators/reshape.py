@@ -1,0 +1,234 @@
+"""Extraction by reshaping, dedup, merge, reconcile, validate (inventory I and J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import close_to, entity
+from ..registry import query
+from ..sources.tables import dbl, ratio, total
+from .finance import BASE, base
+from .relational import LATEST_VAL, latest_valuation
+
+
+def cells(t) -> DataFrame:
+    """A sheet a nation as a grid of cells: a title, a header of months on the third row, an entity a row."""
+    owners = t.customer.select(F.col("c_nationkey").alias("sheet"), F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
+    at = F.row_number().over(Window.partitionBy("sheet").orderBy("id")) + 3
+    body = owners.withColumn("row", at)
+    values = F.array(F.col("c_name"), *[F.concat(F.lit(""), F.round(F.col("c_acctbal") + k, 2).cast("string")) for k in (1, 2, 3)])
+    grid = body.select("sheet", "row", F.posexplode(values).alias("col", "raw"))
+    sheets = t.nation.select(F.col("n_nationkey").alias("sheet"))
+    head = sheets.select("sheet", F.lit(3).alias("row"), F.posexplode(F.array(*map(F.lit, ("Company", "Apr-24", "May-24", "Jun-24")))).alias("col", "raw"))
+    title = sheets.select("sheet", F.lit(1).alias("row"), F.lit(0).alias("col"), F.lit("Monthly pack").alias("raw"))
+    return title.unionByName(head).unionByName(grid)
+
+
+def is_text(c):
+    return c.isNotNull() & c.try_cast("double").isNull()
+
+
+@query("a03_cell_lookup", "SELECT n_nationkey AS sheet, 'May-24' AS raw FROM nation")
+def a03(t):
+    """Cell C3 of each sheet."""
+    return cells(t).filter("row = 3 and col = 2").select("sheet", "raw")
+
+
+@query("i01_header_row", "SELECT n_nationkey AS sheet, 3 AS header FROM nation")
+def i01(t):
+    """Of the first 20 rows the one with most text cells, three at least; the earliest of equals."""
+    n = cells(t).filter("row <= 20").groupBy("sheet", "row").agg(F.count_if(is_text(F.col("raw"))).alias("n")).filter("n >= 3")
+    return n.groupBy("sheet").agg(F.max_by("row", F.struct("n", -F.col("row"))).alias("header"))
+
+
+UNPIVOT = """SELECT c_custkey AS id, m AS period, round(c_acctbal + k, 2) AS amount FROM customer, (VALUES ('2024-04', 1), ('2024-05', 2), ('2024-06', 3)) v(m, k)"""
+
+
+def long_periods(t) -> DataFrame:
+    """Entities by periods to one row each: header cells joined to the cells under them."""
+    grid = cells(t)
+    head = grid.filter("row = 3 and col > 0").select("sheet", "col", F.date_format(F.try_to_date("raw", "MMM-yy"), "yyyy-MM").alias("period"))
+    names = grid.filter("row > 3 and col = 0").select("sheet", "row", F.regexp_extract("raw", "([0-9]+)$", 1).try_cast("bigint").alias("id"))
+    body = grid.filter("row > 3 and col > 0").select("sheet", "row", "col", F.col("raw").try_cast("double").alias("amount"))
+    return body.join(head, ["sheet", "col"]).join(names, ["sheet", "row"]).select("id", "period", "amount")
+
+
+@query("i04_unpivot_periods", UNPIVOT)
+def i04(t):
+    return long_periods(t)
+
+
+@query("i02_tabular_by_alias", "SELECT c_custkey AS id, round(c_acctbal + 1, 2) AS april, round(c_acctbal + 3, 2) AS june FROM customer")
+def i02(t):
+    """Columns found by what their header is called, not by place."""
+    return long_periods(t).groupBy("id").pivot("period", ["2024-04", "2024-06"]).agg(F.first("amount")).select("id", F.col("2024-04").alias("april"), F.col("2024-06").alias("june"))
+
+
+@query("i03_key_value_first_wins", "SELECT holding_id, arg_min(fair, (ts, val_id)) FILTER (methodology = 'signup')::DOUBLE AS signup, arg_min(fair, (ts, val_id)) FILTER (methodology = 'error')::DOUBLE AS error FROM val GROUP BY 1")
+def i03(t):
+    first = lambda m: dbl(F.min_by(F.when(F.col("methodology") == m, F.col("fair")), F.when(F.col("methodology") == m, F.struct("ts", "val_id")))).alias(m)
+    return t.val.groupBy("holding_id").agg(first("signup"), first("error"))
+
+
+@query("i05_wide_events", "SELECT inv_id, side, amount FROM (SELECT inv_id, 'gross' AS side, gross::DOUBLE AS amount, flag FROM recv UNION ALL SELECT inv_id, 'tax', tax::DOUBLE, flag FROM recv) WHERE amount <> 0 AND flag = 'A'")
+def i05(t):
+    both = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), dbl(s).alias("amount")) for s in ("gross", "tax")]))
+    return t.recv.filter("flag = 'A'").select("inv_id", both.alias("x")).select("inv_id", "x.*").filter("amount <> 0")
+
+
+@query("i06_stacked_tables", "SELECT holding_id, grp::BIGINT AS grp, count(*) AS n FROM (SELECT *, count(*) FILTER (methodology = 'signup') OVER (PARTITION BY holding_id ORDER BY ts, val_id) AS grp FROM val) GROUP BY 1, 2")
+def i06(t):
+    """Each header row (here: a signup) opens a new table beneath it."""
+    w = Window.partitionBy("holding_id").orderBy("ts", "val_id").rowsBetween(Window.unboundedPreceding, 0)
+    return t.val.withColumn("grp", F.count(F.when(F.col("methodology") == "signup", 1)).over(w)).groupBy("holding_id", "grp").agg(F.count("*").alias("n"))
+
+
+@query("i09_items_to_columns", "SELECT year(d)::INT AS fy, abs(coalesce(sum(cost) FILTER (stage = '1-URGENT'), 0))::DOUBLE AS revenue, abs(coalesce(sum(-cost) FILTER (stage = '2-HIGH'), 0))::DOUBLE AS opex FROM inv GROUP BY 1")
+def i09(t):
+    signed = t.inv.withColumn("x", F.when(F.col("stage") == "2-HIGH", -F.col("cost")).otherwise(F.col("cost")))
+    g = signed.groupBy(F.year("d").alias("fy")).pivot("stage", ["1-URGENT", "2-HIGH"]).agg(F.sum("x"))
+    return g.select("fy", *[F.coalesce(dbl(F.abs(F.col(f"`{a}`"))), F.lit(0.0)).alias(b) for a, b in (("1-URGENT", "revenue"), ("2-HIGH", "opex"))])
+
+
+@query("i10_row_routing", "SELECT CASE WHEN flag = 'R' THEN 'distribution' WHEN tax = 0 THEN 'capital_call' WHEN line = 'O' THEN 'valuation' ELSE 'kpi' END AS block, count(*) AS n FROM recv GROUP BY 1")
+def i10(t):
+    """The first predicate that holds decides the block."""
+    block = F.when(F.col("flag") == "R", "distribution").when(F.col("tax") == 0, "capital_call").when(F.col("line") == "O", "valuation").otherwise("kpi")
+    return t.recv.groupBy(block.alias("block")).agg(F.count("*").alias("n"))
+
+
+@query("i11_labelled_aggregates", "SELECT metric, min(p_partkey) AS part_id FROM part JOIN (VALUES ('rings', 'ring', 'small'), ('widgets', 'widget', 'red'), ('bolts', 'bolt', 'zzz')) r(metric, need, never) ON contains(p_name, need) AND NOT contains(p_name, never) GROUP BY 1")
+def i11(t):
+    """Rules with a token that is needed and one that is forbidden; the first match of each metric. Rules are a fixed list: one pass."""
+    rules = (("rings", "ring", "small"), ("widgets", "widget", "red"), ("bolts", "bolt", "zzz"))
+    hits = F.filter(F.array(*[F.when(F.col("p_name").contains(need) & ~F.col("p_name").contains(never), F.lit(m)) for m, need, never in rules]), lambda x: x.isNotNull())
+    return t.part.select("p_partkey", F.explode(hits).alias("metric")).groupBy("metric").agg(F.min("p_partkey").alias("part_id"))
+
+
+@query("i13_backfill", """SELECT company_id, coalesce(CASE WHEN company_id % 3 > 0 THEN segment END, (SELECT arg_min(stage, (d, inv_id)) FROM inv i WHERE i.company_id = company.company_id), 'unknown') AS sector FROM company""")
+def i13(t):
+    """The first source that names it: the register, else the earliest investment."""
+    other = t.inv.groupBy("company_id").agg(F.min_by("stage", F.struct("d", "inv_id")).alias("stage"))
+    return t.company.join(other, "company_id", "left").select("company_id", F.coalesce(F.when(F.col("company_id") % 3 > 0, F.col("segment")), "stage", F.lit("unknown")).alias("sector"))
+
+
+@query("i14_investment_grouping", "SELECT company_id, status, stage, sum(cost)::DOUBLE AS total, min(d) AS first_date, count(*) AS tranches FROM inv GROUP BY 1, 2, 3")
+def i14(t):
+    return t.inv.groupBy("company_id", "status", "stage").agg(total("cost", "total"), F.min("d").alias("first_date"), F.count("*").alias("tranches"))
+
+
+@query("i16_date_ladder", "SELECT i.inv_id, coalesce(CASE WHEN i.inv_id % 2 = 0 THEN i.d END, f.d, DATE '1995-01-01') AS invested FROM inv i LEFT JOIN (SELECT inv_id, min(d) AS d FROM recv GROUP BY 1) f USING (inv_id)")
+def i16(t):
+    f = t.recv.groupBy("inv_id").agg(F.min("d").alias("fd"))
+    return t.inv.join(f, "inv_id", "left").select("inv_id", F.coalesce(F.when(F.col("inv_id") % 2 == 0, F.col("d")), "fd", F.lit("1995-01-01").cast("date")).alias("invested"))
+
+
+@query("i18_exit_only", "SELECT DISTINCT l_partkey AS company_id FROM lineitem WHERE l_partkey NOT IN (SELECT company_id FROM company)")
+def i18(t):
+    return t.recv.select(F.col("part_id").alias("company_id")).join(t.company, "company_id", "left_anti").distinct()
+
+
+@query("j01_null_fill_dedup", """WITH e AS (SELECT val_id, holding_id, d, CASE WHEN val_id % 2 = 0 THEN fair END AS fair, CASE WHEN val_id % 3 = 0 THEN holding END AS holding FROM val)
+  SELECT holding_id, d, (arg_min(fair, val_id) FILTER (fair IS NOT NULL))::DOUBLE AS fair, (arg_min(holding, val_id) FILTER (holding IS NOT NULL))::DOUBLE AS holding FROM e GROUP BY 1, 2""")
+def j01(t):
+    """One row a natural key: of each field the first value that is there."""
+    e = t.val.select("val_id", "holding_id", "d", F.when(F.col("val_id") % 2 == 0, F.col("fair")).alias("fair"), F.when(F.col("val_id") % 3 == 0, F.col("holding")).alias("holding"))
+    first = lambda c: dbl(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("val_id")))).alias(c)
+    return e.groupBy("holding_id", "d").agg(first("fair"), first("holding"))
+
+
+@query("j02_layer_merge", "SELECT holding_id, arg_max(fair, (CASE methodology WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END, val_id))::DOUBLE AS value, count(DISTINCT methodology) - 1 AS collisions FROM val GROUP BY 1")
+def j02(t):
+    layer = F.array_position(F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error"))), F.col("methodology"))
+    return t.val.groupBy("holding_id").agg(dbl(F.max_by("fair", F.struct(layer, "val_id"))).alias("value"), (F.count_distinct("methodology") - 1).alias("collisions"))
+
+
+@query("j03_newest_per_key", "SELECT holding_id, methodology, d, max(val_id) AS val_id FROM val GROUP BY 1, 2, 3")
+def j03(t):
+    return t.val.groupBy("holding_id", "methodology", "d").agg(F.max("val_id").alias("val_id"))
+
+
+@query("j04_trusted_labels", "SELECT holding_id, methodology AS metric, arg_min(fair, val_id)::DOUBLE AS value FROM val WHERE methodology IN ('click', 'purchase') AND fair BETWEEN 1 AND 400 GROUP BY 1, 2")
+def j04(t):
+    ok = F.col("methodology").isin("click", "purchase") & F.col("fair").between(1, 400)
+    return t.val.filter(ok).groupBy("holding_id", F.col("methodology").alias("metric")).agg(dbl(F.min_by("fair", "val_id")).alias("value"))
+
+
+@query("j05_reconcile_sources", f"WITH {LATEST_VAL}, x AS (SELECT company_id, sum(cost) AS cost FROM inv GROUP BY 1) SELECT coalesce(x.company_id, lv.holding_id) AS company_id, coalesce(fv, cost)::DOUBLE AS value, CASE WHEN fv IS NOT NULL THEN 'extracted' WHEN cost IS NOT NULL THEN 'computed' ELSE 'unavailable' END AS source FROM x FULL JOIN lv ON holding_id = company_id")
+def j05(t):
+    said, made = latest_valuation(t).select(F.col("holding_id").alias("company_id"), "fv"), t.inv.groupBy("company_id").agg(F.sum("cost").alias("cost"))
+    both = made.join(said, "company_id", "full")
+    return both.select("company_id", dbl(F.coalesce("fv", "cost")).alias("value"), F.when(F.col("fv").isNotNull(), "extracted").when(F.col("cost").isNotNull(), "computed").otherwise("unavailable").alias("source"))
+
+
+@query("j06_priority_pick", """WITH s AS (SELECT holding_id, methodology, arg_max(fair, (ts, val_id)) AS v FROM val GROUP BY 1, 2), p AS (SELECT holding_id, arg_min(v, CASE methodology WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 WHEN 'view' THEN 3 ELSE 4 END) AS pick FROM s GROUP BY 1)
+  SELECT holding_id, pick::DOUBLE AS pick, count(*) FILTER (abs(v - pick) <= 0.5 OR abs(v - pick)::DOUBLE <= 0.1 * greatest(abs(v), abs(pick))::DOUBLE) AS agree, count(*) FILTER (NOT (abs(v - pick) <= 0.5 OR abs(v - pick)::DOUBLE <= 0.1 * greatest(abs(v), abs(pick))::DOUBLE)) AS disagree FROM s JOIN p USING (holding_id) GROUP BY 1, 2""")
+def j06(t):
+    """The best ranked source's value; the others agree with it or don't."""
+    rank = F.array_position(F.array(*map(F.lit, ("purchase", "signup", "click", "view", "error"))), F.col("methodology"))
+    s = t.val.groupBy("holding_id", "methodology").agg(F.max_by("fair", F.struct("ts", "val_id")).alias("v"))
+    g = s.groupBy("holding_id").agg(F.min_by("v", rank).alias("pick"), F.collect_list("v").alias("vs"))  # five kinds at most
+    ok = F.filter("vs", lambda v: close_to(dbl(v), dbl("pick"), 0.5, 0.1))
+    return g.select("holding_id", dbl("pick").alias("pick"), F.size(ok).cast("long").alias("agree"), (F.size("vs") - F.size(ok)).cast("long").alias("disagree"))
+
+
+@query("j08_identity_checks", f"""WITH {BASE}, m AS (SELECT fund, round(distributed::DOUBLE / called::DOUBLE, 4) AS dpi, round(active_fv::DOUBLE / called::DOUBLE, 4) AS rvpi, round((distributed + active_fv)::DOUBLE / called::DOUBLE, 4) AS tvpi FROM fb)
+  SELECT fund, 'tvpi' AS rule, tvpi AS lhs, round(dpi + rvpi, 4) AS rhs, abs(tvpi - (dpi + rvpi)) <= 0.02 AS ok FROM m UNION ALL SELECT fund, 'called_by_rows', called::DOUBLE, called::DOUBLE, true FROM fb""")
+def j08(t):
+    """One row a check: both sides and whether they agree."""
+    by_row = t.inv.join(t.company, "company_id").groupBy("fund").agg(F.sum("cost").alias("rows_called"))
+    m = base(t).join(by_row, "fund").withColumns({"dpi": ratio("distributed", "called"), "rvpi": ratio("active_fv", "called"), "tvpi": ratio(F.col("distributed") + F.col("active_fv"), "called")})
+    check = lambda rule, a, b, tol: F.struct(F.lit(rule).alias("rule"), a.alias("lhs"), b.alias("rhs"), (F.abs(a - b) <= tol).alias("ok"))
+    checks = F.explode(F.array(check("tvpi", F.col("tvpi"), F.round(F.col("dpi") + F.col("rvpi"), 4), 0.02), check("called_by_rows", dbl("called"), dbl("rows_called"), 0.01)))
+    return m.select("fund", checks.alias("c")).select("fund", "c.*")
+
+
+@query("j09_rule_violations", "WITH g AS (SELECT company_id, sum(cost) AS s, max(cost) AS m, median(cost::DOUBLE) AS md, count(*) AS n FROM inv GROUP BY 1) SELECT company_id, 'outlier' AS rule FROM g WHERE n >= 3 AND m::DOUBLE > 2.5 * md UNION ALL SELECT company_id, 'concentrated' FROM g WHERE m::DOUBLE > 0.5 * s::DOUBLE UNION ALL SELECT company_id, 'few' FROM g WHERE n < 3")
+def j09(t):
+    g = t.inv.groupBy("company_id").agg(F.sum("cost").alias("s"), F.max("cost").alias("m"), F.median(dbl("cost")).alias("md"), F.count("*").alias("n"))
+    broken = F.array(F.when((F.col("n") >= 3) & (dbl("m") > 2.5 * F.col("md")), "outlier"), F.when(dbl("m") > 0.5 * dbl("s"), "concentrated"), F.when(F.col("n") < 3, "few"))
+    return g.select("company_id", F.explode(F.filter(broken, lambda x: x.isNotNull())).alias("rule"))
+
+
+@query("j10_aggregate_catalogue", f"WITH {BASE} SELECT fund, 'drawdown_pct' AS metric, round(called::DOUBLE / committed::DOUBLE * 100, 4) AS value FROM fb UNION ALL SELECT fund, 'sum_commitments', committed::DOUBLE FROM fb UNION ALL SELECT fund, 'dpi', round(distributed::DOUBLE / called::DOUBLE, 4) FROM fb")
+def j10(t):
+    b = base(t).select("fund", F.round(dbl("called") / dbl("committed") * 100, 4).alias("drawdown_pct"), dbl("committed").alias("sum_commitments"), ratio("distributed", "called").alias("dpi"))
+    return b.unpivot(["fund"], ["drawdown_pct", "sum_commitments", "dpi"], "metric", "value")
+
+
+@query("j11_completeness", "SELECT o_orderkey AS inv_id, count(l_orderkey) AS found, count(l_orderkey) >= 4 AS complete FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def j11(t):
+    n = t.recv.groupBy("inv_id").agg(F.count("*").alias("k"))
+    return t.inv.join(n, "inv_id", "left").select("inv_id", F.coalesce("k", F.lit(0)).alias("found"), (F.coalesce("k", F.lit(0)) >= 4).alias("complete"))
+
+
+@query("j12_role_compatibility", "SELECT DISTINCT flag, line FROM recv WHERE (flag, line) IN (('R', 'F'), ('A', 'F'), ('N', 'O'))")
+def j12(t):
+    allowed = t.spark.createDataFrame([("R", "F"), ("A", "F"), ("N", "O")], "flag string, line string")
+    return t.recv.select("flag", "line").distinct().join(allowed, ["flag", "line"], "left_semi")
+
+
+@query("i12_sheet_domain", "SELECT doc_id, CASE WHEN (length(text) - length(replace(text, '|', ''))) > 20 THEN 'table' WHEN length(text) - length(replace(text, chr(10), '')) > 10 THEN 'pack' ELSE 'note' END AS domain FROM documents")
+def i12(t):
+    n = lambda c: F.length("text") - F.length(F.replace("text", F.lit(c)))
+    return t.documents.select("doc_id", F.when(n("|") > 20, "table").when(n("\n") > 10, "pack").otherwise("note").alias("domain"))
+
+
+@query("i15_adjacent_cell", "SELECT n_nationkey AS sheet, round(min(c_acctbal) + 1, 2) AS value FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_custkey = (SELECT min(c_custkey) FROM customer c2 WHERE c2.c_nationkey = n_nationkey) GROUP BY 1")
+def i15(t):
+    """The number right of the first label: a window over the row, no join."""
+    right = F.lead("raw").over(Window.partitionBy("sheet", "row").orderBy("col"))
+    near = cells(t).withColumn("right", right.try_cast("double")).filter(is_text(F.col("raw")) & F.col("right").isNotNull())
+    return near.groupBy("sheet").agg(F.min_by("right", F.struct("row", "col")).alias("value"))
+
+
+@query("j07_metric_alias", "SELECT CASE methodology WHEN 'click' THEN 'clicks' WHEN 'purchase' THEN 'sales' ELSE methodology END AS metric, count(*) AS n FROM val GROUP BY 1")
+def j07(t):
+    names = F.create_map(*map(F.lit, ("click", "clicks", "purchase", "sales")))
+    return t.val.groupBy(F.coalesce(F.try_element_at(names, F.col("methodology")), "methodology").alias("metric")).agg(F.count("*").alias("n"))
+
+
+@query("j13_entity_merge", "SELECT trim(regexp_replace(lower(segment), '\\s+', ' ', 'g')) AS entity, count(*) AS n, min(company_id) AS first_id FROM company GROUP BY 1")
+def j13(t):
+    return t.company.groupBy(entity(F.concat("segment", F.lit(" Ltd."))).alias("entity")).agg(F.count("*").alias("n"), F.min("company_id").alias("first_id"))
