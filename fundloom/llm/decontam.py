@@ -25,22 +25,29 @@ BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, in lower case. Only the first and the last part of the cut can be empty."""
 
+    def inner(w: Column) -> Column:
+        first = F.when(w[0] == "", 2).otherwise(1)
+        return F.slice(w, first, F.size(w) + 1 - first - F.when((F.size(w) >= first) & (F.element_at(w, -1) == ""), 1).otherwise(0))
 
-def shingles(w: Column, one: str, k: int = WORDS) -> Column:
-    """Of the word array w: hashes or texts, as one says, repeats included."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
-    if one == "hash":
-        made = F.transform(starts, lambda i: F.xxhash64(*[F.try_element_at(w, i + j) for j in range(k)]))
-    else:
-        made = F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
-    return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>" if one == "hash" else "array<string>"))
+    return F.element_at(F.transform(F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")), inner), 1)
+
+
+def shingles(text: Column, one: str, k: int = WORDS) -> Column:
+    """Of a text: hashes or texts, as one says, repeats included. The words are cut once and then looked at by place."""
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+        made = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)) if one == "hash" else F.array_join(F.slice(w, i, k), " "))
+        return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>" if one == "hash" else "array<string>"))
+
+    return F.element_at(F.transform(F.array(words(text)), cut), 1)
 
 
 def index(items: DataFrame, least: float = LEAST) -> DataFrame:
     """items(item_id, text) as item_id, n (its shingles), shingle, h, sketched, needed (least sketch hashes that a leak shows)."""
-    cut = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.explode(F.arrays_zip(shingles(F.col("w"), "text").alias("shingle"), shingles(F.col("w"), "hash").alias("h"))).alias("x"))
+    cut = items.select("item_id", F.explode(F.arrays_zip(shingles(F.col("text"), "text").alias("shingle"), shingles(F.col("text"), "hash").alias("h"))).alias("x"))
     one = cut.select("item_id", "x.shingle", "x.h").distinct()
     item = Window.partitionBy("item_id")
     sized = one.withColumn("n", F.count("*").over(item))
@@ -59,15 +66,14 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_row
     """docs(doc_id, text) and items(item_id, text) to doc_id, text_hash, item_id, n_item, n_shared, containment."""
     filed = materialize(index(items, least))
     sketch = small(filed.filter("sketched").select("item_id", "h", "needed").distinct(), broadcast_rows)
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    probes = keyed.select("doc_id", "text_hash", F.explode(shingles(F.col("w"), "hash")).alias("h"))
+    probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(shingles(F.col("text"), "hash")).alias("h"))
     tally = probes.join(sketch, "h").groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("h").alias("met"), F.max("needed").alias("needed"))
     candidates = materialize(tally.filter("met >= needed").select("doc_id", "text_hash", "item_id"))
     # Only documents of a candidate pair are cut again, and only such pairs are counted.
     who = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     again = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     again = again.join(small(who, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
-    held = again.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(words(F.col("text")), "text"))).alias("shingle"))
+    held = again.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(F.col("text"), "text"))).alias("shingle"))
     full = small(filed.select("item_id", "n", "shingle"), broadcast_rows)
     pair = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_hash") == F.col("t"), F.col("item_id").eqNullSafe(F.col("i"))]
     shared = held.join(full, "shingle").join(candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("item_id").alias("i")), pair[0] & pair[1] & pair[2], "left_semi")
