@@ -179,12 +179,9 @@ def monthly(t):
     return t.inv.groupBy("company_id", F.trunc("d", "month").alias("m")).agg(F.sum("cost").alias("actual"))
 
 
-BY_MONTH = Window.partitionBy("company_id").orderBy("m")
-
-
 @query("e03_previous_period", f"WITH {MONTHLY} SELECT company_id, m, actual::DOUBLE AS actual, round((actual - p)::DOUBLE / nullif(abs(p), 0)::DOUBLE * 100, 2) AS mom_pct FROM (SELECT *, lag(actual) OVER (PARTITION BY company_id ORDER BY m) p FROM mon)")
 def e03(t):
-    p = F.lag("actual").over(BY_MONTH)
+    p = F.lag("actual").over(Window.partitionBy("company_id").orderBy("m"))
     return monthly(t).withColumn("p", p).select("company_id", "m", dbl("actual").alias("actual"), F.round(F.try_divide(dbl(F.col("actual") - F.col("p")), F.nullif(dbl(F.abs("p")), F.lit(0.0))) * 100, 2).alias("mom_pct"))
 
 
