@@ -37,6 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 POSITIONS, BANDS = 64, 16
 #: A pair of similarity 0.8 shares 51.2 of 64 positions on average, with a standard deviation of 3.2; fewer than this is under one in 10,000.
 LEAST_POSITIONS = 38
+#: So many texts of a posting are held against all of its texts, before any others.
+PIVOTS = 8
 MULTIPLIERS = [(xxhash.xxh64_intdigest(str(i).encode(), 1) | 1, xxhash.xxh64_intdigest(str(i).encode(), 2)) for i in range(POSITIONS)]
 
 
@@ -91,8 +93,8 @@ def linked(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def sketch(text: str | None) -> tuple[bytes, list[int]]:
-    """A byte of the least shingle hash at each position, and the posting keys: hashes of POSITIONS / BANDS least hashes each."""
+def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
+    """How many distinct shingles there are; a byte of the least shingle hash at each position, eight a word; the posting keys, hashes of POSITIONS / BANDS least hashes each."""
     h = np.unique(hashes(text, WORDS))
     if not len(h):
         h = np.zeros(1, dtype=np.uint64)
@@ -101,20 +103,31 @@ def sketch(text: str | None) -> tuple[bytes, list[int]]:
         least[i] = (h * np.uint64(a) + np.uint64(b)).min()
     per = POSITIONS // BANDS
     keys = [xxhash.xxh64_intdigest(least[i : i + per].tobytes(), i) - (1 << 63) for i in range(0, POSITIONS, per)]
-    return (least >> np.uint64(24)).astype(np.uint8).tobytes(), keys
+    return len(h), (least >> np.uint64(24)).astype(np.uint8).view(np.int64).tolist(), keys
 
 
 def shingle_set(text: str | None) -> tuple[list[int]]:
     return (np.unique(hashes(text, WORDS)).view(np.int64).tolist(),)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Of pairs(u, v) those with enough shared positional bytes whose shingle sets have at least the similarity."""
-    side = lambda df, key, name: df.select(F.col("key").alias(key), F.col(df.columns[1]).alias(name))
-    both = pairs.join(side(sketches, "u", "a"), "u").join(side(sketches, "v", "b"), "v")
-    equal = lambda i: (F.substring("a", i + 1, 1) == F.substring("b", i + 1, 1)).cast("int")
-    tallied = both.filter(sum((equal(i) for i in range(1, POSITIONS)), equal(0)) >= LEAST_POSITIONS).select("u", "v")
-    cut = tallied.join(side(sets, "u", "a"), "u").join(side(sets, "v", "b"), "v")
+def differing_bytes(a: Column, b: Column) -> Column:
+    """In how many positional bytes two longs differ: each byte is folded to its lowest bit, then the bits are counted."""
+    x = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
+def plausible(a: Column, b: Column, similar: float) -> Column:
+    """Whether two sketches share enough positional bytes, and their sizes allow the similarity."""
+    n, m, differ = a["n"], b["n"], sum((differing_bytes(a["words"][i], b["words"][i]) for i in range(1, POSITIONS // 8)), differing_bytes(a["words"][0], b["words"][0]))
+    return (F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - 1e-9) & (differ <= POSITIONS - LEAST_POSITIONS)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Of pairs(u, v) those whose shingle sets have at least the similarity."""
+    side = lambda key, name: sets.select(F.col("key").alias(key), F.col("shingles").alias(name))
+    cut = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
     return cut.filter(common >= F.lit(similar) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
 
@@ -122,29 +135,35 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, similar: fl
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs(doc_id, text) to key (the text's md5) and root (the least key of its class), one row a distinct text.
 
-    In a posting, all texts are first held against its least one. Only where a posting's texts are then still in several components are they held against
-    each other, across components, so large groups of near copies cost one comparison a text, and no link that matters for the classes is passed over.
+    In a posting, all texts are first held against PIVOTS of its texts, which seeded hashes choose; a posting of few texts is done by that. Only where a
+    posting's texts are then still in several components are they held against each other, across components. A large group of near copies is one component
+    by then and costs PIVOTS comparisons a text, and no link that matters for the classes is passed over.
     """
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    drawn = map_texts(keyed, sketch, "bytes binary, keys array<long>")
-    drawn = materialize(drawn.groupBy("key").agg(F.first("bytes").alias("bytes"), F.first("keys").alias("keys")))
+    drawn = map_texts(keyed, sketch, "n long, words array<long>, keys array<long>")
+    drawn = materialize(drawn.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "words", "keys")]))
     posted = drawn.select("key", F.posexplode("keys").alias("band", "bucket"))
-    tops = posted.groupBy("band", "bucket").agg(F.min("key").alias("top"), F.count("*").alias("n")).filter("n > 1")
-    posted = materialize(posted.join(tops.select("band", "bucket", "top"), ["band", "bucket"]))
-    pairs = materialize(posted.filter("key <> top").select(F.col("key").alias("u"), F.col("top").alias("v")).distinct())
-    wanted = posted.select("key").distinct()
-    sets = map_texts(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle_set, "shingles array<long>")
-    sets, sketches = materialize(sets), drawn.select("key", "bytes")
-    found = materialize(verified(pairs, sketches, sets, similar))
-    roots = components(found)
-    placed = posted.join(roots.withColumnRenamed("node", "key"), "key", "left").select("band", "bucket", "key", F.coalesce("root", "key").alias("root"))
-    open_ = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "bucket")
+    shared = posted.groupBy("band", "bucket").agg(F.count("*").alias("size")).filter("size > 1").select("band", "bucket")
+    drawn_by = drawn.select("key", F.struct("key", "n", "words").alias("of"))
+    posted = materialize(posted.join(shared, ["band", "bucket"]).join(drawn_by, "key").select("band", "bucket", "of"))
+    chosen = posted.groupBy("band", "bucket").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS)])).alias("pivots"))
+    met = posted.join(chosen, ["band", "bucket"]).select("of", F.explode("pivots").alias("pivot")).filter("of.key <> pivot.key").filter(plausible(F.col("of"), F.col("pivot"), similar))
+    pairs = materialize(met.select(F.greatest("of.key", "pivot.key").alias("u"), F.least("of.key", "pivot.key").alias("v")).distinct())
+    wanted = posted.select("of.key").distinct()
+    sets = materialize(map_texts(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle_set, "shingles array<long>"))
+    found = materialize(verified(pairs, sets, similar))
+    roots = components(found).select(F.col("node").alias("key"), "root")
+    placed = posted.select("of.key", "*").join(roots, "key", "left").select("band", "bucket", "of", F.coalesce("root", "key").alias("root"))
+    open_ = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band", "bucket")
     placed = materialize(placed.join(open_, ["band", "bucket"]))
-    a, b = placed.select("band", "bucket", F.col("key").alias("u"), F.col("root").alias("ru")), placed.select("band", "bucket", F.col("key").alias("v"), F.col("root").alias("rv"))
-    across = a.join(b, ["band", "bucket"]).filter((F.col("ru") != F.col("rv")) & (F.col("u") > F.col("v"))).select("u", "v").distinct()
-    across = materialize(across.join(pairs, ["u", "v"], "left_anti"))
-    all_roots = components(found.unionByName(verified(across, sketches, sets, similar)))
-    return drawn.select("key").join(all_roots.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    a, b = placed.select("band", "bucket", F.col("of").alias("a"), F.col("root").alias("ra")), placed.select("band", "bucket", F.col("of").alias("b"), F.col("root").alias("rb"))
+    apart = (F.col("ra") != F.col("rb")) & (F.col("a.key") > F.col("b.key")) & plausible(F.col("a"), F.col("b"), similar)
+    across = a.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
+    across = materialize(across.distinct().join(pairs, ["u", "v"], "left_anti"))
+    # What is linked so far goes on as each text's link to its root.
+    joined = roots.select(F.col("key").alias("u"), F.col("root").alias("v")).unionByName(verified(across, sets, similar))
+    all_roots = components(joined).withColumnRenamed("node", "key")
+    return drawn.select("key").join(all_roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
