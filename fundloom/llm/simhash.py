@@ -132,12 +132,21 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return cut.filter(common >= F.lit(similar) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
 
 
+def unlinkable(keys: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Of keys(key) those, as alone, that can't be similar to any other of them: so many of their shingles are in no other text that the rest are too few."""
+    own = sets.join(keys.distinct(), "key", "left_semi")
+    private = own.select("key", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("key").alias("alone"), F.count("*").alias("texts")).filter("texts = 1").groupBy("alone").agg(F.count("*").alias("private"))
+    both = private.join(own.select(F.col("key").alias("alone"), F.size("shingles").alias("n")), "alone")
+    return both.filter(F.col("n") - F.col("private") < F.lit(similar) * F.col("n") - 1e-9).select("alone")
+
+
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs(doc_id, text) to key (the text's md5) and root (the least key of its class), one row a distinct text.
 
     In a posting, all texts are first held against PIVOTS of its texts, which seeded hashes choose; a posting of few texts is done by that. Only where a
-    posting's texts are then still in several components are they held against each other, across components. A large group of near copies is one component
-    by then and costs PIVOTS comparisons a text, and no link that matters for the classes is passed over.
+    posting's texts are then still in several components are they held against each other, across components, without those whose own shingles rule out any
+    link. A large group of near copies is one component by then and costs PIVOTS comparisons a text, a text that only shares a passage with many is ruled out
+    by its own words, and no link that matters for the classes is passed over.
     """
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
     drawn = map_texts(keyed, sketch, "n long, words array<long>, keys array<long>")
@@ -156,6 +165,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     placed = posted.select("of.key", "*").join(roots, "key", "left").select("band", "bucket", "of", F.coalesce("root", "key").alias("root"))
     open_ = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band", "bucket")
     placed = materialize(placed.join(open_, ["band", "bucket"]))
+    placed = placed.join(unlinkable(placed.select("of.key"), sets, similar), F.col("of.key") == F.col("alone"), "left_anti")
     a, b = placed.select("band", "bucket", F.col("of").alias("a"), F.col("root").alias("ra")), placed.select("band", "bucket", F.col("of").alias("b"), F.col("root").alias("rb"))
     apart = (F.col("ra") != F.col("rb")) & (F.col("a.key") > F.col("b.key")) & plausible(F.col("a"), F.col("b"), similar)
     across = a.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
