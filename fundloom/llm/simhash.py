@@ -143,7 +143,8 @@ def unlinkable(keys: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs(doc_id, text) to key (the text's md5) and root (the least key of its class), one row a distinct text.
 
-    In a posting, all texts are first held against PIVOTS of its texts, which seeded hashes choose; a posting of few texts is done by that. Only where a
+    In a posting, all texts are first held against PIVOTS of its texts: the one that meets most texts
+    in all its postings, which in a family of copies is their original, and others that seeded hashes choose. Only where a
     posting's texts are then still in several components are they held against each other, across components, without those whose own shingles rule out any
     link. A large group of near copies is one component by then and costs PIVOTS comparisons a text, a text that only shares a passage with many is ruled out
     by its own words, and no link that matters for the classes is passed over.
@@ -152,10 +153,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     drawn = map_texts(keyed, sketch, "n long, words array<long>, keys array<long>")
     drawn = materialize(drawn.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "words", "keys")]))
     posted = drawn.select("key", F.posexplode("keys").alias("band", "bucket"))
-    shared = posted.groupBy("band", "bucket").agg(F.count("*").alias("size")).filter("size > 1").select("band", "bucket")
-    drawn_by = drawn.select("key", F.struct("key", "n", "words").alias("of"))
-    posted = materialize(posted.join(shared, ["band", "bucket"]).join(drawn_by, "key").select("band", "bucket", "of"))
-    chosen = posted.groupBy("band", "bucket").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS)])).alias("pivots"))
+    shared = posted.groupBy("band", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    posted = materialize(posted.join(shared, ["band", "bucket"]))
+    drawn_by = drawn.join(posted.groupBy("key").agg(F.sum("size").alias("near")), "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
+    posted = materialize(posted.drop("size").join(drawn_by, "key").select("band", "bucket", "of"))
+    pivots = [F.max(F.struct(F.col("of.near").alias("near"), "of"))["of"], *[F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS - 1)]]
+    chosen = posted.groupBy("band", "bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
     met = posted.join(chosen, ["band", "bucket"]).select("of", F.explode("pivots").alias("pivot")).filter("of.key <> pivot.key").filter(plausible(F.col("of"), F.col("pivot"), similar))
     pairs = materialize(met.select(F.greatest("of.key", "pivot.key").alias("u"), F.least("of.key", "pivot.key").alias("v")).distinct())
     wanted = posted.select("of.key").distinct()
