@@ -23,8 +23,8 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 # A shorter run than the least never holds a longer one, so these two may ask for the length at once.
 ACCESS = rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
 HEX = rf"[0-9a-f]{{{HEX_LEAST},}}"
-# Weak candidates. No lookbehind, so that RE2 reads them too: the kept span is group 2, what stands before it is group 1.
-KEY40 = r"(^|[^A-Za-z0-9+/=_-])([A-Za-z0-9+/]{40})(?:$|[^A-Za-z0-9+/=_-])"
+# Weak candidates: the kept span is group 2, what stands before it is group 1. A key may follow '='; what follows it isn't consumed, so that it can stand before the next.
+KEY40 = r"(^|[^A-Za-z0-9+/_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"
 IDENT = r"""((?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9_.@-]+)"""
 ENDPOINT = r"(^|[^A-Za-z])((?:https?|ftp|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp|s3)://[^\x00-\x20\x22\x27<>]+)"
 #: In the order in which spans of one start are listed.
