@@ -145,6 +145,28 @@ def test_chat_of_odd_rows(spark):
     assert got == {2: "<|user|>\nhi\n<|end|>\n<|unknown|>\n\n<|end|>\n", None: "<|user|>\nx\n<|end|>\n"}
 
 
+def test_long_conversations_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_CHARS", 500)
+    long = [(None, i // 3, ["a", "b", None][i % 3], f"turn {i % 7} " * (i % 5)) for i in range(900)]
+    rows = [*long, *long[:50], *[(7, *r[1:]) for r in long[:399]], *[(8, *r[1:]) for r in long], (9, 0, "a", "other")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(chat.collapse_and_render(df).collect(), key=lambda r: r["block"])
+        spread = chat.dealt(df).filter("conv_id is null").select("range").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spread > 1
+    by_id = collections.defaultdict(list)
+    for r in got:
+        by_id[r["conv_id"]].append(r)
+    assert set(by_id) == {8, 9} and len(by_id[9]) == 1 and len(by_id[8]) > 20
+    order = sorted(set(long), key=lambda r: (r[1], r[2] is not None, r[2] or "", r[3]))
+    want = "".join(f"<|{r[2] or 'unknown'}|>\n{r[3]}\n<|end|>\n" for r in order)
+    assert "".join(r["chat"] for r in by_id[8]) == want and all(len(r["chat"]) < 600 for r in by_id[8])
+    assert {(r["n_turns"], r["n_copies"]) for r in by_id[8]} == {(len(order), 2)}
+
+
 @pytest.mark.parametrize("raw", ["", None, "  ", "!!", "a", " a b ", "a,b!"])
 def test_words_of_odd_texts(spark, raw):
     got = spark.createDataFrame([(raw,)], "t string").select(decontam.words(F.col("t"))).first()[0]
