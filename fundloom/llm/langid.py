@@ -89,7 +89,8 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample(taught: DataFrame, rows: int = TRAIN_ROWS) -> list:
     """About rows distinct texts of each language, chosen by the text's hash, as (lang, h, found, times)."""
-    sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    distinct = taught.select("lang", F.xxhash64("text").alias("h")).distinct()
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return []
     parts = 1 << 20

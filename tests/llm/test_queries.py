@@ -68,6 +68,14 @@ def test_language_id(spark, tables, docs):
     assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in tested) >= 0.97 * len(tested)
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    copies = spark.range(4000).select(F.concat(F.lit("abc "), F.translate((F.col("id") % 5).cast("string"), "01234", "vwxyz")).alias("text"), F.lit("copied").alias("lang"))
+    single = spark.range(4000).select(F.concat(F.lit("def "), F.col("id").cast("string")).alias("text"), F.lit("single").alias("lang"))
+    n = collections.Counter(r[0] for r in langid.sample(copies.unionByName(single), rows=100))
+    assert n["copied"] == 5 and 60 <= n["single"] <= 150
+    assert set(langid.fit(copies.unionByName(single), rows=100)["langs"]) == {"copied", "single"}
+
+
 def test_ngrams_do_not_depend_on_stretches(monkeypatch):
     text = "Où est-ce que le café? " * 40
     whole = langid.grams(text)
