@@ -40,6 +40,12 @@ def test_against_sql(spark, sf, duck, name):
     assert sorted(tuple(plain(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(plain(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_whole_orders_have_every_row(spark, sf):
+    t = Tables(spark, sf)
+    whole = catalog.QUERIES["f01_nulls_first_positions"](spark, sf).collect()
+    assert sorted(r["pos"] for r in whole) == list(range(1, t.val.count() + 1)) and len(whole) > 200
+
+
 def rate(spark, flows):
     rows = spark.createDataFrame([(flows,)], "f array<struct<d:string,a:double>>").select(F.transform("f", lambda x: F.struct(x["d"].cast("date").alias("d"), x["a"].alias("a"))).alias("f"))
     return rows.select(money.xirr(F.col("f"))).first()[0]
