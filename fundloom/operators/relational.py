@@ -313,6 +313,15 @@ def f05(t):
     return rows.orderBy(*order).limit(100).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))  # 100 rows
 
 
+@query("f05_rag_positions", """SELECT inv_id, rag, overdue, row_number() OVER (ORDER BY CASE rag WHEN 'red' THEN 0 WHEN 'amber' THEN 1 ELSE 2 END, overdue DESC, inv_id) AS pos FROM
+  (SELECT inv_id, CASE WHEN cost > 400000 THEN 'red' WHEN cost > 200000 THEN 'amber' ELSE 'green' END AS rag, date_diff('day', d, DATE '2001-12-31')::INT AS overdue FROM inv)""")
+def f05_whole(t):
+    """The whole order; f05_rag_order is its first 100 rows."""
+    rows = t.inv.select("inv_id", F.when(F.col("cost") > 400000, "red").when(F.col("cost") > 200000, "amber").otherwise("green").alias("rag"), F.datediff(F.lit("2001-12-31").cast("date"), "d").alias("overdue"))
+    rank = F.when(F.col("rag") == "red", 0).when(F.col("rag") == "amber", 1).otherwise(2)
+    return positions(rows, [rank, F.col("overdue").isNull(), -F.col("overdue"), F.col("inv_id")])
+
+
 @query("f06_best_and_worst", "(SELECT 'best' AS side, inv_id, cost::DOUBLE AS cost FROM inv ORDER BY cost DESC, inv_id LIMIT 10) UNION ALL (SELECT 'worst', inv_id, cost::DOUBLE FROM inv ORDER BY cost, inv_id LIMIT 10)")
 def f06(t):
     side = lambda name, order: t.inv.orderBy(order, "inv_id").limit(10).select(F.lit(name).alias("side"), "inv_id", dbl("cost").alias("cost"))

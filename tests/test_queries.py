@@ -44,6 +44,8 @@ def test_whole_orders_have_every_row(spark, sf):
     t = Tables(spark, sf)
     whole = catalog.QUERIES["f01_nulls_first_positions"](spark, sf).collect()
     assert sorted(r["pos"] for r in whole) == list(range(1, t.val.count() + 1)) and len(whole) > 200
+    rag = catalog.QUERIES["f05_rag_positions"](spark, sf).collect()
+    assert sorted(r["pos"] for r in rag) == list(range(1, t.inv.count() + 1)) and {r["rag"] for r in rag} == {"red", "amber", "green"}
 
 
 def rate(spark, flows):
