@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 
 WORDS, LEAST = 5, 0.8
 #: An index with at most so many rows, of 8 to about 100 bytes each, may be broadcast; a larger one is shuffled.
@@ -80,3 +80,13 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_row
     counted = shared.groupBy("doc_id", "text_hash", "item_id").agg(F.first("n").alias("n_item"), F.count_distinct("shingle").alias("n_shared"))
     ratio = F.col("n_shared") / F.col("n_item")
     return counted.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(least) - F.lit(1e-9))).select("doc_id", "text_hash", "item_id", "n_item", "n_shared", ratio.alias("containment"))
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
+    """The rows of docs, with their columns, that hold no item."""
+    names: list[str] = []
+    for name in ("leak_id", "leak_hash"):
+        names.append(free_name([*docs.columns, *names], name))
+    found = leaks(docs.select("doc_id", "text"), items, least)
+    hit = found.select(F.col("doc_id").alias(names[0]), F.col("text_hash").alias(names[1])).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left_anti")

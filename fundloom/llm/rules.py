@@ -116,11 +116,11 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float
 
 def filtered(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs that are kept, with their columns. Texts are measured where they are; the verdict comes back by the text's hash and id."""
-    key, gone = free_name(docs.columns, "text_key"), free_name([*docs.columns, "text_key"], "gone_id")
-    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(gone, F.struct(F.col("doc_id"), F.col("lang")))
+    names: list[str] = []
+    for name in ("text_key", "row_key", "gone_key", "gone_row"):
+        names.append(free_name([*docs.columns, *names], name))
+    key, row, gone_key, gone_row = names
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(row, F.struct(F.col("doc_id"), F.col("lang")))
     found = materialize(measured(keyed.select("doc_id", "lang", F.col(key).alias("text_key"), "text")))
-    out = verdicts(found, labels, risk, delta).filter("not kept").select(F.col("text_key").alias("k"), F.struct("doc_id", "lang").alias("g")).distinct()
-    same = (F.col(key) == F.col("k")) & F.col(gone).eqNullSafe(F.col("g"))
-    return keyed.join(out, same, "left_anti").drop(key, gone)
-
-
+    out = verdicts(found, labels, risk, delta).filter("not kept").select(F.col("text_key").alias(gone_key), F.struct("doc_id", "lang").alias(gone_row)).distinct()
+    return keyed.join(out, (F.col(key) == F.col(gone_key)) & F.col(row).eqNullSafe(F.col(gone_row)), "left_anti").drop(key, row)

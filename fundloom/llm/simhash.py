@@ -6,8 +6,9 @@ S(3, 4, 8), one of which misses any three spoilt positions. So each link meets i
 grow with the corpus as those of single bytes would. For each pair that meets, the shared positional bytes are tallied; pairs with
 fewer than five are dropped, the rest are verified by their differing bits. Links are between distinct fingerprints only, copies join by equality.
 
-``near_duplicates`` is for texts that share at least 0.8 of their five-word shingles. A 64-bit SimHash puts such texts some nine bits
-apart, so three bits miss most of them; there the positional bytes are min-wise ones (each of 64 positions holds a byte of the
+``near_duplicates`` is for texts whose sets of five-word shingles have a cosine of at least 0.8, the similarity that a SimHash
+estimates; all texts of a Jaccard similarity of 0.8 are among them. A 64-bit SimHash puts such texts nine bits apart and more,
+so three bits miss most of them; there the positional bytes are min-wise ones (each of 64 positions holds a byte of the
 least shingle hash under its own permutation), with the same index, tally and verification, which is exact on shingles.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; repeated rows are in one
@@ -33,12 +34,18 @@ LEAST_BYTES = BYTES - MAX_BITS
 BLOCKS = [b for b in combinations(range(BYTES), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
 
 WORDS, SIMILAR = 5, 0.8
-#: Min-wise positions, in BANDS postings of POSITIONS / BANDS each. At a similarity of 0.8 a pair meets in none with probability 0.0002.
-POSITIONS, BANDS = 64, 16
-#: A pair of similarity 0.8 shares 51.2 of 64 positions on average, with a standard deviation of 3.2; fewer than this is under one in 10,000.
-LEAST_POSITIONS = 38
+#: Min-wise positions, in BANDS postings of ROWS positions each (the last position is in none). Of texts of cosine 0.8 whose Jaccard
+#: similarity is the least possible, 0.64, one pair in 600 meets in none; of those of Jaccard 0.8 one in three million.
+POSITIONS, ROWS = 64, 3
+BANDS = POSITIONS // ROWS
+#: A pair of Jaccard similarity 0.64 shares 41 of 64 positions on average, with a standard deviation of 3.8; fewer than this is under one in 10,000.
+LEAST_POSITIONS = 26
 #: So many texts of a posting are held against all of its texts, before any others.
-PIVOTS = 8
+PIVOTS = 3
+#: A shingle that so many texts or fewer have is rare: all pairs of its texts are looked at.
+RARE = 16
+#: Texts are filed by size in classes, each a tenth wider than the one before.
+SIZE_STEP = 1.1
 MULTIPLIERS = [(xxhash.xxh64_intdigest(str(i).encode(), 1) | 1, xxhash.xxh64_intdigest(str(i).encode(), 2)) for i in range(POSITIONS)]
 
 
@@ -93,21 +100,24 @@ def linked(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
-    """How many distinct shingles there are; a byte of the least shingle hash at each position, eight a word; the posting keys, hashes of POSITIONS / BANDS least hashes each."""
+def shingle_hashes(text: str | None) -> np.ndarray:
+    """The distinct hashes of WORDS-word shingles; texts without words share one of their own."""
     h = np.unique(hashes(text, WORDS))
-    if not len(h):
-        h = np.zeros(1, dtype=np.uint64)
+    return h if len(h) else np.zeros(1, dtype=np.uint64)
+
+
+def sketch(text: str | None) -> tuple[int, list[int], list[int]]:
+    """How many distinct shingles there are; a byte of the least shingle hash at each position, eight a word; the posting keys, hashes of ROWS least hashes each."""
+    h = shingle_hashes(text)
     least = np.empty(POSITIONS, dtype=np.uint64)
     for i, (a, b) in enumerate(MULTIPLIERS):
         least[i] = (h * np.uint64(a) + np.uint64(b)).min()
-    per = POSITIONS // BANDS
-    keys = [xxhash.xxh64_intdigest(least[i : i + per].tobytes(), i) - (1 << 63) for i in range(0, POSITIONS, per)]
+    keys = [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
     return len(h), (least >> np.uint64(24)).astype(np.uint8).view(np.int64).tolist(), keys
 
 
 def shingle_set(text: str | None) -> tuple[list[int]]:
-    return (np.unique(hashes(text, WORDS)).view(np.int64).tolist(),)
+    return (shingle_hashes(text).view(np.int64).tolist(),)
 
 
 def differing_bytes(a: Column, b: Column) -> Column:
@@ -118,78 +128,162 @@ def differing_bytes(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
 
+def differing(a: Column, b: Column) -> Column:
+    """In how many positional bytes two sketches differ."""
+    return sum((differing_bytes(a["words"][i], b["words"][i]) for i in range(1, POSITIONS // 8)), differing_bytes(a["words"][0], b["words"][0]))
+
+
 def plausible(a: Column, b: Column, similar: float) -> Column:
     """Whether two sketches share enough positional bytes, and their sizes allow the similarity."""
-    n, m, differ = a["n"], b["n"], sum((differing_bytes(a["words"][i], b["words"][i]) for i in range(1, POSITIONS // 8)), differing_bytes(a["words"][0], b["words"][0]))
-    return (F.least(n, m) >= F.lit(similar) * F.greatest(n, m) - 1e-9) & (differ <= POSITIONS - LEAST_POSITIONS)
+    n, m = a["n"], b["n"]
+    return (F.least(n, m) >= F.lit(similar * similar) * F.greatest(n, m) - 1e-9) & (differing(a, b) <= POSITIONS - LEAST_POSITIONS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Of pairs(u, v) those whose shingle sets have at least the similarity."""
+    """Of pairs(u, v), each once, those whose shingle sets have at least the cosine."""
     side = lambda key, name: sets.select(F.col("key").alias(key), F.col("shingles").alias(name))
-    cut = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v")
+    cut = pairs.select("u", "v").join(side("u", "a"), "u").join(side("v", "b"), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return cut.filter(common >= F.lit(similar) * (F.size("a") + F.size("b") - common) - 1e-9).select("u", "v")
+    return materialize(cut.filter(common >= F.lit(similar) * F.sqrt(F.size("a").cast("double") * F.size("b")) - 1e-9).select("u", "v"))
+
+
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(key, root), of linked texts, after links(u, v) between texts have joined their classes."""
+    of = lambda name: roots.select(F.col("key").alias(name), F.col("root").alias(f"{name}_root"))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    found = materialize(components(ends))
+    old = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("key", F.coalesce("now", "root").alias("root"))
+    new = found.select(F.col("node").alias("key"), "root").join(roots.select("key"), "key", "left_anti")
+    return materialize(old.unionByName(new))
+
+
+def apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of links(u, v) those between texts of different classes."""
+    of = lambda name: roots.select(F.col("key").alias(name), F.col("root").alias(f"{name}_root"))
+    return links.join(of("u"), "u", "left").join(of("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
+def postings(drawn: DataFrame) -> DataFrame:
+    """drawn(key, n, words, keys) as bucket and of, a text's sketch with ``near``, how many texts it meets; only of buckets with two texts or more."""
+    posted = drawn.select("key", F.explode("keys").alias("bucket"))
+    shared = posted.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    posted = materialize(posted.join(shared, "bucket"))
+    near = posted.groupBy("key").agg(F.sum("size").alias("near"))
+    of = drawn.join(near, "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
+    return materialize(posted.select("bucket", "key").join(of, "key").select("bucket", "of"))
+
 
+def near_pivots(posted: DataFrame, similar: float) -> DataFrame:
+    """u, a text, and tried, the pivots of its postings that are plausible partners, the likeliest first: PIVOTS * BANDS at most."""
+    seeded = [F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS - 1)]
+    pivots = [F.max(F.struct(F.col("of.near").alias("near"), F.col("of.key").alias("key"), "of"))["of"], *seeded]
+    chosen = posted.groupBy("bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
+    met = posted.join(chosen, "bucket").select("of", F.explode("pivots").alias("pivot")).filter(F.col("of.key") != F.col("pivot.key")).filter(plausible(F.col("of"), F.col("pivot"), similar))
+    one = F.struct(differing(F.col("of"), F.col("pivot")).alias("differ"), (-F.col("pivot.near")).alias("near"), F.col("pivot.key").alias("v"))
+    return met.groupBy(F.col("of.key").alias("u")).agg(F.array_sort(F.collect_set(one)).alias("tried"))
 
-def unlinkable(keys: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Of keys(key) those, as alone, that can't be similar to any other of them: so many of their shingles are in no other text that the rest are too few."""
-    own = sets.join(keys.distinct(), "key", "left_semi")
-    private = own.select("key", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("key").alias("alone"), F.count("*").alias("texts")).filter("texts = 1").groupBy("alone").agg(F.count("*").alias("private"))
-    both = private.join(own.select(F.col("key").alias("alone"), F.size("shingles").alias("n")), "alone")
-    return both.filter(F.col("n") - F.col("private") < F.lit(similar) * F.col("n") - 1e-9).select("alone")
+
+def shared_shingles(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of placed(key, root): texts, with n (shingles), often (those that more than RARE of the texts have) and common (those that another one has);
+    and rare, the shingles h that two to RARE of them have, with the text's key, root, n and often."""
+    label = [F.xxhash64("key").alias("a"), F.xxhash64("key", F.lit(1)).alias("b")]
+    own = materialize(sets.join(placed, "key").select("key", "root", "shingles", *label))
+    held = own.select("a", "b", F.explode("shingles").alias("h"))
+    met = materialize(held.join(held.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1"), "h"))
+    tally = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum((F.col("texts") > RARE).cast("long")).alias("often"))
+    texts = own.select("key", "root", "a", "b", F.size("shingles").cast("long").alias("n")).join(tally, ["a", "b"])
+    texts = materialize(texts)
+    return texts, met.filter(F.col("texts") <= RARE).select("h", "a", "b").join(texts, ["a", "b"]).select("h", "key", "root", "n", "often", "common")
+
+
+def enough(common: Column, n: Column, m: Column, similar: float) -> Column:
+    return common >= F.lit(similar) * F.sqrt(n.cast("double") * m) - 1e-9
+
+
+def by_rare_shingles(rare: DataFrame, similar: float) -> DataFrame:
+    """u and v, the pairs of different classes with a rare shingle in common that have enough in common if all their frequent ones are."""
+    able = rare.filter(F.col("common") >= F.lit(similar * similar) * F.col("n") - 1e-9).drop("common")
+    x, y = (able.select("h", *[F.col(c).alias(side + c) for c in ("key", "root", "n", "often")]) for side in "xy")
+    met = x.join(y, "h").filter((F.col("xkey") > F.col("ykey")) & (F.col("xroot") != F.col("yroot")))
+    met = met.groupBy("xkey", "ykey", "xn", "yn", "xoften", "yoften").agg(F.count("*").alias("met"))
+    return met.filter(enough(F.col("met") + F.least("xoften", "yoften"), F.col("xn"), F.col("yn"), similar)).select(F.col("xkey").alias("u"), F.col("ykey").alias("v"))
+
+
+def size_class(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n.cast("double"), F.lit(1.0))) / float(np.log(SIZE_STEP)))
+
+
+def by_frequent_shingles(placed: DataFrame, similar: float) -> DataFrame:
+    """u and v, the pairs of different classes in one bucket of placed(bucket, of, root, often) whose frequent shingles alone can be enough.
+
+    Then a text of n shingles, ``often`` of them frequent, has a partner of often * often / (similar * similar * n) shingles at most. A text x
+    looks for smaller ones in the classes of size that it can reach; a text y is found if it reaches that of x. Which classes of
+    near-duplicates meet in such a cell is found first, so texts of one class aren't held against each other.
+    """
+    n, squared = F.col("of.n"), F.lit(similar * similar)
+    least = n * squared - F.lit(1e-9)
+    placed = placed.withColumn("most", F.floor(F.col("often") * F.col("often") / (squared * n) + F.lit(1e-9))).filter(F.col("most") >= least)
+    x = placed.select("bucket", F.explode(F.sequence(size_class(least), size_class(F.least(n, F.col("most"))))).alias("cell"), F.col("of").alias("x"), F.col("root").alias("xr"), F.col("most").alias("x_most"))
+    y = placed.filter(F.col("most") >= n).select("bucket", size_class(n).alias("cell"), F.col("of").alias("y"), F.col("root").alias("yr"), F.col("most").alias("y_most"))
+    meet = x.select("bucket", "cell", "xr").distinct().join(y.select("bucket", "cell", "yr").distinct(), ["bucket", "cell"]).filter("xr <> yr")
+    smaller = F.struct(F.col("y.n"), F.col("y.key")) < F.struct(F.col("x.n"), F.col("x.key"))
+    fits = smaller & (F.col("y.n") <= F.col("x_most")) & (F.col("x.n") <= F.col("y_most"))
+    held = x.join(meet, ["bucket", "cell", "xr"]).join(y, ["bucket", "cell", "yr"]).filter(fits).filter(plausible(F.col("x"), F.col("y"), similar))
+    return held.select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
+
+
+def across(posted: DataFrame, roots: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """u and v, the pairs of different classes that may still be similar: of texts in buckets where several classes meet.
+
+    What two texts share is rare shingles, which an index finds with RARE texts or fewer a shingle, and frequent ones, of which they share no
+    more than either has. A family of copies that aren't near enough to each other has few frequent shingles a text, so it isn't compared pair by pair.
+    """
+    placed = posted.select(F.col("of.key").alias("key"), "bucket", "of").join(roots, "key", "left").select("bucket", "of", "key", F.coalesce("root", "key").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("bucket")
+    placed = materialize(placed.join(several, "bucket"))
+    texts, rare = shared_shingles(placed.select("key", "root").distinct(), sets)
+    frequent = by_frequent_shingles(placed.join(texts.select("key", "often"), "key"), similar)
+    return materialize(by_rare_shingles(rare, similar).unionByName(frequent).distinct())
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """docs(doc_id, text) to key (the text's md5) and root (the least key of its class), one row a distinct text.
 
-    In a posting, all texts are first held against PIVOTS of its texts: the one that meets most texts
-    in all its postings, which in a family of copies is their original, and others that seeded hashes choose. Only where a
-    posting's texts are then still in several components are they held against each other, across components, without those whose own shingles rule out any
-    link. A large group of near copies is one component by then and costs PIVOTS comparisons a text, a text that only shares a passage with many is ruled out
-    by its own words, and no link that matters for the classes is passed over.
+    First each text is held against the likeliest pivot of its postings, then against those other pivots that are in another class.
+    The pivot that meets most texts is, in a family of copies, their original. Only then are texts of one posting that are still in
+    different classes held against each other, where sizes and what they share with any text at all leave room for a link. So a large
+    group of near copies costs a few comparisons a text, a text that only shares a passage with many is ruled out by its own
+    words, and no link that matters for the classes is passed over.
     """
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
     drawn = map_texts(keyed, sketch, "n long, words array<long>, keys array<long>")
     drawn = materialize(drawn.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "words", "keys")]))
-    posted = drawn.select("key", F.posexplode("keys").alias("band", "bucket"))
-    shared = posted.groupBy("band", "bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    posted = materialize(posted.join(shared, ["band", "bucket"]))
-    drawn_by = drawn.join(posted.groupBy("key").agg(F.sum("size").alias("near")), "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
-    posted = materialize(posted.drop("size").join(drawn_by, "key").select("band", "bucket", "of"))
-    pivots = [F.max(F.struct(F.col("of.near").alias("near"), "of"))["of"], *[F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS - 1)]]
-    chosen = posted.groupBy("band", "bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
-    met = posted.join(chosen, ["band", "bucket"]).select("of", F.explode("pivots").alias("pivot")).filter("of.key <> pivot.key").filter(plausible(F.col("of"), F.col("pivot"), similar))
-    pairs = materialize(met.select(F.greatest("of.key", "pivot.key").alias("u"), F.least("of.key", "pivot.key").alias("v")).distinct())
-    wanted = posted.select("of.key").distinct()
-    sets = materialize(map_texts(keyed.join(wanted, "key", "left_semi").dropDuplicates(["key"]), shingle_set, "shingles array<long>"))
-    found = materialize(verified(pairs, sets, similar))
-    roots = components(found).select(F.col("node").alias("key"), "root")
-    placed = posted.select("of.key", "*").join(roots, "key", "left").select("band", "bucket", "of", F.coalesce("root", "key").alias("root"))
-    open_ = placed.groupBy("band", "bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band", "bucket")
-    placed = materialize(placed.join(open_, ["band", "bucket"]))
-    placed = placed.join(unlinkable(placed.select("of.key"), sets, similar), F.col("of.key") == F.col("alone"), "left_anti")
-    a, b = placed.select("band", "bucket", F.col("of").alias("a"), F.col("root").alias("ra")), placed.select("band", "bucket", F.col("of").alias("b"), F.col("root").alias("rb"))
-    apart = (F.col("ra") != F.col("rb")) & (F.col("a.key") > F.col("b.key")) & plausible(F.col("a"), F.col("b"), similar)
-    across = a.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket")) & apart).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
-    across = materialize(across.distinct().join(pairs, ["u", "v"], "left_anti"))
-    # What is linked so far goes on as each text's link to its root.
-    joined = roots.select(F.col("key").alias("u"), F.col("root").alias("v")).unionByName(verified(across, sets, similar))
-    all_roots = components(joined).withColumnRenamed("node", "key")
-    return drawn.select("key").join(all_roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
+    posted = postings(drawn)
+    tried = materialize(near_pivots(posted, similar))
+    texts = keyed.groupBy("key").agg(F.first("text").alias("text")).join(posted.select("of.key").distinct(), "key", "left_semi")
+    sets = materialize(map_texts(texts, shingle_set, "shingles array<long>"))
+    first = verified(tried.select("u", F.col("tried")[0]["v"].alias("v")), sets, similar)
+    roots = materialize(components(first).select(F.col("node").alias("key"), "root"))
+    others = tried.select("u", F.explode(F.slice("tried", 2, PIVOTS * BANDS)).alias("p")).select("u", F.col("p.v").alias("v"))
+    roots = merged(roots, verified(apart(others, roots), sets, similar))
+    roots = merged(roots, verified(across(posted, roots, sets, similar), sets, similar))
+    return drawn.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One row of docs for each class of near-duplicate texts: the one with the least doc_id (null last), then the least other values, then md5."""
-    key = free_name(docs.columns, "text_key")
-    classes = near_duplicates(docs, similar)
+    names = []
+    for name in ("text_key", "stay_key", "stay_row"):
+        names.append(free_name([*docs.columns, *names], name))
+    key, stay_key, stay_row = names
+    classes = near_duplicates(docs.select("doc_id", "text"), similar)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     told = [F.col("doc_id").isNull().alias("_null_id"), F.col("doc_id").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]]
     keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
     rows = keyed.select(F.col(key).alias("key"), F.struct(*told, F.col(key).alias("_key")).alias("row")).groupBy("key").agg(F.min("row").alias("row"))
     best = classes.join(rows, "key").groupBy("root").agg(F.min("row").alias("row")).select("row.*")
     same = F.struct(F.col("_id"), *[F.col(f"_c{i}") for i in range(len(rest))])
-    best = materialize(best.select(F.col("_key"), same.alias("_same")))
+    best = materialize(best.select(F.col("_key").alias(stay_key), same.alias(stay_row)))
     own = F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in rest])
-    kept = keyed.join(best, (F.col(key) == F.col("_key")) & own.eqNullSafe(F.col("_same")), "left_semi")
+    kept = keyed.join(best, (F.col(key) == F.col(stay_key)) & own.eqNullSafe(F.col(stay_row)), "left_semi")
     return kept.dropDuplicates([key]).drop(key)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -190,8 +191,6 @@ def test_simhash(spark, tables, docs):
 
 
 def test_simhash_finds_all_links_of_dense_prints(spark):
-    import random
-
     rnd = random.Random(5)
     seeds = [rnd.getrandbits(64) for _ in range(20)]
     prints = {s ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 4))) for s in seeds for _ in range(40)}
@@ -202,7 +201,7 @@ def test_simhash_finds_all_links_of_dense_prints(spark):
 
 def test_near_duplicates(spark, tables, docs):
     sets = {hashlib.md5((r["text"] or "").encode()).hexdigest(): frozenset(shingled(r["text"], 5)) for r in docs}
-    near = lambda a, b: (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
+    near = lambda a, b: (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9 and (sets[a] and sets[b])
     root = classes(sorted(sets), near)
     got = {r["key"]: r["root"] for r in simhash.near_duplicates(spark.read.parquet(f"{tables}/documents.parquet")).collect()}
     assert got == root
@@ -210,6 +209,22 @@ def test_near_duplicates(spark, tables, docs):
     assert kept.count() == len(set(root.values())) and kept.columns == [*docs[0]]
 
 
+def test_near_duplicates_below_and_above_the_similarity(spark):
+    """Families with from none to half of their words changed, some of the changes shared, against all pairs."""
+    rnd = random.Random(11)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{i}" for i in range(150)]
+        for k in range(60):
+            rate = rnd.choice([0.01, 0.03, 0.04, 0.05, 0.08, 0.2])
+            words = [f"x{rnd.randrange(3)}" if rnd.random() < rate else w for w in base]
+            rows.append((len(rows), " ".join(words[: rnd.choice([150, 150, 150, 140, 120, 100])])))
+    sets = {hashlib.md5(t.encode()).hexdigest(): frozenset(shingled(t, 5)) for _, t in rows}
+    root = classes(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * (len(sets[a]) * len(sets[b])) ** 0.5 - 1e-9)
+    assert 20 < len(set(root.values())) < 200
+    assert {r["key"]: r["root"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == root
+
+
 def test_near_duplicates_in_one_large_group(spark):
     base = [f"w{i}" for i in range(200)]
     rows = [(i, " ".join(base[:k] + [f"new{i}"] + base[k + 1 :])) for i, k in enumerate(range(0, 200, 2))] + [(900 + i, " ".join(f"other{i}x{k}" for k in range(80))) for i in range(20)]
