@@ -1,16 +1,17 @@
 """Quality rules with risk-controlled thresholds.
 
-Base rules reject very short and very repetitive texts. Beyond them, a text is rejected where one of its measures is over a cutoff
-of its stratum (its language). Cutoffs come from labelled holdouts: for each stratum and measure, the cutoffs of a fixed grid are
-tried from the most lenient on; one holds if the exact binomial test rejects, at the corrected level, that it turns away a
-fraction ``RISK`` / measures or more of good documents. Trying stops at the first that fails (fixed-sequence testing), and strata
-times measures is corrected for by Bonferroni. So with probability 1 - ``DELTA`` no stratum loses more than ``RISK`` of its good documents to all rules
-together. Of the cutoffs that hold, the one that turns away most bad documents, less ``PRICE`` times the good ones, is set; none is
-set if nothing is won.
+Base rules reject very short and very repetitive texts. Beyond them, a text is rejected where its strain, the largest of its measures
+in units of ``SCALES``, is over its stratum's (its language's) cutoff. Cutoffs come from labelled holdouts: for each stratum, the cutoffs of
+a fixed grid are tried from the most lenient on; one holds if the exact binomial test rejects, at the corrected level, that it
+turns away a fraction ``RISK`` or more of good documents. Trying stops at the first that fails (fixed-sequence testing), and the number of strata
+is corrected for by Bonferroni. So with probability 1 - ``DELTA`` no stratum loses more than ``RISK`` of its good documents. Of the
+cutoffs that hold, the one that turns away most bad documents, less ``PRICE`` times the good ones, is set; none is set if nothing is
+won. A trial is a distinct text of a stratum: copies and several labels are one trial, good if any label says so. A cutoff
+needs ln(DELTA / strata) / ln(1 - RISK) good texts at least: 86 with four strata.
 
 Defined results: a null text is empty, so it fails the base rules; a null language is the stratum of the empty one; without enough
-labels there are no cutoffs, and base rules alone decide; a null label doesn't count, several labels of a document count each.
-Repeated rows are judged each; other columns are carried along by ``judged``.
+labels there are no cutoffs, and base rules alone decide; a null label doesn't count; a strain equal to the cutoff is kept; a text of any length is
+measured whole; an empty table gives an empty result. Repeated rows are judged each; other columns, whatever their names, are carried along by ``filtered`` and ignored by ``judged``.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from .textstats import LEAST_WORDS, counted
 
 RISK, DELTA, PRICE = 0.05, 0.05, 10
 MEASURES = ("symbols", "dup_lines", "repeats", "upper", "bangs", "pipes")
-#: Cutoffs are multiples of 1 / GRID; a measure is a share, 0 to 1.
-GRID = 100
-#: Cutoff rows, strata times measures, that may be broadcast: 50 bytes each.
+#: The share at which each measure has a strain of 1: fixed before any label is seen, so that the order of cutoffs doesn't depend on labels.
+SCALES = (0.1, 0.5, 0.5, 0.5, 0.1, 0.1)
+#: Cutoffs are multiples of 1 / STEPS; a strain of GRID / STEPS or more is in the last bin.
+STEPS, GRID = 20, 80
+#: Cutoff rows, one a stratum, that may be broadcast: 50 bytes each.
 BROADCAST_ROWS = 20_000
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, measures array<double>"
 
@@ -57,7 +60,7 @@ def binomial_below(k: int, n: int, p: float) -> float:
 
 
 def chosen(cells: list[tuple[int, int, int]], risk: float, level: float, price: float = PRICE) -> int | None:
-    """cells: (bin, good, bad) of a measure; the cutoff bin, over which is rejected, or None. Bins go from 0 to GRID."""
+    """cells: (bin, good, bad) of a stratum; the cutoff bin, over which is rejected, or None. Bins go from 0 to GRID."""
     good, bad = {b: g for b, g, _ in cells}, {b: x for b, _, x in cells}
     n, gone_good, gone_bad, best, out = sum(good.values()), 0, 0, 0.0, None
     for cut in range(GRID - 1, -1, -1):
@@ -70,23 +73,26 @@ def chosen(cells: list[tuple[int, int, int]], risk: float, level: float, price:
     return out
 
 
+def in_scale(measures: Column) -> Column:
+    return F.transform(measures, lambda x, k: x / F.element_at(F.array(*map(F.lit, SCALES)), k + 1))
+
+
 def bin_of(x: Column) -> Column:
-    """The least bin whose cutoff x isn't over: x <= bin / GRID."""
-    return F.least(F.lit(GRID), F.greatest(F.lit(0), F.ceil(x * GRID - F.lit(1e-9)))).cast("int")
+    """The least bin whose cutoff the strain x isn't over: x <= bin / STEPS."""
+    return F.least(F.lit(GRID), F.greatest(F.lit(0), F.ceil(x * STEPS - F.lit(1e-9)))).cast("int")
 
 
 def thresholds(labelled: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """labelled(stratum, measures, quality) to stratum, k (a measure's place) and cut (its bin). Counted over all labelled rows."""
-    cells = labelled.select("stratum", "quality", F.posexplode("measures").alias("k", "x")).groupBy("stratum", "k", bin_of(F.col("x")).alias("b"))
-    cells = cells.agg(F.sum((F.col("quality") == 1).cast("long")).alias("good"), F.sum((F.col("quality") != 1).cast("long")).alias("bad"))
-    cells = materialize(cells)
-    tests = max(1, cells.select("stratum").distinct().count()) * len(MEASURES)
+    """labelled(stratum, text_key, measures, quality) to stratum and cut, its bin. Counted over all labelled rows."""
+    texts = labelled.groupBy("stratum", "text_key", bin_of(F.array_max(in_scale(F.col("measures")))).alias("b")).agg(F.max((F.col("quality") == 1).cast("long")).alias("good"))
+    cells = materialize(texts.groupBy("stratum", "b").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")))
+    tests = max(1, cells.select("stratum").distinct().count())
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:  # GRID + 1 rows at most
-        cut = chosen(list(pdf[["b", "good", "bad"]].itertuples(index=False, name=None)), risk / len(MEASURES), delta / tests)
-        return pdf[["stratum", "k"]].head(0 if cut is None else 1).assign(cut=cut if cut is not None else 0)
+        cut = chosen(list(pdf[["b", "good", "bad"]].itertuples(index=False, name=None)), risk, delta / tests)
+        return pdf[["stratum"]].head(0 if cut is None else 1).assign(cut=cut if cut is not None else 0)
 
-    return cells.groupBy("stratum", "k").applyInPandas(choose, "stratum string, k int, cut int")
+    return cells.groupBy("stratum").applyInPandas(choose, "stratum string, cut int")
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -96,21 +102,20 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def verdicts(found: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """found(doc_id, lang and what measured() adds) with kept and failed, the names of the measures over their cutoffs."""
+    """found(doc_id, lang, text_key and what measured() adds) with kept and failed, the names of the measures over their stratum's cutoff."""
     own = found.withColumn("stratum", F.coalesce("lang", F.lit("")))
     marks = labels.filter("quality is not null and doc_id is not null").select("doc_id", "quality")
-    cuts = materialize(thresholds(own.filter("not base_failed").join(marks, "doc_id").select("stratum", "measures", "quality"), risk, delta))
-    by_stratum = cuts.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("k", "cut"))).alias("cuts"))  # one entry a measure
-    by_stratum = F.broadcast(by_stratum) if cuts.count() <= BROADCAST_ROWS else by_stratum
+    cuts = materialize(thresholds(own.filter("not base_failed").join(marks, "doc_id").select("stratum", "text_key", "measures", "quality"), risk, delta))
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_ROWS else cuts
     names = F.array(*map(F.lit, MEASURES))
-    over = F.transform(F.col("measures"), lambda x, k: F.when(bin_of(x) > F.try_element_at("cuts", k), F.try_element_at(names, k + 1)))
-    out = own.join(by_stratum, "stratum", "left").withColumn("failed", F.coalesce(F.filter(over, lambda m: m.isNotNull()), F.array().cast("array<string>")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("stratum", "cuts")
+    over = F.transform(in_scale(F.col("measures")), lambda x, k: F.when(bin_of(x) > F.col("cut"), F.try_element_at(names, k + 1)))
+    out = own.join(cuts, "stratum", "left").withColumn("failed", F.coalesce(F.filter(over, lambda m: m.isNotNull()), F.array().cast("array<string>")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("stratum", "cut")
 
 
 def judged(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """docs(doc_id, text, lang): doc_id, the base counts, base_failed, kept, failed."""
-    found = materialize(measured(docs.select("doc_id", "lang", "text")))
+    found = materialize(measured(docs.select("doc_id", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), "text")))
     return verdicts(found, labels, risk, delta).select("doc_id", *[f.split()[0] for f in FIELDS.split(", ")[:-1]], "base_failed", "kept", "failed")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -114,11 +115,53 @@ def test_quality_rules(spark, tables, docs):
 
 def test_cutoffs_are_controlled():
     assert rules.binomial_below(0, 10, 0.1) == pytest.approx(0.9**10)
-    assert rules.binomial_below(3, 50, 0.2) == pytest.approx(sum(__import__("math").comb(50, i) * 0.2**i * 0.8 ** (50 - i) for i in range(4)))
-    cells = [(0, 5000, 10), (40, 2, 300), (90, 0, 200)]
+    assert rules.binomial_below(3, 50, 0.2) == pytest.approx(sum(math.comb(50, i) * 0.2**i * 0.8 ** (50 - i) for i in range(4)))
+    cells = [(0, 5000, 10), (40, 2, 300), (70, 0, 200)]
     cut = rules.chosen(cells, 0.01, 0.001)
     assert cut is not None and cut < 40
-    assert rules.chosen([(0, 100, 0), (90, 0, 50)], 0.01, 0.001) is None  # too few to be sure
+    assert rules.chosen([(0, 100, 0), (70, 0, 50)], 0.01, 0.001) is None  # too few to be sure
+    assert rules.chosen([(0, 85, 0), (70, 0, 50)], 0.05, 0.05 / 4) is None and rules.chosen([(0, 86, 0), (70, 0, 50)], 0.05, 0.05 / 4) is not None
+
+
+def test_copies_are_one_trial(spark):
+    """85 good texts are too few with four strata, and no number of copies or of labels makes them enough; 86 are enough."""
+    for n, found in ((85, 0), (86, 1)):
+        rows = [(lang, f"{lang}{i % n}", [0.0] * 6, 1) for lang in ("a", "b", "c", "d") for i in range(n if lang == "a" else 3)] * 9
+        rows += [("a", f"bad{i}", [0.3, 0, 0, 0, 0, 0], 0) for i in range(20)]
+        df = spark.createDataFrame([(s, k, list(map(float, m)), q) for s, k, m, q in rows], "stratum string, text_key string, measures array<double>, quality int")
+        assert rules.thresholds(df).count() == found
+
+
+def test_cutoffs_against_counting(spark, sf):
+    """The rejected documents of a table whose labels suffice, by counting over distinct texts; what the method adds to the base rules."""
+    big = sf.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{big}/documents.parquet").collect()
+    marks = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{big}/labels.parquet").collect():
+        marks[r["doc_id"]].append(r["quality"])
+    strain, good = {}, collections.defaultdict(dict)
+    for r in docs:
+        m = rules.measure(r["text"])
+        strain[r["doc_id"]] = max(x / s for x, s in zip(m[5], rules.SCALES, strict=True)), m[0] < 50 or 100 * m[4] > 50 * m[0]
+        told = [q for q in marks[r["doc_id"]] if q is not None]
+        if told and not strain[r["doc_id"]][1]:
+            known = good[r["lang"]].get(r["text"], (0, 0))[0]
+            good[r["lang"]][r["text"]] = max(known, *told), strain[r["doc_id"]][0]
+    cuts = {}
+    for lang, texts in good.items():
+        best = 0
+        for j in range(rules.GRID - 1, -1, -1):
+            over = [g for g, s in texts.values() if s > j / rules.STEPS + 1e-9]
+            n, k = sum(g for g, _ in texts.values()), sum(over)
+            if sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) > 0.05 / len(good):
+                break
+            if len(over) - k - 10 * k > best:
+                best, cuts[lang] = len(over) - k - 10 * k, j / rules.STEPS
+    want = {i: not (failed or s > cuts.get(r["lang"], 1e9) + 1e-9) for r in docs for i, (s, failed) in [(r["doc_id"], strain[r["doc_id"]])]}
+    got = queries.op3_quality_rules(spark, big).collect()
+    assert {r["doc_id"]: r["kept"] for r in got} == want
+    added = [r["doc_id"] for r in got if not r["kept"] and not r["base_failed"]]
+    assert len(added) > 20 and all(max(marks[i] or [0]) == 0 for i in added)
 
 
 def test_cutoffs_reject_and_filter(spark):
