@@ -9,7 +9,7 @@ A conversation may be of any length. All turns are dealt out by ranges of (conve
 found within a range and lifted by those of the conversation's earlier ranges. A long chat comes out in blocks, each a row.
 
 Defined results: turns are ordered by turn, role, text, nulls first; a row equal to the one before it in that order counts once;
-rows of a null conv_id are one conversation; a null role is rendered as ``unknown`` and a null text as empty; the chat of a
+rows of a null conv_id are one conversation; a null role or text differs from any other, and is rendered as ``unknown`` and as empty; the chat of a
 conversation is that of its blocks in order, and one of less than ``BLOCK_CHARS`` characters is block 0 alone; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -48,7 +48,8 @@ def lifted(rows: DataFrame, sums: DataFrame, names: list[str]) -> DataFrame:
 
 def numbered(turns: DataFrame) -> DataFrame:
     """dealt turns as conv_id, range, seq, pos from 0, n_turns, and own hashes and size of each turn; texts stay behind."""
-    content = [F.xxhash64(F.lit(k), F.coalesce("role", F.lit("\x00null")), F.coalesce("text", F.lit("\x00null"))).alias(f"c{k}") for k in range(2)]
+    told = [F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
+    content = [F.xxhash64(F.lit(k), *told).alias(f"c{k}") for k in range(2)]
     size = F.length(block_of_turn(F.col("role"), F.col("text"))).cast("long").alias("size")
     slim = turns.select("conv_id", "range", "seq", *content, size)
     conv = Window.partitionBy("conv_id")
