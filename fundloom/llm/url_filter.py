@@ -1,7 +1,9 @@
 """URL filtering: fixed host rules first, then association rules mined from labels.
 
-FP-growth mines combinations of URL tokens that go with a label. Rules below the least confidence or support are pruned, and so
-is a rule that a shorter one with the same verdict and no less confidence covers. The rest are matched by an inverted index: a rule is filed under its rarest token;
+FP-growth mines combinations of URL tokens that go with a label. The two labels are seldom equally frequent, so a rule's confidence is
+held against its label's share of all labelled urls: rules below ``MIN_LIFT`` times that share or below the least support are pruned, and so are those that a
+one-sided binomial test at ``LEVEL`` (normal approximation with continuity correction) doesn't tell from it,
+and those that a shorter one with the same verdict and no less confidence covers. The rest are matched by an inverted index: a rule is filed under its rarest token;
 urls that have this token are looked at, and the rule fires if all its tokens are there.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and is judged by its tokens like any other; no
@@ -20,7 +22,8 @@ from .common import ascii_lower, materialize
 #: (verdict, host, path); fixed by the task.
 HOST_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MIN_SUPPORT = 0.01
-MIN_CONFIDENCE = 0.6
+#: A rule's confidence must be so many times its label's share, and significantly above it: LEVEL_Z is the normal quantile of 1 - LEVEL.
+MIN_LIFT, LEVEL, LEVEL_Z = 1.25, 0.01, 2.3263
 #: A rule must hold for so many labelled urls at least; with fewer labelled urls nothing is mined.
 MIN_ROWS = 20
 #: Items that stand for a label can't be tokens: tokens hold no blank.
@@ -48,15 +51,21 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(plain, r"[^\p{L}#]+"), lambda t: t != "")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
     """labelled(tokens, verdict) to rule_id, wanted (the tokens), verdict, confidence, support."""
+    rows, bad = labelled.agg(F.count("*"), F.sum((F.col("verdict") == "block").cast("long"))).first()
+    shares = {"block": bad / rows, "allow": 1 - bad / rows}
     items = labelled.select(F.concat("tokens", F.array(F.when(F.col("verdict") == "block", LABEL["block"]).otherwise(LABEL["allow"]))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / items.count()), minConfidence=min_confidence).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_ROWS / rows), minConfidence=min(1.0, min_lift * min(shares.values()))).fit(items)
     verdict = F.when(F.col("consequent")[0] == LABEL["block"], "block").when(F.col("consequent")[0] == LABEL["allow"], "allow")
+    share = F.when(F.col("verdict") == "block", shares["block"]).otherwise(shares["allow"])
+    held, times = F.col("support") * rows, F.col("support") * rows / F.col("confidence")
+    surprising = (F.col("confidence") >= min_lift * share) & (held - 0.5 - times * share >= LEVEL_Z * F.sqrt(times * share * (1 - share)))
     found = materialize(
         model.associationRules.select(F.array_sort("antecedent").alias("wanted"), verdict.alias("verdict"), "confidence", "support")
         .filter(F.col("verdict").isNotNull() & ~F.exists("wanted", lambda t: t.isin(*LABEL.values())))
         .withColumn("rule_id", F.xxhash64("wanted", "verdict"))
+        .filter(surprising)
     )
     # A rule is pruned if a proper part of it is a rule with the same verdict and at least its confidence. A part of it is met under
     # the part's first token, so only rules that share a token are looked at.
@@ -83,7 +92,7 @@ def fire(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("tokens").agg(best.alias("b")).select("tokens", F.col("b.mined").alias("mined"), F.when(F.col("b.blocks"), "block").otherwise("allow").alias("mined_verdict"), F.col("b.confidence").alias("confidence"))
 
 
-def judge(pages: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT) -> DataFrame:
     """pages(page_id, url) as page_id, host, path, rule, verdict, mined, confidence; labelled(url, verdict) teaches the rules."""
     taught = materialize(labelled.select(tokens(F.col("url")).alias("tokens"), "verdict"))
     host, path = parts(F.col("url"))
@@ -93,7 +102,7 @@ def judge(pages: DataFrame, labelled: DataFrame, min_support: float = MIN_SUPPOR
         nothing = F.lit(None).cast("string")
         return cut.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", F.lit("allow")).alias("verdict"), nothing.alias("mined"), F.lit(None).cast("double").alias("confidence"))
     sets = cut.groupBy("tokens").agg(F.count("*").alias("n"))
-    fired = fire(sets, materialize(mine(taught, min_support, min_confidence)))
+    fired = fire(sets, materialize(mine(taught, min_support, min_lift)))
     return cut.join(fired, "tokens", "left").select(
         "page_id", "host", "path", F.col("fixed.rule").alias("rule"), F.coalesce("fixed.verdict", "mined_verdict", F.lit("allow")).alias("verdict"), "mined", "confidence"
     )
