@@ -5,8 +5,8 @@ finds all places of all phrases in one pass. Where an identifier tag is found, t
 evaluated: ``and`` takes the least free licence, ``or`` the freest, ``with`` lifts its licence halfway to freely usable.
 
 The score says how freely the text may be used: 0.5 if it says nothing, else the least of its notices' and expressions' values.
-Defined results: a null text is empty; an expression that doesn't parse has no value but keeps its identifiers as labels; repeated
-rows are scanned each; other columns are ignored.
+Defined results: a null text is empty; an expression that doesn't parse has no value but keeps its identifiers as labels; phrases may overlap, and all
+places count; repeated rows are scanned each; a text of any length is scanned whole, in one pass; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ NOTICES = {
     "confidential and proprietary": "proprietary",
 }
 TAG = "spdx license identifier"
-#: How freely a licence lets a text be used; by its label, else by the longest start of its identifier.
+#: How freely a licence lets a text be used; by its label, else by the longest start of its identifier that ends at a hyphen, a digit or a dot.
 FREE = {
     "public-domain": 1.0, "cc0": 1.0, "unlicense": 1.0, "0bsd": 1.0, "mit": 0.95, "isc": 0.95, "bsd": 0.95, "apache": 0.95, "zlib": 0.95, "cc-by": 0.9, "mpl": 0.7,
     "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.6, "gpl": 0.4, "agpl": 0.3, "cc-by-nc": 0.2, "cc-by-nd": 0.2, "reserved": 0.1, "proprietary": 0.0,
@@ -70,7 +70,7 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def free(identifier: str) -> float | None:
-    starts = [k for k in FREE if identifier.startswith(k)]
+    starts = [k for k in FREE if identifier.startswith(k) and not identifier[len(k) : len(k) + 1].isalpha()]
     return FREE[max(starts, key=len)] if starts else None
 
 
@@ -154,7 +154,12 @@ def scan(text: str | None) -> tuple:
             tagged = True
     base = [s for s in spans if s[0] in BASE]
     labels = {s[1] for s in spans}
-    values = [free(x) for x in labels]
+    # A phrase within a longer one, as the general licence's in the lesser one's notice, keeps its label but says nothing of its own.
+    values, reached = [], 0
+    for _, label, begin, n in sorted(spans, key=lambda s: (s[2], -s[3])):
+        if begin + n > reached:
+            values.append(free(label))
+        reached = max(reached, begin + n)
     expressions = []
     for m in EXPRESSION.finditer(text) if tagged else ():
         read = tokens(m[1])
