@@ -1,10 +1,11 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Two fingerprints of eight bytes that differ in three bits or fewer share at least five bytes in place, for a bit spoils one byte at
-most. The inverted index is filed under (positions, bytes): of the eight positions, the 14 fourfold sets of the Steiner system
-S(3, 4, 8), one of which misses any three spoilt positions. So each link meets in at least one posting, and a posting's key has 32 bits, not 8: lists don't
-grow with the corpus as those of single bytes would. For each pair that meets, the shared positional bytes are tallied; pairs with
-fewer than five are dropped, the rest are verified by their differing bits. Links are between distinct fingerprints only, copies join by equality.
+most. The inverted index is filed under (positions, bytes) of fourfold sets of the eight positions: a posting's key then has 32 bits, not 8,
+and lists don't grow with the corpus as those of single bytes would. The sets are two Steiner systems S(3, 4, 8) without a common set;
+of each, exactly one set misses any three spoilt positions. So a pair to be found shares two postings at least. For each pair that
+meets, the shared postings are tallied; pairs under the guaranteed two are dropped, the rest are verified by their differing bits. Links
+are between distinct fingerprints only, copies join by equality.
 
 ``near_duplicates`` is for texts whose sets of five-word shingles have a cosine of at least 0.8, the similarity that a SimHash
 estimates; all texts of a Jaccard similarity of 0.8 are among them. A 64-bit SimHash puts such texts nine bits apart and more,
@@ -17,7 +18,7 @@ component; a component's id is its smallest doc_id, null only if all are; an emp
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import xxhash
@@ -29,9 +30,12 @@ from .common import free_name, materialize
 from .components import components
 
 SEED, SHINGLE, BYTES, MAX_BITS = 42, 3, 8, 3
-LEAST_BYTES = BYTES - MAX_BITS
-#: The blocks of S(3, 4, 8): fourfold sets of positions whose exclusive or is zero.
-BLOCKS = [b for b in combinations(range(BYTES), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: The blocks of S(3, 4, 8), fourfold sets of positions whose exclusive or is zero, and of one made from it by renaming positions.
+FIRST = {frozenset(b) for b in combinations(range(BYTES), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0}
+SECOND = next(r for p in permutations(range(BYTES)) if not (r := {frozenset(p[i] for i in b) for b in FIRST}) & FIRST)
+BLOCKS = sorted(tuple(sorted(b)) for b in FIRST | SECOND)
+#: So many postings any two fingerprints share that differ in MAX_BITS bits.
+LEAST_SHARED = min(sum(not set(b) & set(spoilt) for b in BLOCKS) for spoilt in combinations(range(BYTES), MAX_BITS))
 
 WORDS, SIMILAR = 5, 0.8
 #: Min-wise positions, in BANDS postings of ROWS positions each (the last position is in none). Of texts of cosine 0.8 whose Jaccard
@@ -69,23 +73,14 @@ def fingerprint(text: str | None) -> tuple[int]:
     return (int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big", signed=True) if len(h) else 0,)
 
 
-def byte_at(x: Column, i: int) -> Column:
-    return F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
-
-
-def shared_bytes(a: Column, b: Column) -> Column:
-    same = a.bitwiseXOR(b)
-    return sum((F.when(byte_at(same, i) == 0, 1).otherwise(0) for i in range(1, BYTES)), F.when(byte_at(same, 0) == 0, 1).otherwise(0))
-
-
 def links(prints: DataFrame) -> DataFrame:
     """prints(fp), each once, to u and v, those that differ in MAX_BITS or fewer bits. All links are found."""
     masks = [sum(255 << 8 * i for i in b) for b in BLOCKS]
     keys = [F.struct(F.lit(n).alias("block"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("bytes")) for n, m in enumerate(masks)]
     posted = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.bytes")
     a, b = posted.withColumnRenamed("fp", "u"), posted.withColumnRenamed("fp", "v")
-    met = a.join(b, ["block", "bytes"]).filter((F.col("u") > F.col("v")) & (shared_bytes(F.col("u"), F.col("v")) >= LEAST_BYTES) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS))
-    return met.select("u", "v").distinct()
+    tally = a.join(b, ["block", "bytes"]).filter("u > v").groupBy("u", "v").agg(F.count("*").alias("shared"))
+    return tally.filter(F.col("shared") >= LEAST_SHARED).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
 
 
 def linked(docs: DataFrame) -> DataFrame:
