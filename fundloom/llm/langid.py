@@ -3,11 +3,13 @@
 N-grams of one to three characters, over lower-case letters with other characters as one blank, are hashed into buckets. Document
 frequencies are counted over all documents to learn from. The weights are trained by follow-the-regularised-leader with elastic
 net, on at most about ``TRAIN_ROWS`` distinct texts a language, chosen by a hash; each fifth of those is kept back, and on it a
-temperature is fitted that calibrates the scores. Every text is then scored whole.
+temperature is fitted that calibrates the scores; with fewer than 20 * ``CALIBRATION`` sampled texts none is kept back and the temperature is 1.
+Every text is then scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is any text if there is nothing to learn from; with
-one language only, all other texts get it with score 1; rows with a null language teach nothing; repeated rows count once in training.
-Other columns are ignored.
+one language only, all other texts get it with score 1; rows with a null language teach nothing; repeated rows count once in training;
+of equally likely languages the first by code point is told; more than ``LANGS`` languages are refused with an error; a very long text is hashed in
+stretches; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ BITS = 15
 BUCKETS = 1 << BITS
 #: Bound of the sample that trains the weights, in distinct texts a language.
 TRAIN_ROWS = 1500
+#: So many languages may be learned: the weights of one take 128 kB, sent to every executor.
+LANGS = 400
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 #: One of so many sampled texts is kept back for the temperature.
 CALIBRATION = 5
@@ -90,10 +94,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 def sample(taught: DataFrame, rows: int = TRAIN_ROWS) -> list:
     """About rows distinct texts of each language, chosen by the text's hash, as (lang, h, found, times)."""
     distinct = taught.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()}
+    if len(sizes) > LANGS:
+        raise ValueError(f"more than {LANGS} languages")
     if not sizes:
         return []
-    parts = 1 << 20
+    parts = 1 << 50
     h = F.pmod(F.xxhash64("text"), F.lit(parts))
     keep = F.lit(False)
     for lang, n in sizes.items():
