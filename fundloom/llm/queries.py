@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, langid, licences, mixing, quality, rules, secret_scan, simhash, url_filter
 from .common import crc_mod, materialize, table
+from .oracles import ORACLES  # noqa: F401  SQL for those that SQL can express; the others are tested against brute-force versions in tests/llm
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +69,3 @@ QUERIES = {
         op6_url_filter, op7_decontamination, op8_simhash, op9_mixing, op10_secret_scan,
     )
 }
-#: SQL for those that SQL can express; the others are tested against brute-force versions in tests/llm.
-ORACLES: dict[str, str] = {}

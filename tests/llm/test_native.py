@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -10,7 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from fundloom.llm import chat, decontam, mixing, queries, secret_scan
+from fundloom.llm import chat, decontam, mixing, queries, secret_scan, url_filter
 from tests.llm.test_queries import W, docs, same, tables  # noqa: F401  fixtures
 
 
@@ -193,6 +194,47 @@ def test_url_verdicts(spark, tables):  # noqa: F811
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule) and r["verdict"] in ("allow", "block") and verdict in (None, r["verdict"])
 
 
+def mined_by_hand(rows, min_support=0.01, min_lift=1.25, z=2.3263):
+    """All token sets of all labelled urls: tokens -> (verdict, confidence, support), pruned as the operator says."""
+    count, n, bad = collections.Counter(), len(rows), sum(v == "block" for _, v in rows)
+    for toks, v in rows:
+        for k in range(1, len(toks) + 1):
+            for c in itertools.combinations(sorted(toks), k):
+                count[c] += 1
+                count[c, v] += 1
+    least = math.ceil(max(min_support, 20 / n) * n - 1e-9)
+    share = {"block": bad / n, "allow": 1 - bad / n}
+    rules = {}
+    for c in [c for c in count if isinstance(c[0], str)]:
+        for v in share:
+            k, m, p = count[c, v], count[c], share[v]
+            if k >= least and k / m >= min_lift * p and k - 0.5 - m * p >= z * math.sqrt(m * p * (1 - p)):
+                rules[c, v] = (k / m, k / n)
+    return {(c, v): x for (c, v), x in rules.items() if not any(w == v and len(d) < len(c) and set(d) < set(c) and y[0] >= x[0] for (d, w), y in rules.items())}
+
+
+def test_mined_rules_block_and_allow(spark):
+    rnd = random.Random(4)
+    words = ["pills", "casino", "news", "blog", "shop", "garden"]
+    rows = []
+    for i in range(1500):
+        a, b = rnd.sample(words, 2)
+        chance = 0.9 if "pills" in (a, b) and "shop" in (a, b) else 0.6 if "casino" in (a, b) else 0.02 if "garden" in (a, b) else 0.15
+        rows.append((i, f"{rnd.choice(['http', 'https'])}://{a}.site.example/{b}/{i}", "block" if rnd.random() < chance else "allow"))
+    cut = lambda u: frozenset(t for t in re.split(r"[^a-z#]+", re.sub("[0-9]+", "#", u.lower())) if t)
+    rules = mined_by_hand([(cut(u), v) for _, u, v in rows])
+    assert {v for _, v in rules} == {"block", "allow"}
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    got = url_filter.judge(df.select("page_id", "url").union(spark.createDataFrame([(9000, None), (9001, "plain")], "page_id long, url string")), df.select("url", "verdict")).collect()
+    seen = collections.Counter()
+    for r in got:
+        own = cut(dict((i, u) for i, u, _ in rows).get(r["page_id"]) or ("plain" if r["page_id"] == 9001 else ""))
+        best = max(((x[0], x[1], v == "block", " ".join(c)) for (c, v), x in rules.items() if set(c) <= own), default=None)
+        assert r["mined"] == (best and best[3]) and r["confidence"] == (best and pytest.approx(best[0])) and r["verdict"] == ("block" if best and best[2] else "allow")
+        seen[r["verdict"], r["mined"] is not None] += 1
+    assert seen["block", True] > 200 and seen["allow", True] > 200
+
+
 def test_snapshots_collapse(spark, tables):  # noqa: F811
     turns = collections.defaultdict(list)
     for r in spark.read.parquet(f"{tables}/conversations.parquet").collect():
@@ -208,6 +250,11 @@ def test_chat_of_odd_rows(spark):
     assert got == {2: "<|user|>\nhi\n<|end|>\n<|unknown|>\n\n<|end|>\n", None: "<|user|>\nx\n<|end|>\n"}
 
 
+def test_nulls_are_not_like_any_text(spark):
+    rows = [(1, 0, "user", None), (2, 0, "user", "\x00null"), (2, 1, "bot", "x"), (3, 0, None, "a"), (4, 0, "\x00null", "a"), (4, 1, "bot", "x"), (5, 0, "user", ""), (5, 1, "bot", "y")]
+    assert {r["conv_id"] for r in chat.collapse_and_render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_long_conversations_come_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(chat, "BLOCK_CHARS", 500)
     long = [(None, i // 3, ["a", "b", None][i % 3], f"turn {i % 7} " * (i % 5)) for i in range(900)]

@@ -3,17 +3,20 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fundloom.llm import langid, licences, queries, rules, simhash, textstats
+from fundloom.llm import langid, licences, quality, queries, rules, simhash, textstats
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [None, "", " \t\n", "one", "two words", "a b c a b c a b c", "x " * 30000, "É\u0085É\xa0b\x1cc\n\nÉ\u0085É\xa0b\x1cc", "SPDX-License-Identifier: (MIT OR GPL-2.0-only) AND Apache-2.0\n" + "word " * 60, "cc by cc BY general public license all rights reserved"]
@@ -86,6 +89,60 @@ def test_ngrams_do_not_depend_on_stretches(monkeypatch):
     assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
 
 
+def grams_by_hand(text):
+    """N-grams of one to three characters in a dictionary, then their buckets by plain integers."""
+    plain = re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    out, low = collections.Counter(), (1 << 32) - 1
+    for k in (1, 2, 3):
+        for i in range(len(plain) - k + 1):
+            c = list(map(ord, plain[i : i + k]))
+            two = c[0] * 0x9E3779B1 + c[1] * 0x85EBCA77 if k > 1 else 0
+            h = (c[0] * 0xC2B2AE3D if k == 1 else two if k == 2 else (two & low) * 0x27D4EB2F + c[2] * 0x165667B1) & low
+            out[((h ^ h >> 15) * 0x2C1B3C6D & low) >> (32 - langid.BITS)] += 1
+    return out
+
+
+def test_ngrams_by_hand():
+    for text in ("Où est-ce que le café?", "a", "ß 12 x", "The quick, brown fox; it's 10 o'clock"):
+        found, times = langid.grams(text)
+        assert dict(zip(found.tolist(), times.tolist(), strict=True)) == grams_by_hand(text)
+
+
+def test_training_by_hand():
+    """FTRL-proximal coordinate by coordinate, in plain Python."""
+    rnd = random.Random(1)
+    rows = [(rnd.randrange(3), sorted(rnd.sample(range(30), 6)), [rnd.random() for _ in range(6)]) for _ in range(40)]
+    z, n, alpha, beta, l1, l2 = collections.defaultdict(float), collections.defaultdict(float), langid.ALPHA, langid.BETA, langid.L1, langid.L2
+    w = lambda i, c: 0.0 if abs(z[i, c]) <= l1 else -(z[i, c] - math.copysign(l1, z[i, c])) / ((beta + math.sqrt(n[i, c])) / alpha + l2)
+    for _ in range(langid.EPOCHS):
+        for y, at, x in rows:
+            old = {(i, c): w(i, c) for i in at for c in range(3)}
+            e = [math.exp(sum(v * old[i, c] for i, v in zip(at, x, strict=True))) for c in range(3)]
+            for i, v in zip(at, x, strict=True):
+                for c in range(3):
+                    g = v * (e[c] / sum(e) - (c == y))
+                    z[i, c] += g - (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / alpha * old[i, c]
+                    n[i, c] += g * g
+    got = langid.train([(y, np.array(at), np.array(x)) for y, at, x in rows], 3)
+    assert all(got[i, c] == pytest.approx(w(i, c), abs=1e-9) for i in range(31) for c in range(3))
+
+
+def test_trees_one_walk_a_row():
+    rnd = np.random.default_rng(5)
+    x = rnd.random((600, 4)).round(2)
+    y = ((x[:, 0] > 0.4) & (x[:, 2] < 0.7)).astype(float)
+    m = quality.grow(x, y)
+    got = quality.scores(m, x)
+    for row, score in zip(x, got, strict=True):
+        total = m["base"]
+        for at in m["roots"]:
+            while m["feature"][at] != quality.LEAF:
+                at = m["left"][at] if row[m["feature"][at]] <= m["threshold"][at] else m["right"][at]
+            total += m["value"][at]
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+    assert ((got > 0.5) == (y == 1)).mean() > 0.97
+
+
 def test_quality_classifier(spark, sf, tables, docs):
     got = queries.op2_quality_classifier(spark, tables).collect()
     assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
@@ -192,6 +249,14 @@ def test_expressions(text, value):
     assert licences.evaluate(licences.postfix(licences.tokens(text))) == pytest.approx(value)
 
 
+@pytest.mark.parametrize(("text", "score", "labels"), [
+    ("SPDX-License-Identifier: mitre", 0.5, "mitre"), ("GNU Lesser General Public License", 0.6, "gpl,lgpl"), ("the General Public License or the Lesser General Public License", 0.4, "gpl,lgpl"),
+    ("CC BY-SA", 0.6, "cc-by,cc-by-sa"), ("SPDX-License-Identifier: GPL-2.0-only OR MIT", 0.95, "gpl-2.0-only,mit"),
+])
+def test_scores(text, score, labels):
+    assert licences.scan(text)[5:7] == (labels, score)
+
+
 def test_broken_expressions():
     assert licences.postfix(["(", "MIT"]) is None and licences.postfix(["AND", "MIT"]) is None and licences.postfix(["MIT", "MIT"]) is None
     assert licences.tokens("MIT, and more") == ["MIT"]
@@ -233,6 +298,10 @@ def test_simhash(spark, tables, docs):
     same([tuple(r) for r in queries.op8_simhash(spark, tables).collect()], [(i, f"{p:016x}", min(least[root[p]], default=None)) for i, p in prints])
 
 
+def test_every_link_shares_the_guaranteed_postings():
+    assert len(simhash.BLOCKS) == 28 and simhash.LEAST_SHARED == 2
+
+
 def test_simhash_finds_all_links_of_dense_prints(spark):
     rnd = random.Random(5)
     seeds = [rnd.getrandbits(64) for _ in range(20)]
@@ -277,3 +346,19 @@ def test_near_duplicates_in_one_large_group(spark):
 
 def test_statistics_have_their_names():
     assert all(len(textstats.features(t)[0]) == len(textstats.FEATURES) for t in ODD)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_against_sql(spark, sf, tables, name):
+    """On the given tables, and on those with odd rows."""
+    for d in (sf, tables):
+        c = duckdb.connect()
+        for t in ("documents", "benchmark", "conversations"):
+            at = f"{d}/{t}.parquet"
+            c.sql(f"create view {t} as select * from '{at + '/*.parquet' if os.path.isdir(at) else at}'")
+        df = queries.QUERIES[name](spark, d)
+        want = c.sql(queries.ORACLES[name])
+        assert sorted(want.columns) == sorted(df.columns)
+        plain = lambda x: f"{x:.9g}" if isinstance(x, float) else str(x)
+        rows = lambda got, columns: sorted(tuple(plain(r[columns.index(k)]) for k in sorted(columns)) for r in got)
+        assert rows(map(tuple, df.collect()), df.columns) == rows(want.fetchall(), want.columns)
