@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that materialize() has written and nobody has deleted yet, in order.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and lost executors cost nothing but a reread."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/fundloom-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    _written.append(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    out._fundloom_path = path
+    return out
+
+
+def delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialized tables that no plan still to be run reads."""
+    for df in tables:
+        delete(df.sparkSession, [df._fundloom_path])
+
+
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, materialized. All tables materialized on the way are deleted: the rows don't need them any more."""
+    before = set(_written)
+    out = materialize(make())
+    delete(out.sparkSession, [p for p in _written if p not in before and p != out._fundloom_path])
+    return out
 
 
 def ascii_lower(c: Column) -> Column:
@@ -53,11 +82,6 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
-def with_text(df: DataFrame, *cols: str) -> DataFrame:
-    """Only the named columns of df; other columns, whatever their names, don't reach an operator."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
-
-
 def crc_mod(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, mod k; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(k))

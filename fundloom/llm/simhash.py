@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .common import free_name, materialize
+from .common import discard, free_name, materialize, settled
 from .components import components
 
 SEED, SHINGLE, BYTES, MAX_BITS = 42, 3, 8, 3
@@ -165,7 +165,9 @@ def postings(drawn: DataFrame) -> DataFrame:
     posted = materialize(posted.join(shared, "bucket"))
     near = posted.groupBy("key").agg(F.sum("size").alias("near"))
     of = drawn.join(near, "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
-    return materialize(posted.select("bucket", "key").join(of, "key").select("bucket", "of"))
+    out = materialize(posted.select("bucket", "key").join(of, "key").select("bucket", "of"))
+    discard(posted)
+    return out
 
 
 def near_pivots(posted: DataFrame, similar: float) -> DataFrame:
@@ -262,6 +264,7 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     others = tried.select("u", F.explode(F.slice("tried", 2, PIVOTS * BANDS)).alias("p")).select("u", F.col("p.v").alias("v"))
     roots = merged(roots, verified(apart(others, roots), sets, similar))
     roots = merged(roots, verified(across(posted, roots, sets, similar), sets, similar))
+    discard(posted, tried, sets)
     return drawn.select("key").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"))
 
 
@@ -271,7 +274,7 @@ def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     for name in ("text_key", "stay_key", "stay_row"):
         names.append(free_name([*docs.columns, *names], name))
     key, stay_key, stay_row = names
-    classes = near_duplicates(docs.select("doc_id", "text"), similar)
+    classes = settled(lambda: near_duplicates(docs.select("doc_id", "text"), similar))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     told = [F.col("doc_id").isNull().alias("_null_id"), F.col("doc_id").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]]
     keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
