@@ -33,6 +33,8 @@ HEX = rf"[0-9a-f]{{{HEX_LEAST},}}"
 KEY40 = r"(^|[^A-Za-z0-9+/_-])([A-Za-z0-9+/]{40})(?![A-Za-z0-9+/=_-])"
 IDENT = r"""((?:[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee])?|[Ll][Oo][Gg][Ii][Nn]|[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt])["']?\x20*[:=]\x20*["']?)([A-Za-z0-9_.@-]+)"""
 ENDPOINT = r"(^|[^A-Za-z])((?:https?|ftp|jdbc:[a-z]+|postgres|mysql|redis|mongodb|amqp|s3)://[^\x00-\x20\x22\x27<>]+)"
+#: Hex strings and keys are runs of at least so many of these characters; a run is looked at from its start only.
+LONG_RUN = rf"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{{{HEX_LEAST}}}"
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "key40", "ident", "endpoint")
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -94,8 +96,13 @@ def found(text: Column, pattern: str, kind: str, least: int = 0, whole: bool = T
 def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """docs with three more columns, and their names by role: base and weak spans, and the text's key where it has weak ones."""
     names = {k: free_name(docs.columns, k) for k in ("base", "weak", "key")}
+    flags = free_name([*docs.columns, *names.values()], "flags")
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    has = {"assign": t.rlike(ASSIGN), "access": t.contains("AKIA") & t.rlike(ACCESS), "hex": t.rlike(HEX), "key40": t.rlike(KEY40), "ident": t.rlike(IDENT), "endpoint": t.contains("://") & t.rlike(ENDPOINT)}
+    # Cheap tests first: a kind is looked for only in texts with what all its matches hold.
+    named, long = t.contains("=") | t.contains(":"), t.rlike(LONG_RUN)
+    tests = {"assign": named & t.rlike(ASSIGN), "access": t.contains("AKIA") & t.rlike(ACCESS), "hex": long & t.rlike(HEX), "key40": long & t.rlike(KEY40), "ident": named & t.rlike(IDENT), "endpoint": t.contains("://") & t.rlike(ENDPOINT)}
+    flagged = docs.withColumn(flags, F.struct(*[c.alias(k) for k, c in tests.items()]))
+    has = {k: F.col(flags)[k] for k in tests}
     identifier, secret = has["access"] | has["ident"], has["hex"] | has["assign"] | has["key40"]
     base = F.concat(found(t, ASSIGN, "assign", ASSIGN_LEAST, where=has["assign"]), found(t, ACCESS, "access", where=has["access"]), found(t, HEX, "hex", where=has["hex"]))
     weak = F.concat(
@@ -103,8 +110,8 @@ def scan(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]
         found(t, IDENT, "ident", whole=False, where=has["ident"] & secret),
         found(t, ENDPOINT, "endpoint", whole=False, where=has["endpoint"] & identifier & secret),
     )
-    out = docs.withColumn(names["base"], F.array_sort(base)).withColumn(names["weak"], weak)
-    return out.withColumn(names["key"], F.when(F.size(names["weak"]) > 0, F.md5(t))), names
+    out = flagged.withColumn(names["base"], F.array_sort(base)).withColumn(names["weak"], weak)
+    return out.withColumn(names["key"], F.when(F.size(names["weak"]) > 0, F.md5(t))).drop(flags), names
 
 
 def binned(spans: Column, name: str, scope: int, more: int = 0) -> list[Column]:
