@@ -138,14 +138,14 @@ def g32(t):
     return i.join(per, "company_id", "left").join(v, "company_id", "left")
 
 
-@query("g35_level1_as_of", "WITH p AS (SELECT part_id, arg_max(gross::DOUBLE / qty, (d, inv_id, n)) AS price FROM recv WHERE d <= DATE '1999-06-30' GROUP BY 1), o AS (SELECT holding_id AS part_id, arg_max(holding, (ts, val_id))::DOUBLE / 1000 AS dlom FROM val WHERE methodology = 'click' GROUP BY 1) SELECT p_partkey AS part_id, round(price * p_size * (1 - coalesce(dlom, 0)), 2) AS value FROM part LEFT JOIN p ON part_id = p_partkey LEFT JOIN o ON o.part_id = p_partkey")
+@query("g35_level1_as_of", "WITH p AS (SELECT part_id, arg_max(gross::DOUBLE / qty, (d, inv_id, n)) AS price FROM recv WHERE d <= DATE '1999-06-30' GROUP BY 1), o AS (SELECT holding_id AS part_id, arg_max(holding, (ts, val_id))::DOUBLE / 1000 AS dlom FROM val WHERE methodology = 'click' GROUP BY 1) SELECT p_partkey AS part_id, round(price * p_size * (1 - coalesce(dlom, 0)), 6) AS value FROM part LEFT JOIN p ON part_id = p_partkey LEFT JOIN o ON o.part_id = p_partkey")
 def g35(t):
     """The newest price up to the day, times shares, less the discount that the previous level 1 value had, if there was one."""
     c = F.col
     p = t.recv.filter("d <= date'1999-06-30'").groupBy("part_id").agg(F.max_by(dbl("gross") / c("qty"), F.struct("d", "inv_id", "n")).alias("price"))
     o = t.val.filter("methodology = 'click'").groupBy(c("holding_id").alias("part_id")).agg((dbl(F.max_by("holding", F.struct("ts", "val_id"))) / 1000).alias("dlom"))
     part = t.part.select(c("p_partkey").alias("part_id"), "p_size").join(p, "part_id", "left").join(o, "part_id", "left")
-    return part.select("part_id", F.round(c("price") * c("p_size") * (1 - F.coalesce("dlom", F.lit(0.0))), 2).alias("value"))
+    return part.select("part_id", F.round(c("price") * c("p_size") * (1 - F.coalesce("dlom", F.lit(0.0))), 6).alias("value"))
 
 
 @query("g36_peer_multiples", f"""WITH {FEATURES}, b AS (SELECT company_id, sector, revenue, ebitda FROM a JOIN (SELECT company_id, sector FROM company) USING (company_id)), ev AS (SELECT b.*, cash::DOUBLE * 10 AS ev FROM b JOIN company USING (company_id, sector)), m AS (SELECT sector, avg(ev / nullif(revenue, 0)) AS by_revenue, avg(CASE WHEN ebitda > 0 THEN ev / ebitda END) AS by_ebitda FROM ev WHERE ev > 0 GROUP BY 1)

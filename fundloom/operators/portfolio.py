@@ -255,13 +255,13 @@ def p02(t):
     return monthly(t).filter(F.substring("period", 1, 4).isin("1997", "1999"))
 
 
-@query("n20_company_pl_pack", f"WITH {MIS}, l AS (SELECT company_id, arg_max(revenue, q) AS revenue, arg_max(revenue - costs, q) AS ebitda, max(q) AS q FROM mis GROUP BY 1), {KPI}, k AS (SELECT company_id, arg_max(value, (ts, val_id)) / 40 AS v FROM kpi WHERE slug = 'ebitda-margin' GROUP BY 1) SELECT l.company_id, q, round(revenue, 2) AS revenue, round(ebitda, 2) AS ebitda, round(CASE WHEN revenue <> 0 THEN ebitda / revenue * 100 WHEN abs(v) < 1 THEN v * 100 ELSE v END, 2) AS ebitda_pct FROM l LEFT JOIN k USING (company_id)")
+@query("n20_company_pl_pack", f"WITH {MIS}, l AS (SELECT company_id, arg_max(revenue, q) AS revenue, arg_max(revenue - costs, q) AS ebitda, max(q) AS q FROM mis GROUP BY 1), {KPI}, k AS (SELECT company_id, arg_max(value, (ts, val_id)) / 40 AS v FROM kpi WHERE slug = 'ebitda-margin' GROUP BY 1) SELECT l.company_id, q, round(revenue, 2) AS revenue, round(ebitda, 2) AS ebitda, round(CASE WHEN revenue <> 0 THEN ebitda / revenue * 100 WHEN abs(v) < 1 THEN v * 100 ELSE v END, 4) AS ebitda_pct FROM l LEFT JOIN k USING (company_id)")
 def n20(t):
     """Newest quarter of each company; without revenue its margin is the newest reading, a fraction if under one."""
     l = mis(t).groupBy("company_id").agg(F.max_by(F.struct("revenue", (F.col("revenue") - F.col("costs")).alias("ebitda"), "q"), "q").alias("l")).select("company_id", "l.*")
     k = kpi(t).filter("slug = 'ebitda-margin'").groupBy("company_id").agg((F.max_by("value", F.struct("ts", "val_id")) / 40).alias("v"))
     margin = ladder([(F.col("revenue") != 0, F.try_divide("ebitda", "revenue") * 100), (F.abs("v") < 1, F.col("v") * 100)], F.col("v"))
-    return l.join(k, "company_id", "left").select("company_id", "q", F.round("revenue", 2).alias("revenue"), F.round("ebitda", 2).alias("ebitda"), F.round(margin, 2).alias("ebitda_pct"))
+    return l.join(k, "company_id", "left").select("company_id", "q", F.round("revenue", 2).alias("revenue"), F.round("ebitda", 2).alias("ebitda"), F.round(margin, 4).alias("ebitda_pct"))
 
 
 @query("g44_saas_metrics", f"WITH {KPI}, l AS (SELECT company_id, max(v) FILTER (slug = 'mrr') AS mrr, max(v) FILTER (slug = 'ltv') AS ltv, max(v) FILTER (slug = 'cac') AS cac FROM (SELECT company_id, CASE slug WHEN 'monthly-burn' THEN 'mrr' ELSE slug END AS slug, arg_max(value, (ts, val_id)) AS v FROM kpi WHERE slug IN ('mrr', 'monthly-burn', 'ltv', 'cac') GROUP BY 1, 2) GROUP BY 1) SELECT c.company_id, mrr, ltv, cac, CASE WHEN ltv <> 0 AND cac <> 0 THEN round(ltv / cac, 4) END AS ltv_cac_ratio FROM company c LEFT JOIN l USING (company_id)")
