@@ -1,6 +1,6 @@
 """All queries of the engine by name, and their SQL."""
 
-from .operators import aggregates, finance, fundframe, ladders, portfolio, records, register, reporting, reshape, relational, scalars  # noqa: F401  they register their queries
+from .operators import aggregates, extras, finance, fundframe, ladders, portfolio, records, register, reporting, reshape, relational, scalars  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

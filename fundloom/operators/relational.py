@@ -10,33 +10,6 @@ from ..registry import query
 from ..sources.tables import dbl, ratio, total
 
 
-def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """The first row of each key in the order; the order must end in a unique column."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
-
-
-#: positions() cuts the rows into ranges of about so many, 32 at least, and samples so many keys a range to set the bounds.
-RANGE_ROWS, RANGE_SAMPLE, RANGES = 1_000_000, 40, 32
-
-
-def positions(df: DataFrame, order: list[Column]) -> DataFrame:
-    """All rows of df with pos, from 1, in the ascending order, nulls first; the order must end in a unique column.
-
-    Rows are numbered within ranges and lifted by the counts of earlier ranges, so no task holds all rows. The bounds are fixed
-    values, so every run of the plan cuts alike; which ones they are doesn't matter to the result.
-    """
-    n = df.count()
-    ranges = max(RANGES, n // RANGE_ROWS)
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    some = keyed.select("_key").sample(min(1.0, ranges * RANGE_SAMPLE / max(n, 1)), seed=1).orderBy("_key").collect()
-    bounds = df.sparkSession.createDataFrame([([some[len(some) * i // ranges]["_key"] for i in range(1, ranges)] if some else [],)], T.StructType([T.StructField("_bounds", T.ArrayType(keyed.schema["_key"].dataType))]))
-    cut = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")  # one row
-    held = cut.groupBy("_range").agg(F.count("*").alias("_held"))
-    before = held.select("_range", (F.sum("_held").over(Window.orderBy("_range")) - F.col("_held")).alias("_before"))  # a row a range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return cut.withColumn("_own", own).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias("pos"))
-
-
 @query("a01_scan_filter", "SELECT inv_id, company_id, cost::DOUBLE AS cost FROM inv WHERE status = 'F' AND cost > 400000")
 def a01(t):
     return t.inv.filter("status = 'F' and cost > 400000").select("inv_id", "company_id", dbl("cost").alias("cost"))

@@ -16,8 +16,3 @@ def windowed(events: DataFrame, every: str = "1 day", late: str = "2 hours") ->
     """Count and sum of each kind in each window; rows later than the watermark are left out."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type")
     return g.agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
-
-
-def first_seen(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Each event once, though its file may be delivered twice."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])

@@ -83,10 +83,18 @@ def test_fuzzy_names(spark, sf):
 
 def test_guard_refuses(spark, sf):
     t = Tables(spark, sf)
-    for bad in ("DROP TABLE inv", "SELECT * FROM secrets", "INSERT INTO inv SELECT 1", "SELECT * FROM inv JOIN other USING (inv_id)"):
+    spark.range(3).withColumnRenamed("id", "inv_id").createOrReplaceTempView("secrets")
+    bad = (
+        "DROP TABLE inv", "SELECT * FROM secrets", "INSERT INTO inv SELECT 1", "SELECT * FROM inv JOIN secrets USING (inv_id)", "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM inv", "SELECT java_method('a', 'b')",
+        "SELECT * FROM secrets WHERE inv_id IN (WITH secrets AS (SELECT inv_id FROM inv) SELECT inv_id FROM secrets)", "WITH a AS (SELECT * FROM secrets), secrets AS (SELECT 1 AS x) SELECT * FROM a", f"SELECT * FROM parquet.`{sf}/supplier.parquet`", "SELECT (SELECT max(inv_id) FROM secrets) AS m FROM inv",
+    )
+    for sql in bad:
         with pytest.raises(sqlapi.Refused):
-            sqlapi.run(t, bad)
+            sqlapi.run(t, sql)
     assert sqlapi.run(t, "WITH x AS (SELECT inv_id FROM inv) SELECT count(*) AS n FROM x").first()["n"] > 0
+    assert sqlapi.run(t, "SELECT sum(cost) AS s FROM inv WHERE status = :s", {"s": "O"}).first()["s"] > 0
+    rows, more = sqlapi.show(sqlapi.run(t, "SELECT inv_id FROM inv"), 20)
+    assert len(rows) == 20 and more
 
 
 def test_upsert_and_replaced_parts(spark, tmp_path):
