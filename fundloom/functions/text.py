@@ -13,7 +13,7 @@ DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "dd-MMM
 
 def number(raw: Column) -> Column:
     """Double of a cell text: currency prefixes, commas, percent signs and unit words are dropped, (x) is -x; null if there is none."""
-    s = F.lower(F.trim(raw))
+    s = F.regexp_replace(F.lower(F.trim(raw)), r"^(approx(imately|\.)?|about|circa|c\.|up to|nearly|total of)\s+", "")
     core = F.regexp_replace(s, r"(rs\.?|inr|usd|eur|myr|[₹$€,%\s]|thousand|lakhs?|million|mn|crores?|cr|billion|\bk\b)", "")
     negative = core.rlike(r"^\(.*\)$")
     value = core.try_cast("double")
@@ -68,7 +68,7 @@ def slug(s: Column) -> Column:
 
 def entity(s: Column) -> Column:
     """Canonical entity name: no legal suffix, no punctuation, single blanks, lower case."""
-    bare = F.regexp_replace(F.lower(s), r"[.,'()&#]", " ")
+    bare = F.regexp_replace(F.lower(s), r"""[.,'()&#;:/\\\-_\[\]{}"!?]""", " ")
     bare = F.regexp_replace(bare, r"\b(private|pvt|limited|ltd|llp|inc|plc|corp|company|co)\b", " ")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 

@@ -56,8 +56,9 @@ def d09(t):
 @query("d10_sector_summary", "SELECT c.sector, count(*) AS n, round(sum(i.cost)::DOUBLE / count(i.cost)::DOUBLE, 4) AS mean_cost, round(avg(coalesce(l.quality * 40, 50)::DOUBLE), 4) AS mean_risk FROM company c LEFT JOIN inv i USING (company_id) LEFT JOIN labels l ON l.doc_id = c.company_id GROUP BY 1")
 def d10(t):
     risk = t.labels.select(F.col("doc_id").alias("company_id"), (F.col("quality") * 40).alias("risk"))
-    rows = t.company.join(t.inv, "company_id", "left").join(risk, "company_id", "left")
-    g = rows.groupBy("sector").agg(F.count("*").alias("n"), F.sum("cost").alias("s"), F.count("cost").alias("k"), F.sum(F.coalesce("risk", F.lit(50))).alias("r"))
+    per = t.inv.groupBy("company_id").agg(F.count("*").alias("rows"), F.sum("cost").alias("s"), F.count("cost").alias("k"))
+    rows = t.company.join(per, "company_id", "left").join(risk, "company_id", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    g = rows.groupBy("sector").agg(F.sum("rows").alias("n"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum(F.coalesce("risk", F.lit(50)) * F.col("rows")).alias("r"))
     return g.select("sector", "n", ratio("s", "k").alias("mean_cost"), ratio("r", "n").alias("mean_risk"))
 
 
@@ -102,12 +103,14 @@ def d15(t):
 
 @query("d16_child_periods", "SELECT fund, strftime(d, '%Y-%m') AS period, sum(cost)::DOUBLE AS cost, count(*) AS n FROM inv JOIN company USING (company_id) GROUP BY 1, 2")
 def d16(t):
-    return t.inv.join(t.company, "company_id").groupBy("fund", F.date_format("d", "yyyy-MM").alias("period")).agg(total("cost", "cost"), F.count("*").alias("n"))
+    per = t.inv.groupBy("company_id", F.date_format("d", "yyyy-MM").alias("period")).agg(F.sum("cost").alias("c"), F.count("*").alias("k"))
+    return per.join(t.company, "company_id").groupBy("fund", "period").agg(total("c", "cost"), F.sum("k").alias("n"))
 
 
 @query("d17_child_items", "SELECT fund, stage AS item, sum(cost)::DOUBLE AS actual FROM inv JOIN company USING (company_id) GROUP BY 1, 2")
 def d17(t):
-    return t.inv.join(t.company, "company_id").groupBy("fund", F.col("stage").alias("item")).agg(total("cost", "actual"))
+    per = t.inv.groupBy("company_id", F.col("stage").alias("item")).agg(F.sum("cost").alias("c"))
+    return per.join(t.company, "company_id").groupBy("fund", "item").agg(total("c", "actual"))
 
 
 @query("d18_column_profile", """WITH u AS (SELECT 'status' AS col, status AS v FROM inv UNION ALL SELECT 'stage', stage FROM inv UNION ALL SELECT 'company_id', company_id::VARCHAR FROM inv), n AS (SELECT col, count(DISTINCT v) k FROM u GROUP BY 1)
@@ -157,7 +160,8 @@ def d24(t):
 
 @query("d25_concentration", "SELECT sector, sum(cost)::DOUBLE AS cost FROM inv JOIN company USING (company_id) GROUP BY 1 ORDER BY sum(cost) DESC, sector LIMIT 8")
 def d25(t):
-    return t.inv.join(t.company, "company_id").groupBy("sector").agg(total("cost", "cost")).orderBy(F.desc("cost"), "sector").limit(8)
+    per = t.inv.groupBy("company_id").agg(F.sum("cost").alias("c"))
+    return per.join(t.company, "company_id").groupBy("sector").agg(total("c", "cost")).orderBy(F.desc("cost"), "sector").limit(8)
 
 
 @query("d26_latest_nav_roll", "SELECT sum(nav)::DOUBLE AS nav, round(sum(nav)::DOUBLE / count(*)::DOUBLE, 4) AS mean_nav, count(*) AS schemes FROM (SELECT company_id, arg_max(cost, (d, inv_id)) AS nav FROM inv GROUP BY 1)")

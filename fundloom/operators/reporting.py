@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..plans.sqlapi import run
 from ..registry import query
 from ..sources.tables import AS_OF, dbl, ratio, total
 from .finance import BASE, base
@@ -89,11 +90,25 @@ def k13(t):
 
 @query("k14_parameterised_sql", "SELECT fund, count(*) AS companies FROM company WHERE segment = 'BUILDING' GROUP BY 1")
 def k14(t):
-    from ..plans.sqlapi import run
-
     return run(t, "SELECT fund, count(*) AS companies FROM company WHERE segment = :segment GROUP BY fund", {"segment": "BUILDING"})
 
 
+TEMPLATES = {
+    "k14_fund_info": ("SELECT fund, sector, count(*) AS companies FROM company WHERE fund = :fund GROUP BY fund, sector", {"fund": "ASIA"}, "SELECT fund, sector, count(*) AS companies FROM company WHERE fund = 'ASIA' GROUP BY 1, 2"),
+    "k14_deal_pipeline": ("SELECT stage, count(*) AS deals, max(d) AS newest FROM inv WHERE status = :status AND cost >= :least GROUP BY stage", {"status": "P", "least": 100000}, "SELECT stage, count(*) AS deals, max(d) AS newest FROM inv WHERE status = 'P' AND cost >= 100000 GROUP BY 1"),
+    "k14_import_data": ("SELECT methodology, count(*) AS n, max(d) AS newest FROM val WHERE methodology <> :kind GROUP BY methodology", {"kind": "view"}, "SELECT methodology, count(*) AS n, max(d) AS newest FROM val WHERE methodology <> 'view' GROUP BY 1"),
+}
+
+
+def template(name: str, sql: str, args: dict, oracle: str) -> None:
+    """A statement with named parameters that are bound, never spliced in."""
+    query(name, oracle)(lambda t: run(t, sql, args))
+
+
+for _name, _parts in TEMPLATES.items():
+    template(_name, *_parts)
+
+
 @query("k16_aggregate_and_detail", "SELECT inv_id, cost::DOUBLE AS cost, (SELECT count(*) FROM inv) AS all_rows, round(100 * cost::DOUBLE / (SELECT sum(cost)::DOUBLE FROM inv), 8) AS share FROM inv WHERE cost > 490000")
 def k16(t):
     """Filtered detail beside figures over all rows."""

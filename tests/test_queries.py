@@ -1,6 +1,8 @@
 """Every query that has SQL, against that SQL; and hand-checked values of what SQL can't say."""
 
+import difflib
 import math
+import random
 
 import duckdb
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fundloom import catalog
 from fundloom.functions import money, text
+from fundloom.operators.scalars import likeness
 from fundloom.plans import sqlapi
 from fundloom.sources.tables import Tables
 from fundloom.sources.upsert import replace_parts, upserted
@@ -81,6 +84,13 @@ def test_fuzzy_names(spark, sf):
     assert {"small ring", "red widget", None} <= got
 
 
+def test_likeness_against_the_standard_one():
+    rnd = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(rnd.choice("abcd ") for _ in range(rnd.randint(0, 14))) for _ in range(2))
+        assert likeness(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b).ratio())
+
+
 def test_guard_refuses(spark, sf):
     t = Tables(spark, sf)
     spark.range(3).withColumnRenamed("id", "inv_id").createOrReplaceTempView("secrets")
