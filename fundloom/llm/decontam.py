@@ -4,7 +4,8 @@ Texts become lower-case words of letters and digits and shingles of five words (
 a document that holds at least 0.8 of its shingles; the document may be far longer than the item, so what is compared is
 containment, not resemblance. Items are partitioned by size. All items of a partition keep as many least hashes of their
 shingles (a bottom-k MinHash sketch) that, if 0.8 of an item's shingles are in a document, some of its sketch must be too: the
-partition's largest item may miss m shingles, so m + 1 hashes are kept. Documents are searched for sketch hashes, pairs with too
+partition's largest item may miss m shingles, so m + 1 hashes are kept; hashes that fewer items have come first, so that items
+with a common opening don't all meet every document that has it. Documents are searched for sketch hashes, pairs with too
 few are dropped, and the rest are verified by exact containment of the shingles themselves. No leak is lost.
 
 Defined results: a text that is null or without words has no shingle, leaks nothing and holds nothing; rows with the same item_id
@@ -22,6 +23,8 @@ from .common import free_name, materialize
 WORDS, LEAST = 5, 0.8
 #: An index with at most so many rows, of 8 to about 100 bytes each, may be broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 200_000
+#: So many distinct hashes alone, some 50 bytes each, may be broadcast to leave out shingles that no item has before the rest is shuffled.
+BROADCAST_HASHES = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -49,11 +52,12 @@ def index(items: DataFrame, least: float = LEAST) -> DataFrame:
     """items(item_id, text) as item_id, n (its shingles), shingle, h, sketched, needed (least sketch hashes that a leak shows)."""
     cut = items.select("item_id", F.explode(F.arrays_zip(shingles(F.col("text"), "text").alias("shingle"), shingles(F.col("text"), "hash").alias("h"))).alias("x"))
     one = cut.select("item_id", "x.shingle", "x.h").distinct()
+    one = one.join(one.groupBy("h").agg(F.count("*").alias("items")), "h")
     item = Window.partitionBy("item_id")
     sized = one.withColumn("n", F.count("*").over(item))
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n")) + 1) - 1
     missed = lambda n: n - F.ceil(n * F.lit(least) - F.lit(1e-9))
-    sized = sized.select("*", (missed(largest) + 1).cast("long").alias("k"), missed(F.col("n")).cast("long").alias("may_miss"), F.row_number().over(item.orderBy("h", "shingle")).alias("at"))
+    sized = sized.select("*", (missed(largest) + 1).cast("long").alias("k"), missed(F.col("n")).cast("long").alias("may_miss"), F.row_number().over(item.orderBy("items", "h", "shingle")).alias("at"))
     return sized.select("item_id", "n", "shingle", "h", (F.col("at") <= F.col("k")).alias("sketched"), (F.least("k", "n") - F.col("may_miss")).alias("needed"))
 
 
@@ -62,11 +66,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """docs(doc_id, text) and items(item_id, text) to doc_id, text_hash, item_id, n_item, n_shared, containment."""
     filed = materialize(index(items, least))
-    sketch = small(filed.filter("sketched").select("item_id", "h", "needed").distinct(), broadcast_rows)
+    sketch = filed.filter("sketched").select("item_id", "h", "needed").distinct()
     probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(shingles(F.col("text"), "hash")).alias("h"))
+    if sketch.count() <= broadcast_rows:
+        sketch = F.broadcast(sketch)
+    else:
+        hashes = sketch.select("h").distinct()
+        probes = probes.join(F.broadcast(hashes), "h", "left_semi") if hashes.count() <= broadcast_hashes else probes
     tally = probes.join(sketch, "h").groupBy("doc_id", "text_hash", "item_id").agg(F.count_distinct("h").alias("met"), F.max("needed").alias("needed"))
     candidates = materialize(tally.filter("met >= needed").select("doc_id", "text_hash", "item_id"))
     # Only documents of a candidate pair are cut again, and only such pairs are counted.
