@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bounds of the rate, how the upper bound grows, and how long the bracket is halved.
 LOW, HIGH, GROWTH, MOST, HIGH_STEPS, HALVINGS = -0.99, 10.0, 4.0, 1e6, 20, 80
+#: A present value under this ends the search, with and without higher upper bounds.
+STOP, STOP_PLAIN = 1e-9, 1e-6
 YEAR = 365.25
 
 
@@ -16,7 +18,7 @@ def flow(d: Column, amount: Column) -> Column:
     return F.struct(d.alias("d"), amount.cast("double").alias("a"))
 
 
-def rates(days: list[np.ndarray], amounts: list[np.ndarray], highs: list[float]) -> np.ndarray:
+def rates(days: list[np.ndarray], amounts: list[np.ndarray], highs: list[float], stop: float = STOP) -> np.ndarray:
     """The rate of each group of flows; all groups of a batch are halved at once."""
     sizes = np.fromiter(map(len, days), dtype=np.int64, count=len(days))
     out = np.full(len(days), np.nan)
@@ -38,8 +40,9 @@ def rates(days: list[np.ndarray], amounts: list[np.ndarray], highs: list[float])
     lo, hi = np.full(len(days), LOW), np.where(solved, high, HIGH)
     for _ in range(HALVINGS):
         mid = (lo + hi) / 2
-        left = npv(mid) * at_low <= 0
-        lo, hi = np.where(left, lo, mid), np.where(left, mid, hi)
+        value = npv(mid)
+        done, left = np.abs(value) < stop, value * at_low <= 0
+        lo, hi = np.where(left & ~done, lo, mid), np.where(left | done, mid, hi)
     out[solved] = np.round((lo + hi)[solved] / 2 * 100, 4) + 0.0
     return out
 
@@ -55,7 +58,7 @@ def xirr(flows: Column, expand: bool = True) -> Column:
 
     @F.pandas_udf("double")
     def solve(days: pd.Series, amounts: pd.Series) -> pd.Series:
-        out = rates(list(days), list(amounts), highs)
+        out = rates(list(days), list(amounts), highs, STOP if expand else STOP_PLAIN)
         return pd.Series([None if np.isnan(x) else x for x in out], dtype=object)
 
     return solve(F.transform(flows, lambda x: F.unix_date(x["d"])), F.transform(flows, lambda x: x["a"]))

@@ -22,12 +22,13 @@ FLOWS = f"""fl AS (SELECT inv_id, d, -cost::DOUBLE AS a FROM inv UNION ALL SELEC
 
 def irr_sql(flows: str, key: str, expand: bool = True) -> str:
     """The same bisection as recursive SQL, as tables ending in irr(key, irr)."""
+    stop = "1e-9" if expand else "1e-6"
     highs = ", ".join(str(10.0 * 4**k) for k in range(10 if expand else 1))
     return f"""g AS (SELECT {key}, min(d) AS d0, list({{'t': date_diff('day', z.d0, d) / 365.25::DOUBLE, 'a': a}}) AS f, max(a) > 0 AND min(a) < 0 AS signs FROM {flows} JOIN (SELECT {key}, min(d) AS d0 FROM {flows} WHERE a <> 0 GROUP BY 1) z USING ({key}) WHERE a <> 0 GROUP BY 1),
   b0 AS (SELECT {key}, f, list_sum(list_transform(f, lambda x: x.a / pow(1 - 0.99::DOUBLE, x.t))) AS at_low FROM g WHERE signs),
   b1 AS (SELECT {key}, f, at_low, list_filter([{highs}]::DOUBLE[], lambda h: list_sum(list_transform(f, lambda x: x.a / pow(1 + h, x.t))) * at_low <= 0)[1] AS hi FROM b0),
   bis AS (SELECT {key}, f, at_low, -0.99::DOUBLE AS lo, hi, 0 AS i FROM b1 WHERE hi IS NOT NULL
-  UNION ALL SELECT {key}, f, at_low, CASE WHEN l THEN lo ELSE mid END, CASE WHEN l THEN mid ELSE hi END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(f, lambda x: x.a / pow(1 + (lo + hi) / 2, x.t))) * at_low <= 0 AS l FROM bis WHERE i < 80)),
+  UNION ALL SELECT {key}, f, at_low, CASE WHEN v * at_low <= 0 AND abs(v) >= {stop} THEN lo ELSE mid END, CASE WHEN v * at_low <= 0 OR abs(v) < {stop} THEN mid ELSE hi END, i + 1 FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(f, lambda x: x.a / pow(1 + (lo + hi) / 2, x.t))) AS v FROM bis WHERE i < 80)),
   irr AS (SELECT {key}, round((lo + hi) / 2 * 100, 4) + 0.0::DOUBLE AS irr FROM bis WHERE i = 80)"""
 
 

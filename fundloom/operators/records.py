@@ -34,11 +34,14 @@ RULES = (
     ("distributions", "abs(distributed - ledger) > greatest(0.01 * ledger, 0.5)"),
     ("provenance", "distributed > 0 AND trusted_distributed IS NULL AND ledger = 0"),
     ("compounding_years", "abs(years_expected - years_used) > 0.6"),
+    ("terminal_flow", "last_flag <> 'A'"),
+    ("nav_across_blocks", "abs(stated_nav - built) > greatest(0.01 * stated_nav, 0.5)"),
 )
 ROWS = f"""{FRAME}, ri AS (SELECT scheme, sum(i.cost)::DOUBLE AS row_cost, count(*) AS n_investments, count(DISTINCT company_id) AS n_companies, count(*) FILTER (status = 'P') AS n_without, avg(date_diff('day', d, DATE '{AS_OF}')) / 365.25 AS years_expected FROM inv i JOIN co USING (company_id) GROUP BY 1),
 rc AS (SELECT scheme, count(*) AS n_named, sum(lv.fair)::DOUBLE * 5000 AS row_fair FROM co LEFT JOIN lv ON holding_id = company_id GROUP BY 1),
 rv AS (SELECT scheme, count(*) AS n_marks, max(fair)::DOUBLE AS max_mark, median(fair)::DOUBLE AS median_mark FROM val JOIN co ON company_id = holding_id GROUP BY 1),
-z AS (SELECT f7.*, row_cost, n_investments, n_companies, n_without, years_expected, n_named, row_fair, coalesce(n_marks, 0) AS n_marks, max_mark, median_mark, 5.0 + k % 3 AS years_used FROM f7 JOIN ri USING (scheme) JOIN rc USING (scheme) LEFT JOIN rv USING (scheme))"""
+rl AS (SELECT scheme, arg_max(flag, (r.d, r.inv_id, n, part_id, payer_id, net)) AS last_flag FROM recv r JOIN inv USING (inv_id) JOIN co USING (company_id) GROUP BY 1),
+z AS (SELECT f7.*, last_flag, row_cost, n_investments, n_companies, n_without, years_expected, n_named, row_fair, coalesce(n_marks, 0) AS n_marks, max_mark, median_mark, 5.0 + k % 3 AS years_used FROM f7 JOIN ri USING (scheme) JOIN rc USING (scheme) JOIN rl USING (scheme) LEFT JOIN rv USING (scheme))"""
 
 
 @query("j09_extraction_rules", f"WITH {ROWS}, u AS ({' UNION ALL '.join(f'''SELECT scheme, '{n}' AS rule, {c} AS flagged FROM z''' for n, c in RULES)}) SELECT scheme, rule, flagged FROM u")
@@ -49,7 +52,9 @@ def j09(t):
     i = i.groupBy("scheme").agg(dbl(F.sum("cost")).alias("row_cost"), F.sum("n").alias("n_investments"), F.count("*").alias("n_companies"), F.sum("p").alias("n_without"), (F.sum("days") / F.sum("n") / 365.25).alias("years_expected"))
     rc = who.join(latest_valuation(t).select(c("holding_id").alias("company_id"), "fair"), "company_id", "left").groupBy("scheme").agg(F.count("*").alias("n_named"), (dbl(F.sum("fair")) * 5000).alias("row_fair"))
     rv = t.val.select(c("holding_id").alias("company_id"), "fair").join(who, "company_id").groupBy("scheme").agg(F.count("*").alias("n_marks"), dbl(F.max("fair")).alias("max_mark"), F.median(dbl("fair")).alias("median_mark"))
-    z = frame(t).join(i, "scheme").join(rc, "scheme").join(rv, "scheme", "left").withColumn("n_marks", F.coalesce("n_marks", F.lit(0))).withColumn("years_used", 5.0 + c("k") % 3)
+    last = t.recv.groupBy("inv_id").agg(F.max(F.struct("d", "inv_id", "n", "part_id", "payer_id", "net", "flag")).alias("x")).join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(F.max("x").alias("x"))
+    rl = last.join(who, "company_id").groupBy("scheme").agg(F.max("x").alias("x")).select("scheme", c("x.flag").alias("last_flag"))
+    z = frame(t).join(i, "scheme").join(rc, "scheme").join(rl, "scheme").join(rv, "scheme", "left").withColumn("n_marks", F.coalesce("n_marks", F.lit(0))).withColumn("years_used", 5.0 + c("k") % 3)
     dpi, off = c("distributed") / c("called"), lambda a, b: F.abs(a - b)
     value = c("distributed") + c("residual")
     # max() over nulls: F.greatest skips them, so it is only used where its sides are known.
@@ -75,6 +80,8 @@ def j09(t):
         "distributions": off(c("distributed"), c("ledger")) > limit(0.01, c("ledger"), 0.5),
         "provenance": (c("distributed") > 0) & c("trusted_distributed").isNull() & (c("ledger") == 0),
         "compounding_years": off(c("years_expected"), c("years_used")) > 0.6,
+        "terminal_flow": c("last_flag") != "A",
+        "nav_across_blocks": off(c("stated_nav"), c("built")) > limit(0.01, c("stated_nav"), 0.5),
     }
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), f.alias("flagged")) for n, f in flags.items()]))
     return z.select("scheme", each.alias("x")).select("scheme", "x.rule", "x.flagged")
