@@ -5,7 +5,7 @@ most. The inverted index is filed under (positions, bytes) of fourfold sets of t
 and lists don't grow with the corpus as those of single bytes would. The sets are two Steiner systems S(3, 4, 8) without a common set;
 of each, exactly one set misses any three spoilt positions. So a pair to be found shares two postings at least. For each pair that
 meets, the shared postings are tallied; pairs under the guaranteed two are dropped, the rest are verified by their differing bits. Links
-are between distinct fingerprints only, copies join by equality.
+are between distinct fingerprints only, copies join by equality; each posting's least print is linked first, then pairs across classes.
 
 ``near_duplicates`` is for texts whose sets of five-word shingles have a cosine of at least 0.8, the similarity that a SimHash
 estimates; all texts of a Jaccard similarity of 0.8 are among them. A 64-bit SimHash puts such texts nine bits apart and more,
@@ -73,21 +73,53 @@ def fingerprint(text: str | None) -> tuple[int]:
     return (int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big", signed=True) if len(h) else 0,)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """prints(fp), each once, to u and v, those that differ in MAX_BITS or fewer bits. All links are found."""
+def filed(prints: DataFrame) -> DataFrame:
+    """prints(fp), each once, as fp, block and bytes: its 28 postings."""
     masks = [sum(255 << 8 * i for i in b) for b in BLOCKS]
     keys = [F.struct(F.lit(n).alias("block"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >= 1 << 63 else m)).alias("bytes")) for n, m in enumerate(masks)]
-    posted = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.bytes")
-    a, b = posted.withColumnRenamed("fp", "u"), posted.withColumnRenamed("fp", "v")
-    tally = a.join(b, ["block", "bytes"]).filter("u > v").groupBy("u", "v").agg(F.count("*").alias("shared"))
-    return tally.filter(F.col("shared") >= LEAST_SHARED).filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS).select("u", "v")
+    return prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.block", "k.bytes")
+
+
+def close(u: Column, v: Column) -> Column:
+    return F.bit_count(u.bitwiseXOR(v)) <= MAX_BITS
+
+
+def star_links(prints: DataFrame) -> DataFrame:
+    """prints(fp), each once, to u and v: each with the least of a posting, where they differ in MAX_BITS or fewer bits."""
+    posted = filed(prints)
+    least = posted.groupBy("block", "bytes").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most").drop("most")
+    return posted.withColumnRenamed("fp", "u").join(least, ["block", "bytes"]).filter((F.col("u") != F.col("v")) & close(F.col("u"), F.col("v"))).select("u", "v").distinct()
+
+
+def links(prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """prints(fp), each once, to u and v, those that differ in MAX_BITS or fewer bits. All links are found; with roots(key, root), all those between classes."""
+    posted = filed(prints)
+    if roots is None:
+        posted = posted.withColumn("root", F.col("fp"))
+    else:
+        posted = posted.join(roots.withColumnRenamed("key", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        several = posted.groupBy("block", "bytes").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block", "bytes")
+        posted = posted.join(several, ["block", "bytes"])
+    a, b = posted.select("block", "bytes", F.col("fp").alias("u"), F.col("root").alias("ur")), posted.select("block", "bytes", F.col("fp").alias("v"), F.col("root").alias("vr"))
+    tally = a.join(b, ["block", "bytes"]).filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr"))).groupBy("u", "v").agg(F.count("*").alias("shared"))
+    return tally.filter(F.col("shared") >= LEAST_SHARED).filter(close(F.col("u"), F.col("v"))).select("u", "v")
+
+
+def print_classes(prints: DataFrame) -> DataFrame:
+    """prints(fp), each once, to key and root, the least print that links lead to; prints without a link don't occur.
+
+    Prints of a posting are first linked with its least one. Only where a posting then still holds several classes are pairs
+    across them tallied, so the prints of one cluster, which may be tens of thousands, aren't held against each other.
+    """
+    roots = materialize(components(star_links(prints)).select(F.col("node").alias("key"), "root"))
+    return merged(roots, links(prints, roots))
 
 
 def linked(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as doc_id, fingerprint, component_id."""
     prints = materialize(map_texts(docs.select("doc_id", "text"), fingerprint, "fp long"))
     own = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(own.select("fp"))).select(F.col("node").alias("fp"), "root")
+    found = print_classes(own.select("fp")).withColumnRenamed("key", "fp")
     rooted = own.join(found, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"))
