@@ -3,6 +3,7 @@
 import difflib
 import math
 import random
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fundloom import catalog
 from fundloom.functions import money, text
+from fundloom.operators import finance, portfolio
 from fundloom.operators.scalars import likeness
 from fundloom.plans import sqlapi
 from fundloom.sources.tables import Tables
@@ -63,6 +65,38 @@ def test_rates_by_hand(spark):
     assert rate(spark, []) is None
 
 
+def test_tax_by_hand(spark):
+    """A tenth of the amount, 15 % of that, 4 % of both; the year from April is named by its end."""
+    inv = spark.createDataFrame([(1, "2024-03-31", "1000.00"), (2, "2024-04-01", "1000.00")], "inv_id long, d string, cost string").select("inv_id", F.col("d").cast("date").alias("d"), F.col("cost").cast("decimal(18,2)").alias("cost"))
+    got = {r["inv_id"]: (float(r["tax"] + r["surcharge"] + r["cess"]), r["fy"], r["q"]) for r in finance.tds(SimpleNamespace(inv=inv)).collect()}
+    assert got == {1: (119.6, 2024, "Q4"), 2: (119.6, 2025, "Q1")}
+
+
+def test_frame_of_a_fund_holds_together(spark, sf):
+    """Identities between the figures, and each rung of the ladders taken by some scheme."""
+    rows = catalog.QUERIES["g10_fund_frame"](spark, sf.replace("0.001", "0.01")).collect()
+    assert len(rows) == 25
+    for r in rows:
+        if r["tvpi_method"] == "distributions":
+            assert r["tvpi"] == pytest.approx(r["dpi"] + r["rvpi"], abs=2e-4)
+        if r["gross_carry"] is not None:
+            assert 0 <= r["net_carry"] <= r["gross_carry"]
+        assert r["uncalled"] >= 0 and (r["residual"] is None or r["moic"] is not None)
+    assert {r["tvpi_method"] for r in rows} >= {"distributions", "nav"} and {r["nav_method"] for r in rows} >= {"built", "stated"}
+    net = catalog.QUERIES["g19_net_irr_ladder"](spark, sf).collect()
+    assert {r["method"] for r in net} == {"computed", "stated", "unavailable"}
+    match = catalog.QUERIES["c11_valuation_to_investment"](spark, sf).collect()
+    assert {r["rung"] for r in match} == {1, 2, 3, 4, 5} and len({r["val_id"] for r in match}) == len(match)
+
+
+def test_peer_scores_by_hand(spark):
+    """Against the others' mean and sample deviation: 1, 2 and 3 for 10; fewer than two others, and others that don't differ."""
+    rows = [(1, "a", 1.0), (2, "a", 2.0), (3, "a", 3.0), (4, "a", 10.0), (5, "b", 1.0), (6, "b", 2.0), (7, "c", 5.0), (8, "c", 5.0), (9, "c", 900.0)]
+    f = spark.createDataFrame(rows, "company_id long, sector string, x double")
+    got = {r["company_id"]: r["x_z"] for r in portfolio.peer_scores(f, ("x",)).collect()}
+    assert got[4] == pytest.approx(8.0) and got[5] is None and got[9] == 0.0
+
+
 def test_dcf_by_hand(spark):
     got = spark.range(1).select(money.dcf(F.array(*map(F.lit, (10.0, 15.0, 20.0))), F.lit(0.18), F.lit(0.04))).first()[0]
     assert got == pytest.approx(121.85, abs=0.01)
