@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, licences, mixing, quality, rules, secret_scan, simhash, url_filter
+from . import chat, decontam, langid, licences, merkle, mixing, quality, rules, secret_scan, simhash, tokenfiles, trie, url_filter
 from .common import crc_mod, materialize, table
 from .oracles import ORACLES  # noqa: F401  SQL for those that SQL can express; the others are tested against brute-force versions in tests/llm
 
@@ -62,10 +62,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(vocabulary))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.proofs(table(spark, sf_dir, "documents").select(*merkle.FIELDS), merkle.tampered(F.col("doc_id")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_classifier, op3_quality_rules, op4_license_scan, op5_chat_formatting,
         op6_url_filter, op7_decontamination, op8_simhash, op9_mixing, op10_secret_scan,
+        op11_token_ids, op12_merkle_manifest, op13_prefix_trie,
     )
 }
