@@ -1,6 +1,7 @@
 """Benchmark decontamination: which documents hold which benchmark items.
 
-Texts become lower-case words of letters and digits and shingles of five words (a shorter text is one shingle). An item leaks into
+Texts become lower-case words of letters and digits and shingles of five words (a shorter text is one shingle). Where items have fewer
+words, documents are cut into runs of as many words too, so such an item is found wherever a document has its words in a row. An item leaks into
 a document that holds at least 0.8 of its shingles; the document may be far longer than the item, so what is compared is
 containment, not resemblance. Items are partitioned by size. All items of a partition keep as many least hashes of their
 shingles (a bottom-k MinHash sketch) that, if 0.8 of an item's shingles are in a document, some of its sketch must be too: the
@@ -15,6 +16,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +40,13 @@ def words(text: Column) -> Column:
     return F.element_at(F.transform(F.array(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")), inner), 1)
 
 
-def shingles(text: Column, one: str, k: int = WORDS) -> Column:
-    """Of a text: hashes or texts, as one says, repeats included. The words are cut once and then looked at by place."""
+def shingles(text: Column, one: str, sizes: Sequence[int] = (WORDS,)) -> Column:
+    """Of a text: hashes or texts, as one says, of these sizes, repeats included. The words are cut once and then looked at by place."""
 
     def cut(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
-        made = F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, k)) if one == "hash" else F.array_join(F.slice(w, i, k), " "))
+        starts = lambda k: F.sequence(F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(1)))
+        run = lambda k: lambda i: F.xxhash64(F.slice(w, i, k)) if one == "hash" else F.array_join(F.slice(w, i, k), " ")
+        made = F.concat(*[F.transform(starts(k), run(k)) for k in sizes])
         return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>" if one == "hash" else "array<string>"))
 
     return F.element_at(F.transform(F.array(words(text)), cut), 1)
@@ -61,6 +65,12 @@ def index(items: DataFrame, least: float = LEAST) -> DataFrame:
     return sized.select("item_id", "n", "shingle", "h", (F.col("at") <= F.col("k")).alias("sketched"), (F.least("k", "n") - F.col("may_miss")).alias("needed"))
 
 
+def sizes_of(items: DataFrame) -> list[int]:
+    """The sizes to cut documents to: five words, and the sizes of items that have fewer. Five numbers at most."""
+    n = items.select(F.size(words(F.col("text"))).alias("n")).filter(F.col("n").between(1, WORDS - 1)).distinct()
+    return [WORDS, *sorted(r["n"] for r in n.collect())]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked to be broadcast if it has been counted and found small."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -69,8 +79,9 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_rows: int = BROADCAST_ROWS, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """docs(doc_id, text) and items(item_id, text) to doc_id, text_hash, item_id, n_item, n_shared, containment."""
     filed = materialize(index(items, least))
+    sizes = sizes_of(items)
     sketch = filed.filter("sketched").select("item_id", "h", "needed").distinct()
-    probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(shingles(F.col("text"), "hash")).alias("h"))
+    probes = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(shingles(F.col("text"), "hash", sizes)).alias("h"))
     if sketch.count() <= broadcast_rows:
         sketch = F.broadcast(sketch)
     else:
@@ -82,7 +93,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, broadcast_row
     who = candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     again = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     again = again.join(small(who, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
-    held = again.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(F.col("text"), "text"))).alias("shingle"))
+    held = again.select("doc_id", "text_hash", F.explode(F.array_distinct(shingles(F.col("text"), "text", sizes))).alias("shingle"))
     full = small(filed.select("item_id", "n", "shingle"), broadcast_rows)
     pair = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("text_hash") == F.col("t"), F.col("item_id").eqNullSafe(F.col("i"))]
     shared = held.join(full, "shingle").join(candidates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("item_id").alias("i")), pair[0] & pair[1] & pair[2], "left_semi")

@@ -15,7 +15,8 @@ _SHINGLES = r"""list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN
 DECONTAMINATION = rf"""
 WITH i AS (SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM benchmark)),
   sized AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS n_item FROM i),
-  d AS (SELECT doc_id, text, unnest({_SHINGLES}) AS s FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents))
+  short AS (SELECT coalesce(list(DISTINCT n) FILTER (n BETWEEN 1 AND 4), []) AS ks FROM (SELECT len(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+'))::BIGINT AS n FROM benchmark)),
+  d AS (SELECT DISTINCT doc_id, text, unnest(list_concat({_SHINGLES}, flatten(list_transform(ks, lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))))) AS s FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents), short)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*)::DOUBLE / n_item AS containment
 FROM d JOIN sized USING (s) GROUP BY doc_id, text, item_id, n_item HAVING count(*) >= 0.8 * n_item - 1e-9
 """

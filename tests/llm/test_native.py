@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundloom.llm import chat, decontam, mixing, queries, secret_scan, url_filter
+from fundloom.llm.ranks import dealt
 from tests.llm.test_queries import W, docs, same, tables  # noqa: F401  fixtures
 
 
@@ -160,12 +161,16 @@ def test_leaks(spark, tables, docs):  # noqa: F811
         w = re.findall(r"[^\W_]+", (text or "").lower())
         return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
+    def runs(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        return {" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1)}
+
     items = collections.defaultdict(set)
     for r in spark.read.parquet(f"{tables}/benchmark.parquet").collect():
         items[r["item_id"]] |= cut(r["text"])
     want = set()
     for r in docs:
-        own = cut(r["text"])
+        own = cut(r["text"]) | runs(r["text"])
         want |= {(r["doc_id"], i, len(s), len(s & own)) for i, s in items.items() if s and len(s & own) >= 0.8 * len(s) - 1e-9}
     assert want
     assert {tuple(r)[:4] for r in queries.op7_decontamination(spark, tables).collect()} == want
@@ -177,6 +182,32 @@ def test_leaks_do_not_depend_on_broadcasts(spark, tables):  # noqa: F811
     assert key(decontam.leaks(d, b)) == key(decontam.leaks(d, b, broadcast_rows=0)) == key(decontam.leaks(d, b, broadcast_rows=0, broadcast_hashes=0))
 
 
+def test_items_of_few_words_leak(spark):
+    docs = [(1, "one two three four five six seven eight nine ten"), (2, "Three, four; five six!"), (3, "three four five"), (4, None), (5, "three four five seven six"), (6, "ten"), (7, "often")]
+    items = [(1, "three four five six"), (2, "one two three four five"), (3, "TEN"), (4, ""), (5, None), (6, "three four five seven"), (6, "six")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for more in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "broadcast_hashes": 0}):
+        got = {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in decontam.leaks(d, b, **more).collect()}
+        assert got == {(1, 1, 1, 1), (2, 1, 1, 1), (1, 2, 1, 1), (1, 3, 1, 1), (6, 3, 1, 1), (5, 6, 2, 2)}
+    assert {r["doc_id"] for r in decontam.clean(d, b).collect()} == {3, 4, 7}
+
+
+def test_mixing_splits_rows_without_an_id(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int")).alias("text"), F.lit("a").alias("source"))
+    rows = rows.unionByName(spark.range(500).select(F.lit(1).alias("doc_id"), F.lit("w w").alias("text"), F.lit("b").alias("source")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sized = dealt(rows.filter("doc_id is null"), "source", ["doc_id"])
+        assert sized.groupBy("part").count().agg(F.max("count")).first()[0] < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = mixing.mix(rows).collect()
+    assert len(got) == 6500 and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert sum(r["size"] for r in own) == own[0]["source_size"] and abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 

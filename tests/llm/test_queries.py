@@ -81,6 +81,25 @@ def test_language_sample_counts_distinct_texts(spark):
     assert set(langid.fit(copies.unionByName(single), rows=100)["langs"]) == {"copied", "single"}
 
 
+def test_any_number_of_languages(spark):
+    """With more than LANGS languages the most taught are learned, and every text gets one of them; the sample keeps its bounds."""
+    n = langid.LANGS + 40
+    rows = [(f"{chr(0x4E00 + k)}{chr(0x5000 + k)} " * (3 + i), f"lang{k:04d}") for k in range(n) for i in range(2 + (k < langid.LANGS))]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.identify(docs, F.lit(False)).collect()
+    assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {f"lang{k:04d}" for k in range(langid.LANGS)}
+    right = sum(r["lang_pred"] == rows[r["doc_id"]][1] for r in got)
+    assert right >= 0.8 * 3 * langid.LANGS
+
+
+def test_language_sample_keeps_its_bounds(spark, monkeypatch):
+    docs = spark.range(3000).select(F.concat(F.lit("text "), F.col("id").cast("string"), F.repeat(F.lit(" abc"), (F.col("id") % 9).cast("int"))).alias("text"), (F.col("id") % 3).cast("string").alias("lang"))
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 300)
+    assert 220 <= len(langid.sample(docs)) <= 380
+    monkeypatch.setattr(langid, "SAMPLE_PAIRS", 2000)
+    assert 0 < sum(len(r[2]) for r in langid.sample(docs)) <= 3000
+
+
 def test_ngrams_do_not_depend_on_stretches(monkeypatch):
     text = "Où est-ce que le café? " * 40
     whole = langid.grams(text)
@@ -143,6 +162,58 @@ def test_trees_one_walk_a_row():
     assert ((got > 0.5) == (y == 1)).mean() > 0.97
 
 
+def test_copies_teach_a_model(spark):
+    """400 labelled rows of 4 distinct statistics, with a bound of 40: all four are learned from, by their mean labels."""
+    for k in range(6):
+        rows = [([float(i % 4 + k)] * len(textstats.FEATURES), float(i % 4 > 1)) for i in range(400)]
+        model = quality.fit(spark.createDataFrame(rows, "x array<double>, y double"), 40)
+        assert model is not None and abs(model["base"]) < 1e-9
+    one = quality.fit(spark.createDataFrame([([float(i)] * len(textstats.FEATURES), 1.0) for i in range(50)], "x array<double>, y double"), 1)
+    assert quality.scores(one, np.zeros((1, len(textstats.FEATURES))))[0] > 0.7
+
+
+def test_growth_of_trees_by_hand():
+    """A plain version: every split of every node by trying all cuts between the bins' edges."""
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(0, 12, (300, 3)).astype(float)
+    y = (x[:, 0] + rnd.normal(0, 2, 300) > 6).astype(float)
+    model = quality.grow(x, y)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, quality.BINS + 1)[1:-1])) for j in range(3)]
+    f = np.full(300, model["base"])
+
+    def leaf_values(rows, g, h, depth, out):
+        gs, hs, best, cut = g[rows].sum(), h[rows].sum(), 1e-6, None
+        for j in range(3) if depth < quality.DEPTH else ():
+            for e in edges[j]:
+                left, right = rows[x[rows, j] <= e], rows[x[rows, j] > e]
+                if min(len(left), len(right)) < quality.LEAST_LEAF:
+                    continue
+                part = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.SHRINK)
+                gain = part(left) + part(right) - gs**2 / (hs + quality.SHRINK)
+                if gain > best + 1e-9:
+                    best, cut = gain, (left, right)
+        if cut is None:
+            out[rows] = quality.RATE * gs / (hs + quality.SHRINK)
+        else:
+            for r in cut:
+                leaf_values(r, g, h, depth + 1, out)
+
+    for k in range(5):
+        p = 1 / (1 + np.exp(-f))
+        out = np.zeros(300)
+        leaf_values(np.arange(300), y - p, p * (1 - p), 0, out)
+        f += out
+        part = dict(model, roots=model["roots"][: k + 1])
+        assert quality.scores(part, x) == pytest.approx(1 / (1 + np.exp(-f)), abs=1e-9)
+
+
+def test_binomial_tails():
+    for n, k, p in ((50, 3, 0.02), (50, 0, 0.02), (10, 9, 0.3), (10, 10, 0.3), (400, 12, 0.05), (400, 40, 0.05), (7, -1, 0.5)):
+        want = math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+        assert rules.binomial_below(k, n, p) == pytest.approx(want, rel=1e-10, abs=1e-300)
+    assert rules.binomial_below(10**7 - 10**4, 10**9, 0.01) == pytest.approx(0.00074, rel=0.02)  # a normal deviate of -3.178
+
+
 def test_quality_classifier(spark, sf, tables, docs):
     got = queries.op2_quality_classifier(spark, tables).collect()
     assert len(got) == len(docs) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
