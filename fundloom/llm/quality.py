@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The statistics of every whole text are found once and written down. Trees are grown on at most about ``TRAIN_ROWS`` labelled rows,
-chosen by a hash of the statistics: each statistic is cut into ``BINS`` bins by its quantiles, and a node is split where the
+The statistics of every whole text are found once and written down. Trees are grown on at most about ``TRAIN_ROWS`` distinct statistics of
+labelled rows, chosen by their hash; of rows with equal statistics the mean label counts: each statistic is cut into ``BINS`` bins by its quantiles, and a node is split where the
 histogram of gradients gains most. The grown trees are flattened into arrays (feature, threshold, left, right, value), and a batch
 of rows goes down all trees at once, level by level, in numpy.
 
@@ -24,7 +24,7 @@ from .arrow import map_texts
 from .common import materialize
 from .textstats import FEATURES, features
 
-#: Bound of the labelled rows that the trees are grown on.
+#: Bound of the distinct statistics of labelled rows that the trees are grown on.
 TRAIN_ROWS = 20_000
 BINS, TREES, DEPTH, RATE, LEAST_LEAF, SHRINK = 64, 60, 4, 0.15, 20, 1.0
 LEAF = -1
@@ -86,13 +86,16 @@ def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> dict | None:
     """labelled(x, y) to a model; None if it has no rows."""
-    n = labelled.count()
+    distinct = labelled.withColumn("h", F.xxhash64(F.col("x"), F.lit(7))).groupBy("h", "x").agg(F.avg("y").alias("y"))
+    n = distinct.count()
     if not n:
         return None
     parts = 1 << 50
-    got = labelled.withColumn("h", F.xxhash64(F.col("x"), F.lit(7))).filter(F.pmod("h", F.lit(parts)) < F.lit(max(1, int(min(1.0, rows / n) * parts))))
-    got = sorted((r["h"], r["y"], r["x"]) for r in got.groupBy("h", "x").agg(F.avg("y").alias("y")).toLocalIterator())
-    return grow(np.array([r[2] for r in got], dtype=np.float64), np.array([r[1] for r in got], dtype=np.float64)) if got else None
+    chosen = distinct.filter(F.pmod("h", F.lit(parts)) < F.lit(max(1, int(min(1.0, rows / n) * parts))))
+    # With a bound of a few rows it may happen that none is chosen; then the first by hash are.
+    got = list(chosen.toLocalIterator()) or distinct.orderBy("h").limit(max(1, rows)).collect()
+    got = sorted((r["h"], r["y"], r["x"]) for r in got)
+    return grow(np.array([r[2] for r in got], dtype=np.float64), np.array([r[1] for r in got], dtype=np.float64))
 
 
 def score(stats: DataFrame, model: dict | None) -> DataFrame:
