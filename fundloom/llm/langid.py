@@ -2,13 +2,14 @@
 
 N-grams of one to three characters, over lower-case letters with other characters as one blank, are hashed into buckets. Document
 frequencies are counted over all documents to learn from. The weights are trained by follow-the-regularised-leader with elastic
-net, on at most about ``TRAIN_ROWS`` distinct texts a language, chosen by a hash; each fifth of those is kept back, and on it a
+net, on at most about ``TRAIN_ROWS`` distinct texts a language and ``SAMPLE_ROWS`` in all, chosen by a hash; each fifth of those is kept back, and on it a
 temperature is fitted that calibrates the scores; with fewer than 20 * ``CALIBRATION`` sampled texts none is kept back and the temperature is 1.
 Every text is then scored whole.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is any text if there is nothing to learn from; with
 one language only, all other texts get it with score 1; rows with a null language teach nothing; repeated rows count once in training;
-of equally likely languages the first by code point is told; more than ``LANGS`` languages are refused with an error; a very long text is hashed in
+of equally likely languages the first by code point is told; of more than ``LANGS`` languages those with the most distinct texts are learned, the first by
+code point of equals, and every text is still given one of them; a very long text is hashed in
 stretches; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -24,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts, slices
+from .common import discard, materialize
 
 BITS = 15
 BUCKETS = 1 << BITS
 #: Bound of the sample that trains the weights, in distinct texts a language.
 TRAIN_ROWS = 1500
-#: So many languages may be learned: the weights of one take 128 kB, sent to every executor.
+#: So many languages are learned, those with the most distinct texts: the weights of one take 128 kB, sent to every executor.
 LANGS = 400
+#: Bounds of the whole sample: distinct texts, which the languages share, and (bucket, count) pairs, some eight bytes each in the driver.
+SAMPLE_ROWS, SAMPLE_PAIRS = 20_000, 20_000_000
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 #: One of so many sampled texts is kept back for the temperature.
 CALIBRATION = 5
@@ -92,21 +96,22 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sample(taught: DataFrame, rows: int = TRAIN_ROWS) -> list:
-    """About rows distinct texts of each language, chosen by the text's hash, as (lang, h, found, times)."""
+    """About rows distinct texts of each language, fewer if that would pass the bounds of the whole sample, chosen by the text's hash, as (lang, h, found, times)."""
     distinct = taught.select("lang", F.xxhash64("text").alias("h")).distinct()
-    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGS + 1).collect()}
-    if len(sizes) > LANGS:
-        raise ValueError(f"more than {LANGS} languages")
+    sizes = {r["lang"]: r["n"] for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()}
     if not sizes:
         return []
+    rows = max(1, min(rows, SAMPLE_ROWS // len(sizes)))
     parts = 1 << 50
     h = F.pmod(F.xxhash64("text"), F.lit(parts))
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = F.when(F.col("lang") == lang, h < F.lit(max(1, int(min(1.0, rows / n) * parts)))).otherwise(keep)
-    chosen = taught.filter(keep).select("lang", "text").distinct().withColumn("h", F.xxhash64("text"))
-    cut = map_texts(chosen, lambda t: tuple(x.tolist() for x in grams(t)), "found array<int>, times array<int>")
-    return sorted(((r["lang"], r["h"], np.array(r["found"], dtype=np.int64), np.array(r["times"])) for r in cut.filter(F.size("found") > 0).toLocalIterator()), key=lambda r: (r[1], r[0]))
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, int(min(1.0, rows / n) * parts)))])
+    chosen = taught.filter(h < F.try_element_at(shares, F.col("lang"))).select("lang", "text").distinct().withColumn("h", F.xxhash64("text"))
+    cut = materialize(map_texts(chosen, lambda t: tuple(x.tolist() for x in grams(t)), "found array<int>, times array<int>").filter(F.size("found") > 0))
+    pairs = cut.agg(F.sum(F.size("found"))).first()[0] or 0
+    held = cut.filter(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(parts)) < F.lit(int(min(1.0, SAMPLE_PAIRS / max(pairs, 1)) * parts)))
+    got = sorted(((r["lang"], r["h"], np.array(r["found"], dtype=np.int32), np.array(r["times"], dtype=np.int32)) for r in held.toLocalIterator()), key=lambda r: (r[1], r[0]))
+    discard(cut)
+    return got
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
