@@ -15,12 +15,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize
+from .ranks import dealt
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
-#: Hex digits of the hash that cut a source into parts; 16 ** DIGITS parts a source.
-DIGITS = 3
 
 
 def ranked_sources(sizes: DataFrame, parts: int = 32) -> DataFrame:
@@ -61,7 +60,7 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...
     taken is how many of its words the mix takes: ``copies`` times the whole text and its first ``part`` words.
     """
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = materialize(sized.withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))))
+    sized = dealt(sized.withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":" + seed)))), "source", ["h", "doc_id", "size"])
     sources = materialize(
         water_fill(
             materialize(
@@ -74,18 +73,18 @@ def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, weights: tuple[int, ...
         .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("rest", F.least(F.col("source_size"), F.floor(F.col("target") - F.col("copies") * F.col("source_size") + 0.5).cast("long")))
     )
-    # Where a document begins in its source's seeded order: what earlier parts hold, and what is before it in its own part. The
-    # window over parts sees 16 ** DIGITS rows a source at most, the one inside a part about that fraction of the source.
-    part = F.substring("h", 1, DIGITS)
-    held = sized.groupBy("source", part.alias("p")).agg(F.sum("size").alias("held"))
+    # Where a document begins in its source's seeded order: what earlier parts hold, and what is before it in its own part. Parts are
+    # ranges of that order, so rows with no id, or with one id, are split over as many as others are.
+    sized = sized.withColumnRenamed("part", "p")
+    held = sized.groupBy("source", "p").agg(F.sum("size").alias("held"))
     starts = held.select("source", "p", (F.sum("held").over(Window.partitionBy("source").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("start"))
     cut = (
         starts.alias("a")
         .join(sources.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source")))
         .select("a.source", "a.p", "a.start", "s.source_size", "s.target", "s.copies", "s.rest")
     )
-    inside = Window.partitionBy("source", "p").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("p", part).withColumn("at", F.sum("size").over(inside) - F.col("size"))
+    inside = Window.partitionBy("source", "p").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.withColumn("at", F.sum("size").over(inside) - F.col("size"))
     want = F.col("c.rest") - F.col("c.start") - F.col("d.at")
     out = (
         placed.alias("d")
