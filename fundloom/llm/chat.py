@@ -25,6 +25,8 @@ LANES = 3
 #: A lane's hash has 40 bits, so a running sum fits in a long for 8 million turns of one range; sums over ranges are cut to 40 bits.
 LANE_BITS = 40
 MASK = (1 << LANE_BITS) - 1
+#: Characters of a text that tell ranges apart; the order within a range is by the whole text.
+OPENING = 64
 #: A block holds the turns that begin in one stretch of so many characters of the chat, each whole.
 BLOCK_CHARS = 1 << 22
 
@@ -36,7 +38,8 @@ def block_of_turn(role: Column, text: Column) -> Column:
 def dealt(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) without repeated rows, with range and seq: seq rises in order and by one within a range."""
     keys = ["conv_id", "turn", "role", "text"]
-    ranged = turns.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # The bounds of ranges are sampled into the driver: an opening of the text is enough there, and keeps the order.
+    ranged = turns.select(*keys).distinct().repartitionByRange(*keys[:3], F.left("text", F.lit(OPENING))).sortWithinPartitions(*keys)
     return materialize(ranged.withColumn("range", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()))
 
 
