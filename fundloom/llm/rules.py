@@ -51,12 +51,24 @@ def measure(text: str | None) -> tuple:
 
 
 def binomial_below(k: int, n: int, p: float) -> float:
-    """Probability of k or fewer of n, each with probability p: summed exactly, in logarithms."""
+    """Probability of k or fewer of n, each with probability p, to double precision.
+
+    The shorter tail is summed from k outwards, each term from its neighbour, until terms vanish: some sqrt(n) of them.
+    """
     if k >= n:
         return 1.0
-    log = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(log)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in log))
+    if k < 0:
+        return 0.0
+    down = k <= n * p
+    i = k if down else k + 1
+    odds = p / (1 - p)
+    first = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
+    term, tail = 1.0, 0.0
+    while term > 1e-18 * tail and 0 <= i <= n:
+        tail += term
+        term *= i / ((n - i + 1) * odds) if down else (n - i) * odds / (i + 1)
+        i += -1 if down else 1
+    return min(1.0, first * tail) if down else max(0.0, 1.0 - first * tail)
 
 
 def chosen(cells: list[tuple[int, int, int]], risk: float, level: float, price: float = PRICE) -> int | None:
