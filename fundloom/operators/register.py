@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import flow, xirr
 from ..registry import query
-from ..sources.tables import AS_OF, dbl, ratio
+from ..sources.tables import AS_OF, MONEY, dbl, ratio
 from ..sources.upsert import upserted
 from .finance import FLOWS, flows, irr_sql
 from .fundframe import FRAME, frame, ladder
@@ -15,23 +15,23 @@ from .portfolio import KPI, MIS, SLUGS, kpi, mis
 from .relational import LATEST_VAL, latest_valuation
 
 SNAPSHOTS = """snap AS (SELECT payer_id * 3 + part_id % 3 AS commitment, payer_id, s_nationkey AS scheme, arg_max({'a': gross * 2, 'b': gross, 'c': CASE WHEN flag = 'R' THEN net ELSE 0 END, 'd': qty * 1000, 'e': CASE WHEN n <> 1 THEN tax / gross * 100 END}, (d, inv_id, n)) AS x FROM recv JOIN supplier ON s_suppkey = payer_id GROUP BY 1, 2, 3),
-lp AS (SELECT commitment, payer_id, scheme, x.a::DOUBLE AS committed, x.b::DOUBLE AS called, x.c::DOUBLE AS distributed, x.d::DOUBLE AS unrealized, x.e::DOUBLE AS irr FROM snap)"""
-TOTALS = "round(sum(committed), 2) AS committed, round(sum(called), 2) AS called, round(sum(distributed), 2) AS distributed, round(sum(unrealized), 2) AS unrealized, round((sum(distributed) + sum(unrealized)) / nullif(sum(called), 0), 4) AS tvpi, round(sum(distributed) / nullif(sum(called), 0), 4) AS dpi, round(sum(unrealized) / nullif(sum(called), 0), 4) AS rvpi, round(sum(irr * called) / nullif(sum(called), 0), 4) AS irr, count(*) AS commitments"
+lp AS (SELECT commitment, payer_id, scheme, x.a::DECIMAL(18,2) AS committed, x.b AS called, x.c::DECIMAL(18,4) AS distributed, x.d::DECIMAL(18,2) AS unrealized, x.e::DOUBLE AS irr FROM snap)"""
+TOTALS = "round(sum(committed), 2)::DOUBLE AS committed, round(sum(called), 2)::DOUBLE AS called, round(sum(distributed), 2)::DOUBLE AS distributed, round(sum(unrealized), 2)::DOUBLE AS unrealized, round((sum(distributed) + sum(unrealized))::DOUBLE / nullif(sum(called), 0)::DOUBLE, 4) AS tvpi, round(sum(distributed)::DOUBLE / nullif(sum(called), 0)::DOUBLE, 4) AS dpi, round(sum(unrealized)::DOUBLE / nullif(sum(called), 0)::DOUBLE, 4) AS rvpi, round(sum(irr * called::DOUBLE) / nullif(sum(called), 0)::DOUBLE, 4) AS irr, count(*) AS commitments"
 
 
 def snapshots(t) -> DataFrame:
     """The newest capital account of each commitment: of a payer's receipts, dealt out to three commitments by part."""
     r = t.recv.withColumn("commitment", F.col("payer_id") * 3 + F.col("part_id") % 3)
-    account = F.struct((dbl("gross") * 2).alias("committed"), dbl("gross").alias("called"), F.when(F.col("flag") == "R", dbl("net")).otherwise(0.0).alias("distributed"), (dbl("qty") * 1000).alias("unrealized"), F.when(F.col("n") != 1, dbl("tax") / dbl("gross") * 100).alias("irr"))
+    account = F.struct((F.col("gross") * 2).cast(MONEY).alias("committed"), F.col("gross").alias("called"), F.when(F.col("flag") == "R", F.col("net")).otherwise(F.lit(0).cast("decimal(18,4)")).alias("distributed"), (F.col("qty") * 1000).cast(MONEY).alias("unrealized"), F.when(F.col("n") != 1, dbl("tax") / dbl("gross") * 100).alias("irr"))
     newest = r.groupBy("commitment", "payer_id").agg(F.max_by(account, F.struct("d", "inv_id", "n")).alias("x")).select("commitment", "payer_id", "x.*")
     return newest.join(t.supplier.select(F.col("s_suppkey").alias("payer_id"), F.col("s_nationkey").alias("scheme")), "payer_id")
 
 
 def totals():
-    """Ratios are of sums; the mean rate is weighed by what was called, in whole, also by accounts without a rate."""
+    """Ratios are of exact sums; the mean rate is weighed by what was called, in whole, also by accounts without a rate."""
     s, called = F.sum, F.sum("called")
-    over = lambda x: F.round(F.try_divide(x, F.nullif(called, F.lit(0.0))), 4)
-    return [*[F.round(s(c), 2).alias(c) for c in ("committed", "called", "distributed", "unrealized")], over(s("distributed") + s("unrealized")).alias("tvpi"), over(s("distributed")).alias("dpi"), over(s("unrealized")).alias("rvpi"), over(s(F.col("irr") * F.col("called"))).alias("irr"), F.count("*").alias("commitments")]
+    over = lambda x: ratio(x, called)
+    return [*[dbl(F.round(s(c), 2)).alias(c) for c in ("committed", "called", "distributed", "unrealized")], over(s("distributed") + s("unrealized")).alias("tvpi"), over(s("distributed")).alias("dpi"), over(s("unrealized")).alias("rvpi"), over(s(F.col("irr") * dbl("called"))).alias("irr"), F.count("*").alias("commitments")]
 
 
 @query("g30_lp_dashboard", f"WITH {SNAPSHOTS} SELECT scheme::BIGINT AS scheme, {TOTALS} FROM lp GROUP BY ROLLUP (scheme)")
@@ -40,9 +40,9 @@ def g30(t):
     return snapshots(t).withColumn("scheme", F.col("scheme").cast("long")).rollup("scheme").agg(*totals())
 
 
-@query("n13_per_lp", f"WITH {SNAPSHOTS} SELECT payer_id, {TOTALS}, round(sum(called) / nullif(sum(committed), 0) * 100, 2) AS called_pct, round(sum(distributed) + sum(unrealized) - sum(called), 2) AS position FROM lp GROUP BY 1")
+@query("n13_per_lp", f"WITH {SNAPSHOTS} SELECT payer_id, {TOTALS}, round(sum(called)::DOUBLE / nullif(sum(committed), 0)::DOUBLE * 100, 2) AS called_pct, round(sum(distributed) + sum(unrealized) - sum(called), 2)::DOUBLE AS position FROM lp GROUP BY 1")
 def n13(t):
-    return snapshots(t).groupBy("payer_id").agg(*totals(), F.round(F.try_divide(F.sum("called"), F.nullif(F.sum("committed"), F.lit(0.0))) * 100, 2).alias("called_pct"), F.round(F.sum("distributed") + F.sum("unrealized") - F.sum("called"), 2).alias("position"))
+    return snapshots(t).groupBy("payer_id").agg(*totals(), F.round(F.try_divide(dbl(F.sum("called")), F.nullif(dbl(F.sum("committed")), F.lit(0.0))) * 100, 2).alias("called_pct"), dbl(F.round(F.sum("distributed") + F.sum("unrealized") - F.sum("called"), 2)).alias("position"))
 
 
 @query("n12_per_investment", f"""WITH RECURSIVE {FLOWS}, {irr_sql('fl', 'inv_id')}, x AS (SELECT inv_id, sum(net)::DOUBLE AS got, sum(CASE WHEN flag = 'R' THEN net ELSE 0 END)::DOUBLE AS realised FROM recv GROUP BY 1)
