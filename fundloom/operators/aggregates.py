@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.tables import dbl, ratio, total
+from ..streaming.prices import judged
 
 
 @query("d01_global_totals", "SELECT coalesce(sum(cost), 0)::DOUBLE AS cost, count(*) AS n FROM inv WHERE status = 'X'")
@@ -235,9 +238,6 @@ def e10(t):
     return g.select("company_id", F.coalesce(dbl("a"), F.lit(0.0)).alias("ytd"), F.coalesce(dbl("b"), F.lit(0.0)).alias("prior_ytd"), pct.alias("yoy_pct"))
 
 
-BREAK = 0.2
-
-
 @query("e11_circuit_breaker", """WITH RECURSIVE o AS (SELECT holding_id, val_id, fair, row_number() OVER (PARTITION BY holding_id ORDER BY ts, val_id) rn FROM val WHERE fair > 0),
   w AS (SELECT holding_id, val_id, rn, true AS accepted, fair AS last FROM o WHERE rn = 1
   UNION ALL SELECT o.holding_id, o.val_id, o.rn, NOT (abs(o.fair::DOUBLE - w.last::DOUBLE) / w.last::DOUBLE > 0.2), CASE WHEN abs(o.fair::DOUBLE - w.last::DOUBLE) / w.last::DOUBLE > 0.2 THEN w.last ELSE o.fair END FROM w JOIN o ON o.holding_id = w.holding_id AND o.rn = w.rn + 1)
@@ -252,12 +252,15 @@ def e11(t):
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         holding, last = None, None
         for pdf in batches:
-            out = []
-            for h, fair in zip(pdf["holding_id"], pdf["fair"], strict=True):
-                ok = h != holding or abs(fair - last) / last <= BREAK
-                holding, last = h, fair if ok else last
-                out.append(ok)
-            yield pd.DataFrame({"val_id": pdf["val_id"], "accepted": out})
+            of, fair = pdf["holding_id"].to_numpy(), pdf["fair"].to_numpy()
+            cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)]
+            parts = []
+            for a, b in pairwise(cuts):
+                if b > a:
+                    ok, last = judged(fair[a:b], last if of[a] == holding else None)
+                    holding = of[a]
+                    parts.append(ok)
+            yield pd.DataFrame({"val_id": pdf["val_id"], "accepted": np.concatenate(parts) if parts else np.zeros(0, dtype=bool)})
 
     return rows.mapInPandas(fold, "val_id long, accepted boolean")
 

@@ -1,4 +1,4 @@
-"""Queries over irregular sheets, and lists and checks with all their parts (inventory A03, B01, C17, F12, H, I, J01, J10, K13, N and P)."""
+"""Queries over irregular sheets, and lists and checks with all their parts (inventory A03, B01, F12, H, I, J01, J10, K13, N and P)."""
 
 from __future__ import annotations
 
@@ -100,18 +100,6 @@ def b01(t):
     return seen.select("who", "fund", (F.col("role") != "lp").alias("may_edit"))
 
 
-@query("c17_ancestors_of_nodes", "WITH RECURSIVE n AS (SELECT company_id AS id, CASE WHEN company_id > 0 THEN (company_id - 1) // 4 END AS parent FROM company), up AS (SELECT id, parent AS anc, 1 AS depth FROM n WHERE parent IS NOT NULL UNION ALL SELECT up.id, n.parent, depth + 1 FROM up JOIN n ON n.id = up.anc WHERE n.parent IS NOT NULL) SELECT n.id, coalesce(string_agg(anc::VARCHAR, '>' ORDER BY depth DESC), '') AS ancestors FROM n LEFT JOIN up USING (id) GROUP BY 1")
-def c17(t):
-    """All ancestors of each node, the root first. A level is a join by parent; it ends when no node has one more, which a tree's depth bounds."""
-    c = F.col
-    nodes = t.company.select(c("company_id").alias("id"), F.when(c("company_id") > 0, F.floor((c("company_id") - 1) / 4)).alias("parent"))
-    above = nodes.select(c("id").alias("at"), c("parent").alias("next"))
-    now = nodes.select("id", F.array().cast("array<bigint>").alias("path"), c("parent").alias("at"))
-    for _ in range(16):
-        now = now.join(above, "at", "left").select("id", F.when(c("at").isNotNull(), F.array_prepend("path", c("at"))).otherwise(c("path")).alias("path"), "next").withColumnRenamed("next", "at")
-    return now.select("id", F.concat_ws(">", F.transform("path", lambda x: x.cast("string"))).alias("ancestors"))
-
-
 STATEMENTS = ("WITH a AS (SELECT 1), b AS (SELECT 2) SELECT * FROM a JOIN inv", "SELECT * FROM inv JOIN company", "WITH inv AS (SELECT 1) SELECT * FROM inv")
 
 

@@ -4,32 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..registry import query
+from ..sources.staging import staged
 from ..sources.tables import dbl, ratio, total
 
 
-#: positions() cuts the rows into ranges of about so many, 32 at least, and samples so many keys a range to set the bounds.
-RANGE_ROWS, RANGE_SAMPLE, RANGES = 1_000_000, 40, 32
-
-
 def positions(df: DataFrame, order: list[Column]) -> DataFrame:
     """All rows of df with pos, from 1, in the ascending order, nulls first; the order must end in a unique column.
 
-    Rows are numbered within ranges and lifted by the counts of earlier ranges, so no task holds all rows. The bounds are fixed
-    values, so every run of the plan cuts alike; which ones they are doesn't matter to the result.
+    Rows are dealt by ranges of the order and numbered within them; each is lifted by the counts of earlier ranges, a row a range.
     """
-    n = df.count()
-    ranges = max(RANGES, n // RANGE_ROWS)
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    some = keyed.select("_key").sample(min(1.0, ranges * RANGE_SAMPLE / max(n, 1)), seed=1).orderBy("_key").collect()
-    bounds = df.sparkSession.createDataFrame([([some[len(some) * i // ranges]["_key"] for i in range(1, ranges)] if some else [],)], T.StructType([T.StructField("_bounds", T.ArrayType(keyed.schema["_key"].dataType))]))
-    cut = keyed.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col("_key")))).drop("_bounds")  # one row
-    held = cut.groupBy("_range").agg(F.count("*").alias("_held"))
-    before = held.select("_range", (F.sum("_held").over(Window.orderBy("_range")) - F.col("_held")).alias("_before"))  # a row a range
-    own = F.row_number().over(Window.partitionBy("_range").orderBy("_key"))
-    return cut.withColumn("_own", own).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + F.col("_own")).cast("long").alias("pos"))
+    names = [f"_k{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(names, order, strict=True))).repartitionByRange(*names).sortWithinPartitions(*names).drop(*names)
+    dealt = staged(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()))
+    held = dealt.groupBy("_range").agg(F.count("*").alias("_held"), F.min("_seq").alias("_first"))
+    before = held.select("_range", (F.sum("_held").over(Window.orderBy("_range")) - F.col("_held") - F.col("_first") + 1).alias("_before"))
+    return dealt.join(before, "_range").select(*df.columns, (F.col("_seq") + F.col("_before")).cast("long").alias("pos"))
 
 
 @query("a01_scan_filter", "SELECT inv_id, company_id, cost::DOUBLE AS cost FROM inv WHERE status = 'F' AND cost > 400000")
@@ -275,15 +266,10 @@ def c22(t):
     return t.company.join(own, "company_id", "left").groupBy("fund").agg(total("cost", "committed"))
 
 
-@query("f01_nulls_first_order", "SELECT val_id, nullif(methodology, 'error') AS methodology, row_number() OVER (ORDER BY nullif(methodology, 'error') NULLS FIRST, val_id) AS pos FROM val ORDER BY methodology NULLS FIRST, val_id LIMIT 200")
-def f01(t):
-    top = t.val.select("val_id", F.nullif("methodology", F.lit("error")).alias("methodology")).orderBy(F.asc_nulls_first("methodology"), "val_id").limit(200)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.asc_nulls_first("methodology"), "val_id")).cast("long"))  # 200 rows
-
-
+@query("f01_nulls_first_order", "SELECT val_id, nullif(methodology, 'error') AS methodology, row_number() OVER (ORDER BY nullif(methodology, 'error') NULLS FIRST, val_id) AS pos FROM val")
 @query("f01_nulls_first_positions", "SELECT val_id, nullif(methodology, 'error') AS methodology, row_number() OVER (ORDER BY nullif(methodology, 'error') NULLS FIRST, val_id) AS pos FROM val")
 def f01_whole(t):
-    """The whole order; f01_nulls_first_order is its first 200 rows."""
+    """The whole order."""
     rows = t.val.select("val_id", F.nullif("methodology", F.lit("error")).alias("methodology"))
     return positions(rows, [F.col("methodology"), F.col("val_id")])
 
@@ -301,17 +287,11 @@ def f04(t):
 
 
 @query("f05_rag_order", """SELECT inv_id, rag, overdue, row_number() OVER (ORDER BY CASE rag WHEN 'red' THEN 0 WHEN 'amber' THEN 1 ELSE 2 END, overdue DESC, inv_id) AS pos FROM
-  (SELECT inv_id, CASE WHEN cost > 400000 THEN 'red' WHEN cost > 200000 THEN 'amber' ELSE 'green' END AS rag, date_diff('day', d, DATE '2001-12-31')::INT AS overdue FROM inv) ORDER BY pos LIMIT 100""")
-def f05(t):
-    rows = t.inv.select("inv_id", F.when(F.col("cost") > 400000, "red").when(F.col("cost") > 200000, "amber").otherwise("green").alias("rag"), F.datediff(F.lit("2001-12-31").cast("date"), "d").alias("overdue"))
-    order = [F.when(F.col("rag") == "red", 0).when(F.col("rag") == "amber", 1).otherwise(2), F.desc("overdue"), F.col("inv_id")]
-    return rows.orderBy(*order).limit(100).withColumn("pos", F.row_number().over(Window.orderBy(*order)).cast("long"))  # 100 rows
-
-
+  (SELECT inv_id, CASE WHEN cost > 400000 THEN 'red' WHEN cost > 200000 THEN 'amber' ELSE 'green' END AS rag, date_diff('day', d, DATE '2001-12-31')::INT AS overdue FROM inv)""")
 @query("f05_rag_positions", """SELECT inv_id, rag, overdue, row_number() OVER (ORDER BY CASE rag WHEN 'red' THEN 0 WHEN 'amber' THEN 1 ELSE 2 END, overdue DESC, inv_id) AS pos FROM
   (SELECT inv_id, CASE WHEN cost > 400000 THEN 'red' WHEN cost > 200000 THEN 'amber' ELSE 'green' END AS rag, date_diff('day', d, DATE '2001-12-31')::INT AS overdue FROM inv)""")
 def f05_whole(t):
-    """The whole order; f05_rag_order is its first 100 rows."""
+    """The whole order."""
     rows = t.inv.select("inv_id", F.when(F.col("cost") > 400000, "red").when(F.col("cost") > 200000, "amber").otherwise("green").alias("rag"), F.datediff(F.lit("2001-12-31").cast("date"), "d").alias("overdue"))
     rank = F.when(F.col("rag") == "red", 0).when(F.col("rag") == "amber", 1).otherwise(2)
     return positions(rows, [rank, F.col("overdue").isNull(), -F.col("overdue"), F.col("inv_id")])
