@@ -1,6 +1,6 @@
 """All queries of the engine by name, and their SQL."""
 
-from .operators import aggregates, documents, extras, finance, fundframe, ladders, names, portfolio, records, register, reporting, reshape, relational, scalars, sheets, trees  # noqa: F401  they register their queries
+from .operators import aggregates, documents, extras, finance, fundframe, ladders, names, portfolio, records, register, reporting, reshape, relational, routing, scalars, sheets, trees  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

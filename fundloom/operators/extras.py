@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..registry import query
 from ..sources.tables import AS_OF, dbl, ratio
+from .finance import COMPANY_RATES, company_rates
 from .fundframe import ladder
 from .portfolio import KPI, kpi
 from .records import CELLS, cells
@@ -223,15 +224,15 @@ def per_company(t) -> DataFrame:
 
 
 def shares(key: str, name: str, sql_key: str):
-    """The list by one attribute: count, its share, cost, value, the share of value, mean multiple."""
+    """The list by one attribute: count, its share, cost, value, the share of value, mean multiple and rate."""
 
-    @query(name, f"WITH {PER} SELECT {sql_key} AS {key}, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM c), 4)::DOUBLE AS pct_of_count, round(coalesce(sum(cost), 0), 2) AS cost, round(coalesce(sum(fv), 0), 2) AS fv, round(sum(fv) / (SELECT sum(fv) FROM c) * 100, 4) AS pct_of_fv, round(avg(moic), 6) AS mean_moic FROM c GROUP BY 1")
+    @query(name, f"WITH RECURSIVE {PER}, {COMPANY_RATES}, r AS (SELECT company_id, CASE WHEN irr BETWEEN -99.99 AND 999.99 THEN irr::DECIMAL(18,4) END AS irr FROM irr) SELECT {sql_key} AS {key}, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM c), 4)::DOUBLE AS pct_of_count, round(coalesce(sum(cost), 0), 2) AS cost, round(coalesce(sum(fv), 0), 2) AS fv, round(sum(fv) / (SELECT sum(fv) FROM c) * 100, 4) AS pct_of_fv, round(avg(moic), 6) AS mean_moic, round(sum(irr)::DOUBLE / count(irr), 4) AS mean_irr FROM c LEFT JOIN r USING (company_id) GROUP BY 1")
     def f(t):
         c = F.col
-        g = per_company(t).groupBy(c(sql_key).alias(key)).agg(F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sum("fv").alias("fv"), F.avg("moic").alias("m"))
+        g = per_company(t).join(company_rates(t), "company_id", "left").groupBy(c(sql_key).alias(key)).agg(F.sum(c("irr").cast("decimal(18,4)")).alias("rates"), F.count("irr").alias("rated"), F.count("*").alias("n"), F.sum("cost").alias("cost"), F.sum("fv").alias("fv"), F.avg("moic").alias("m"))
         whole = g.agg(F.sum("n").alias("all_n"), F.sum("fv").alias("all_fv"))
         zero = F.lit(0.0)
-        return g.crossJoin(whole).select(key, "n", F.round(c("n") * 100.0 / c("all_n"), 4).alias("pct_of_count"), F.round(F.coalesce("cost", zero), 2).alias("cost"), F.round(F.coalesce("fv", zero), 2).alias("fv"), F.round(F.try_divide("fv", F.nullif("all_fv", zero)) * 100, 4).alias("pct_of_fv"), F.round("m", 6).alias("mean_moic"))  # one row
+        return g.crossJoin(whole).select(key, "n", F.round(c("n") * 100.0 / c("all_n"), 4).alias("pct_of_count"), F.round(F.coalesce("cost", zero), 2).alias("cost"), F.round(F.coalesce("fv", zero), 2).alias("fv"), F.round(F.try_divide("fv", F.nullif("all_fv", zero)) * 100, 4).alias("pct_of_fv"), F.round("m", 6).alias("mean_moic"), ratio("rates", "rated").alias("mean_irr"))  # one row
 
     return f
 
@@ -278,14 +279,13 @@ def n17(t):
     return r.groupBy(c("line").alias("exit_type")).agg(F.count("*").alias("n"), dbl(F.sum("net")).alias("proceeds"), F.round(F.avg(m), 6).alias("mean_moic"), F.round(F.avg(rate) * 100, 4).alias("mean_irr"))
 
 
-@query("k13_heatmap_three_measures", f"WITH {PER}, r AS (SELECT holding_id AS company_id, arg_max(fair, (ts, val_id))::DOUBLE AS risk FROM val WHERE methodology = 'error' GROUP BY 1) SELECT c.company_id, round(moic, 4) AS moic, round((pow(moic, 365.25 / nullif(date_diff('day', first, DATE '{AS_OF}'), 0)) - 1) * 100, 4) AS irr, coalesce(risk, 50) AS risk, CASE WHEN coalesce(risk, 50) > 66 THEN 'high' WHEN coalesce(risk, 50) > 33 THEN 'medium' ELSE 'low' END AS tier FROM c LEFT JOIN r USING (company_id)")
+@query("k13_heatmap_three_measures", f"WITH RECURSIVE {PER}, {COMPANY_RATES}, r AS (SELECT holding_id AS company_id, arg_max(fair, (ts, val_id))::DOUBLE AS risk FROM val WHERE methodology = 'error' GROUP BY 1) SELECT c.company_id, round(moic, 4) AS moic, CASE WHEN irr BETWEEN -99.99 AND 999.99 THEN irr END AS irr, coalesce(risk, 50) AS risk, CASE WHEN coalesce(risk, 50) > 66 THEN 'high' WHEN coalesce(risk, 50) > 33 THEN 'medium' ELSE 'low' END AS tier FROM c LEFT JOIN r USING (company_id) LEFT JOIN irr USING (company_id)")
 def k13(t):
-    """Multiple, yearly rate and risk of each company; a company without a score is at 50, medium."""
+    """Multiple, dated rate and risk of each company; a company without a score is at 50, medium."""
     c = F.col
     r = t.val.filter("methodology = 'error'").groupBy(c("holding_id").alias("company_id")).agg(dbl(F.max_by("fair", F.struct("ts", "val_id"))).alias("risk"))
     risk = F.coalesce("risk", F.lit(50.0))
-    rate = (F.pow(c("moic"), F.lit(365.25) / F.nullif(F.datediff(F.lit(AS_OF).cast("date"), "first"), F.lit(0))) - 1) * 100
-    return per_company(t).join(r, "company_id", "left").select("company_id", F.round("moic", 4).alias("moic"), F.round(rate, 4).alias("irr"), risk.alias("risk"), ladder([(risk > 66, F.lit("high")), (risk > 33, F.lit("medium"))], F.lit("low")).alias("tier"))
+    return per_company(t).join(r, "company_id", "left").join(company_rates(t), "company_id", "left").select("company_id", F.round("moic", 4).alias("moic"), "irr", risk.alias("risk"), ladder([(risk > 66, F.lit("high")), (risk > 33, F.lit("medium"))], F.lit("low")).alias("tier"))
 
 
 @query("p10_moic_buckets_with_exits", f"WITH {PER} SELECT CASE WHEN exited THEN 'exited' WHEN moic >= 2 THEN '2x and more' WHEN moic >= 1 THEN '1x to 2x' WHEN moic >= 0.5 THEN '0.5x to 1x' ELSE 'under 0.5x' END AS bucket, count(*) AS n FROM c WHERE cost > 0 GROUP BY 1")

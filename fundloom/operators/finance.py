@@ -39,6 +39,16 @@ def flows(t):
     return out.unionByName(got).unionByName(left)
 
 
+#: The rate of all flows of a company's investments, as tables ending in irr(company_id, irr).
+COMPANY_RATES = f"{FLOWS}, cfl AS (SELECT company_id, fl.d, fl.a FROM fl JOIN inv USING (inv_id)), {irr_sql('cfl', 'company_id')}"
+
+
+def company_rates(t):
+    """company_id and irr, null outside -99.99 to 999.99."""
+    f = flows(t).join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(F.collect_list("f").alias("f")).select("company_id", xirr(F.col("f")).alias("irr"))
+    return f.select("company_id", F.when(F.col("irr").between(-99.99, 999.99), F.col("irr")).alias("irr"))
+
+
 @query("g01_xirr", f"WITH RECURSIVE {FLOWS}, {irr_sql('fl', 'inv_id')} SELECT DISTINCT fl.inv_id, irr FROM fl LEFT JOIN irr USING (inv_id)")
 def g01(t):
     return flows(t).groupBy("inv_id").agg(F.collect_list("f").alias("f")).select("inv_id", xirr(F.col("f")).alias("irr"))

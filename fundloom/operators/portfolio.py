@@ -158,21 +158,52 @@ def d13(t):
     return peer_scores(features(t)).select("company_id", *[F.round(f"{x}_z", 4).alias(f"{x}_z") for x in RATIOS])
 
 
-@query("g53_company_features", f"WITH {FEATURES} SELECT company_id, {', '.join(f'round({x}, 4) AS {x}' for x in ('current_ratio', 'debt_equity', 'ebitda_margin', 'revenue_qoq', 'ebitda_qoq', 'cash_qoq', 'debt_qoq', 'current_ratio_z', 'debt_equity_z', 'ebitda_margin_z'))} FROM f JOIN z USING (company_id)")
+ALL = f"""{FEATURES}, bv AS (SELECT company_id, min(pct) AS worst_variance, count(*) FILTER (pct < -10) AS adverse FROM (SELECT company_id, round((sum(cost) FILTER (year(d) = 2000) - sum(cost) FILTER (year(d) = 1999))::DOUBLE / abs(nullif(sum(cost) FILTER (year(d) = 1999), 0))::DOUBLE * 100, 4) AS pct FROM inv WHERE year(d) IN (1999, 2000) GROUP BY company_id, stage) GROUP BY 1),
+w AS (SELECT f.*, z.* EXCLUDE (company_id), a.cash / nullif(-a.ebitda / 3, 0) AS runway, worst_variance, coalesce(adverse, 0) AS adverse FROM f JOIN z USING (company_id) JOIN a USING (company_id) LEFT JOIN bv USING (company_id))"""
+
+
+def all_features(t) -> DataFrame:
+    """features() with peer scores, the months that cash lasts at the last quarter's monthly burn, and the worst and the number of adverse variances from the year before."""
+    newest = mis(t).withColumn("rn", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("q")))).filter("rn = 1")
+    burn = -(F.col("revenue") - F.col("costs")) / 3
+    left = newest.select("company_id", F.try_divide("cash", F.nullif(burn, F.lit(0.0))).alias("runway"))
+    year = lambda y: F.sum(F.when(F.year("d") == y, F.col("cost")))
+    v = t.inv.filter("year(d) in (1999, 2000)").groupBy("company_id", "stage").agg(year(2000).alias("actual"), year(1999).alias("budget"))
+    pct = F.round(F.try_divide(dbl(F.col("actual") - F.col("budget")), dbl(F.abs(F.nullif("budget", F.lit(0).cast("decimal(18,2)"))))) * 100, 4)
+    v = v.select("company_id", pct.alias("pct")).groupBy("company_id").agg(F.min("pct").alias("worst_variance"), F.count_if(F.col("pct") < -10).alias("adverse"))
+    out = peer_scores(features(t)).join(left, "company_id").join(v, "company_id", "left")
+    return out.withColumn("adverse", F.coalesce("adverse", F.lit(0)))
+
+
+@query("g53_company_features", f"WITH {ALL} SELECT company_id, {', '.join(f'round({x}, 4) AS {x}' for x in ('current_ratio', 'debt_equity', 'ebitda_margin', 'revenue_qoq', 'ebitda_qoq', 'cash_qoq', 'debt_qoq', 'current_ratio_z', 'debt_equity_z', 'ebitda_margin_z', 'runway', 'worst_variance'))}, adverse FROM w")
 def g53(t):
-    return peer_scores(features(t)).select("company_id", *[F.round(x, 4).alias(x) for x in (*RATIOS, *[f"{x}_qoq" for x in TRENDS], *[f"{r}_z" for r in RATIOS])])
+    return all_features(t).select("company_id", *[F.round(x, 4).alias(x) for x in (*RATIOS, *[f"{x}_qoq" for x in TRENDS], *[f"{r}_z" for r in RATIOS], "runway", "worst_variance")], "adverse")
 
 
-@query("g54_alternative_score", f"""WITH {FEATURES}, s AS (SELECT company_id, CASE WHEN revenue_qoq IS NULL THEN 5 WHEN revenue_qoq > -10 THEN 2 WHEN revenue_qoq > -25 THEN 5 WHEN revenue_qoq > -50 THEN 7 ELSE 10 END AS a,
-  CASE WHEN ebitda_margin IS NULL THEN 5 WHEN ebitda_margin > 20 AND coalesce(ebitda_qoq, 0) > 0 THEN 1 WHEN ebitda_margin > 10 THEN 4 WHEN ebitda_margin > 0 THEN 6 ELSE 9 END AS b, CASE WHEN current_ratio IS NULL THEN 5 WHEN current_ratio > 2 THEN 1 WHEN current_ratio > 1.5 THEN 3 WHEN current_ratio > 1 THEN 6 ELSE 9 END AS c FROM f)
-  SELECT company_id, a, b, c, round((a * 0.5 + b * 0.3 + c * 0.2)::DOUBLE * 10, 1) AS score FROM s""")
+# Fixed values of the alternative score: thresholds (reached if strictly over, or strictly under), grades, the grade beyond all, and the grade where nothing is known.
+ALTERNATIVE = {
+    "plan": ("worst_variance", ">", ((-10, 2), (-25, 5), (-50, 7)), 10, 5), "burn": ("runway", ">", ((18, 1), (12, 3), (6, 6)), 9, 5), "capital": ("current_ratio", ">", ((2.0, 1), (1.5, 3), (1.0, 6)), 9, 5), "debt": ("debt_equity", "<", ((0.5, 1), (1.0, 3), (2.0, 5), (3.0, 7)), 9, 4),
+}
+ALTERNATIVE_WEIGHTS = {"plan": 0.15, "margin": 0.15, "burn": 0.15, "capital": 0.1, "debt": 0.1, "customer": 0.1, "management": 0.05, "market": 0.1, "peers": 0.05, "compliance": 0.05}
+SIGNALS = ", ".join(f"CASE WHEN {x} IS NULL THEN {none}.0 {' '.join(f'WHEN {x} {op} {at} THEN {grade}.0' for at, grade in steps)} ELSE {last}.0 END AS {name}" for name, (x, op, steps, last, none) in ALTERNATIVE.items())
+
+
+@query("g54_alternative_score", f"""WITH {ALL}, s AS (SELECT company_id, {SIGNALS}, CASE WHEN ebitda_margin IS NULL THEN 5.0 WHEN ebitda_margin > 20 AND coalesce(ebitda_qoq, 0) > 0 THEN 1.0 WHEN ebitda_margin > 10 THEN 4.0 WHEN ebitda_margin > 0 THEN 6.0 ELSE 9.0 END AS margin,
+  CASE WHEN ebitda_margin_z IS NULL THEN 5.0 ELSE greatest(0, least(10, 5.0 + ebitda_margin_z)) END AS peers, 5.0 AS customer, 5.0 AS management, 5.0 AS market, 5.0 AS compliance FROM w),
+  sc AS (SELECT *, round(({' + '.join(f'{k}::DOUBLE * {x}::DOUBLE' for k, x in ALTERNATIVE_WEIGHTS.items())}) * 10, 3) AS score FROM s)
+  SELECT company_id, {', '.join(f'round({k}::DOUBLE, 4) AS {k}' for k in ALTERNATIVE_WEIGHTS)}, score, CASE WHEN score <= 33 THEN 'low' WHEN score <= 66 THEN 'medium' ELSE 'high' END AS tier FROM sc""")
 def g54(t):
-    """Strict thresholds: at the threshold the worse grade holds."""
-    c = F.col
-    a = ladder([(c("revenue_qoq").isNull(), F.lit(5)), (c("revenue_qoq") > -10, F.lit(2)), (c("revenue_qoq") > -25, F.lit(5)), (c("revenue_qoq") > -50, F.lit(7))], F.lit(10))
-    b = ladder([(c("ebitda_margin").isNull(), F.lit(5)), ((c("ebitda_margin") > 20) & (F.coalesce("ebitda_qoq", F.lit(0.0)) > 0), F.lit(1)), (c("ebitda_margin") > 10, F.lit(4)), (c("ebitda_margin") > 0, F.lit(6))], F.lit(9))
-    d = ladder([(c("current_ratio").isNull(), F.lit(5)), (c("current_ratio") > 2, F.lit(1)), (c("current_ratio") > 1.5, F.lit(3)), (c("current_ratio") > 1, F.lit(6))], F.lit(9))
-    return features(t).select("company_id", a.alias("a"), b.alias("b"), d.alias("c")).withColumn("score", F.round((c("a") * 0.5 + c("b") * 0.3 + c("c") * 0.2) * 10, 1))
+    """Ten signals from a company's figures alone, weighed otherwise than the main score; four are neutral, as they need other sources. At a threshold the worse grade holds."""
+    c, lit = F.col, lambda x: F.lit(float(x))
+    reached = lambda x, op, at: c(x) > at if op == ">" else c(x) < at
+    signals = {name: ladder([(c(x).isNull(), lit(none)), *[(reached(x, op, at), lit(grade)) for at, grade in steps]], lit(last)) for name, (x, op, steps, last, none) in ALTERNATIVE.items()}
+    signals["margin"] = ladder([(c("ebitda_margin").isNull(), lit(5)), ((c("ebitda_margin") > 20) & (F.coalesce("ebitda_qoq", lit(0)) > 0), lit(1)), (c("ebitda_margin") > 10, lit(4)), (c("ebitda_margin") > 0, lit(6))], lit(9))
+    signals["peers"] = F.when(c("ebitda_margin_z").isNull(), lit(5)).otherwise(F.greatest(lit(0), F.least(lit(10), c("ebitda_margin_z") + 5.0)))
+    s = all_features(t).select("company_id", *[signals.get(k, lit(5)).alias(k) for k in ALTERNATIVE_WEIGHTS])
+    weighed = [c(k) * w for k, w in ALTERNATIVE_WEIGHTS.items()]
+    score = F.round(sum(weighed[1:], weighed[0]) * 10, 3)
+    s = s.withColumn("score", score).withColumn("tier", ladder([(c("score") <= 33, F.lit("low")), (c("score") <= 66, F.lit("medium"))], F.lit("high")))
+    return s.select("company_id", *[F.round(k, 4).alias(k) for k in ALTERNATIVE_WEIGHTS], "score", "tier")
 
 
 #: Monthly figures of a sector, and its budget: what it had in the same months of the year before.

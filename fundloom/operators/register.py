@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import flow, xirr
-from ..registry import query
+from ..registry import ORACLES, query
 from ..sources.tables import AS_OF, MONEY, dbl, ratio
 from ..sources.upsert import upserted
-from .finance import FLOWS, flows, irr_sql
+from .finance import COMPANY_RATES, FLOWS, company_rates, flows, irr_sql
 from .fundframe import FRAME, frame, ladder
-from .portfolio import KPI, MIS, SLUGS, kpi, mis
+from .portfolio import KPI, MIS, g52, kpi, mis
 from .relational import LATEST_VAL, latest_valuation
 
 SNAPSHOTS = """snap AS (SELECT payer_id * 3 + part_id % 3 AS commitment, payer_id, s_nationkey AS scheme, arg_max({'a': gross * 2, 'b': gross, 'c': CASE WHEN flag = 'R' THEN net ELSE 0 END, 'd': qty * 1000, 'e': CASE WHEN n <> 1 THEN tax / gross * 100 END}, (d, inv_id, n)) AS x FROM recv JOIN supplier ON s_suppkey = payer_id GROUP BY 1, 2, 3),
@@ -64,14 +64,17 @@ def n12(t):
 COMPANY = "x AS (SELECT inv_id, sum(net)::DOUBLE AS net FROM recv GROUP BY 1), g AS (SELECT company_id, sum(cost)::DOUBLE AS cost, sum(CASE WHEN status = 'F' THEN net END) AS proceeds, sum(net) / sum(cost::DOUBLE) AS moic, count(*) AS n FROM inv LEFT JOIN x USING (inv_id) GROUP BY 1)"
 
 
-@query("g31_company_figures", f"WITH {COMPANY} SELECT company_id, cost, round(coalesce(nullif(proceeds, 0), moic * cost), 2) AS fv, round(moic, 4) AS moic, CASE WHEN proceeds <> 0 THEN 'proceeds' WHEN moic IS NOT NULL THEN 'multiple' ELSE 'unknown' END AS fv_from FROM g")
+@query("g31_company_figures", f"""WITH RECURSIVE x AS (SELECT inv_id, sum(net) AS net FROM recv GROUP BY 1), cg AS (SELECT company_id, sum(cost) AS cost, sum(net) FILTER (status = 'F') AS proceeds, sum(net) AS net FROM inv LEFT JOIN x USING (inv_id) GROUP BY 1), {COMPANY_RATES}
+  SELECT company_id, cost::DOUBLE AS cost, round(coalesce(nullif(proceeds, 0), net), 2)::DOUBLE AS fv, round(net::DOUBLE / nullif(cost, 0)::DOUBLE, 4) AS moic, CASE WHEN irr BETWEEN -99.99 AND 999.99 THEN irr END AS irr, CASE WHEN proceeds <> 0 THEN 'proceeds' WHEN net IS NOT NULL THEN 'multiple' ELSE 'unknown' END AS fv_from FROM cg LEFT JOIN irr USING (company_id)""")
 def g31(t):
-    """A company's value is what exits brought, else its multiple times its cost."""
-    x = t.recv.groupBy("inv_id").agg(dbl(F.sum("net")).alias("net"))
-    g = t.inv.join(x, "inv_id", "left").groupBy("company_id").agg(dbl(F.sum("cost")).alias("cost"), F.sum(F.when(F.col("status") == "F", F.col("net"))).alias("proceeds"), F.sum("net").alias("net"))
-    moic = F.try_divide("net", "cost")
-    source = ladder([(F.col("proceeds") != 0, F.lit("proceeds")), (moic.isNotNull(), F.lit("multiple"))], F.lit("unknown"))
-    return g.select("company_id", "cost", F.round(F.coalesce(F.nullif(F.col("proceeds"), F.lit(0.0)), moic * F.col("cost")), 2).alias("fv"), F.round(moic, 4).alias("moic"), source.alias("fv_from"))
+    """A company's value is what exits brought, else its multiple times its cost, that is its receipts; its rate is that of all its investments' flows."""
+    c = F.col
+    x = t.recv.groupBy("inv_id").agg(F.sum("net").alias("net"))
+    g = t.inv.join(x, "inv_id", "left").groupBy("company_id").agg(F.sum("cost").alias("cost"), F.sum(F.when(c("status") == "F", c("net"))).alias("proceeds"), F.sum("net").alias("net"))
+    g = g.join(company_rates(t), "company_id", "left")
+    source = ladder([(c("proceeds") != 0, F.lit("proceeds")), (c("net").isNotNull(), F.lit("multiple"))], F.lit("unknown"))
+    value = F.coalesce(F.when(c("proceeds") != 0, c("proceeds")), c("net"))
+    return g.select("company_id", dbl("cost").alias("cost"), dbl(F.round(value, 2)).alias("fv"), ratio("net", "cost").alias("moic"), "irr", source.alias("fv_from"))
 
 
 @query("g34_nav_fallback", """WITH r AS (SELECT val_id, CASE WHEN val_id % 3 = 0 THEN fair / 10 END AS npu, CASE WHEN val_id % 2 = 0 THEN holding END AS units, CASE WHEN val_id % 5 <> 0 THEN fair END AS assets, CASE WHEN val_id % 7 <> 0 THEN holding END AS cash, fair / 20 + CASE WHEN val_id % 5 = 0 THEN 90 ELSE 0 END AS fees FROM val)
@@ -258,10 +261,8 @@ def e09(t):
     return t.inv.select("inv_id", F.coalesce(stated, place.cast("long")).alias("call_number"), stated.isNull().alias("by_position"))
 
 
-@query("p23_risk_batch", f"WITH {KPI}, k AS (SELECT company_id, count(*) AS readings, arg_max(value, (ts, val_id)) FILTER (slug = '{SLUGS[7]}') AS cover FROM kpi GROUP BY 1) SELECT c.company_id, coalesce(readings, 0) AS readings, CASE WHEN cover IS NULL THEN 3 WHEN cover >= 2 THEN 0 WHEN cover >= 1 THEN 5 ELSE 9 END AS grade FROM company c LEFT JOIN k USING (company_id)")
+@query("p23_risk_batch", f"WITH {KPI}, k AS (SELECT company_id, count(*) AS readings FROM kpi GROUP BY 1), s AS ({ORACLES['g52_ten_signals']}) SELECT s.company_id, coalesce(readings, 0) AS readings, score, tier FROM s LEFT JOIN k USING (company_id)")
 def p23(t):
-    """All companies in one batch, not only the first fifty."""
-    cover = F.max_by(F.when(F.col("slug") == SLUGS[7], F.col("value")), F.when(F.col("slug") == SLUGS[7], F.struct("ts", "val_id")))
-    k = kpi(t).groupBy("company_id").agg(F.count("*").alias("readings"), cover.alias("cover"))
-    grade = ladder([(F.col("cover").isNull(), F.lit(3)), (F.col("cover") >= 2, F.lit(0)), (F.col("cover") >= 1, F.lit(5))], F.lit(9))
-    return t.company.select("company_id").join(k, "company_id", "left").select("company_id", F.coalesce("readings", F.lit(0)).alias("readings"), grade.alias("grade"))
+    """The ten-signal score of all companies in one batch, not of the first fifty only, with how many readings it rests on."""
+    k = kpi(t).groupBy("company_id").agg(F.count("*").alias("readings"))
+    return g52(t).join(k, "company_id", "left").select("company_id", F.coalesce("readings", F.lit(0)).alias("readings"), "score", "tier")
