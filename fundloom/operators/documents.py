@@ -11,7 +11,7 @@ from ..registry import query
 #: A fund document of each company: its investments as commitments, calls and holdings, its receipts as distributions, its readings as valuations and net asset values.
 DOCS = """oi AS (SELECT company_id, list({'commitment_amount': cost, 'stage': stage} ORDER BY inv_id) AS commitments, list({'call_date': d::VARCHAR, 'total_call_amount': CASE WHEN company_id % 3 = 0 THEN '' ELSE cost::VARCHAR END, 'called_amount': cost} ORDER BY inv_id) AS capital_calls,
   list({'total_invested': CASE status WHEN 'O' THEN cost::VARCHAR WHEN 'P' THEN 'n/a' END, 'open': status = 'O'} ORDER BY inv_id) AS portfolio_investments FROM inv GROUP BY 1),
-orc AS (SELECT company_id, list({'distribution_type': CASE flag WHEN 'R' THEN 'Return_of_Capital' WHEN 'N' THEN 'LTCG' ELSE 'dividend' END, 'total_net_amount': CASE WHEN part_id % 4 <> 0 THEN net END, 'net_amount': gross} ORDER BY inv_id, n) AS distributions FROM recv JOIN inv USING (inv_id) GROUP BY 1),
+orc AS (SELECT company_id, list({'distribution_type': CASE flag WHEN 'R' THEN 'Return_of_Capital' WHEN 'N' THEN 'LTCG' ELSE 'dividend' END, 'total_net_amount': CASE WHEN part_id % 4 <> 0 THEN net END, 'net_amount': gross} ORDER BY inv_id, n, part_id, payer_id, gross, net) AS distributions FROM recv JOIN inv USING (inv_id) GROUP BY 1),
 ov AS (SELECT holding_id AS company_id, list({'valuation_date': d::VARCHAR, 'fair_value_of_holding': CASE WHEN val_id % 2 = 0 THEN fair END, 'fv_holding': holding} ORDER BY val_id) AS valuations, list({'nav_date': CASE WHEN val_id % 5 <> 0 THEN d::VARCHAR END, 'total_nav': CASE WHEN val_id % 7 = 0 THEN '' ELSE fair::VARCHAR END} ORDER BY val_id) AS nav_records FROM val GROUP BY 1),
 docs AS (SELECT c.company_id, to_json({'fund_master': {'fund_name': company, 'scheme': {'name': sector, 'fund': fund}, 'vintage_year': 1990 + c.company_id % 20, 'note': ''}, 'fund_performance': {'total_distributions': cash, 'fund_nav_latest': CASE WHEN c.company_id % 4 = 0 THEN cash * 3 END, 'total_called_capital': cash * 2},
   'commitments': commitments, 'capital_calls': capital_calls, 'portfolio_investments': portfolio_investments, 'distributions': distributions, 'valuations': valuations, 'nav_records': nav_records}) AS doc FROM company c LEFT JOIN oi USING (company_id) LEFT JOIN orc USING (company_id) LEFT JOIN ov USING (company_id))"""
@@ -37,7 +37,7 @@ def fund_documents(t) -> DataFrame:
         of(["inv_id"], row(F.when(c("status") == "O", text(c("cost"))).when(c("status") == "P", "n/a").alias("total_invested"), (c("status") == "O").alias("open"))).alias("portfolio_investments"),
     )
     kind = F.when(c("flag") == "R", "Return_of_Capital").when(c("flag") == "N", "LTCG").otherwise("dividend")
-    orc = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(of(["inv_id", "n"], row(kind.alias("distribution_type"), F.when(c("part_id") % 4 != 0, c("net")).alias("total_net_amount"), c("gross").alias("net_amount"))).alias("distributions"))
+    orc = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(of(["inv_id", "n", "part_id", "payer_id", "gross", "net"], row(kind.alias("distribution_type"), F.when(c("part_id") % 4 != 0, c("net")).alias("total_net_amount"), c("gross").alias("net_amount"))).alias("distributions"))
     ov = t.val.groupBy(c("holding_id").alias("company_id")).agg(
         of(["val_id"], row(text(c("d")).alias("valuation_date"), F.when(c("val_id") % 2 == 0, c("fair")).alias("fair_value_of_holding"), c("holding").alias("fv_holding"))).alias("valuations"),
         of(["val_id"], row(F.when(c("val_id") % 5 != 0, text(c("d"))).alias("nav_date"), F.when(c("val_id") % 7 == 0, "").otherwise(text(c("fair"))).alias("total_nav"))).alias("nav_records"),

@@ -82,7 +82,7 @@ def routed(rows: DataFrame) -> DataFrame:
     # A valuation without a date has that of its company's last dated investment row.
     company = F.lower(F.trim("company_name"))
     mirror = (c("domain") == "portfolio_investments") & (c("block") == "valuations")
-    dates = rows.filter((c("domain") == "portfolio_investments") & present("company_name") & c("fair_value").isNotNull() & c("valuation_date").isNotNull()).groupBy(company.alias("_company")).agg(F.max_by("valuation_date", "row_id").alias("borrowed"))
+    dates = rows.filter((c("domain") == "portfolio_investments") & present("company_name") & c("fair_value").isNotNull() & c("valuation_date").isNotNull()).groupBy(company.alias("_company")).agg(F.max_by("valuation_date", F.struct("row_id", "valuation_date")).alias("borrowed"))
     each = each.filter("block <> 'rerouted'").withColumn("_company", F.when(c("block") == "valuations", company)).join(dates, "_company", "left")
     is_ = lambda *b: c("block").isin(*b)
     who = F.when(is_("capital_calls", "commitments"), c("investor_name")).when(is_("nav_records"), c("period")).when(is_("fund_ledger"), c("description")).otherwise(c("company_name"))
@@ -94,7 +94,7 @@ def routed(rows: DataFrame) -> DataFrame:
     line = F.regexp_replace(F.regexp_replace(F.lower("line_item"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     lines = rows.filter(c("domain").isin("nav_accounting", "nav_calculation") & line.isin(*NAV_LINES) & present("period") & (c("period_value") != 0))
     had = out.filter("block = 'nav_records' and who is not null").select(c("who").alias("period")).distinct()
-    first = lines.join(had, "period", "left_anti").groupBy("period").agg(F.min_by(F.struct("row_id", "period_value"), F.struct("domain", "row_id")).alias("x"))
+    first = lines.join(had, "period", "left_anti").groupBy("period").agg(F.min(F.struct("domain", "row_id", "period_value")).alias("x"))
     more = first.select(F.lit("nav_records").alias("block"), c("x.row_id").alias("row_id"), F.lit(True).alias("derived"), c("period").alias("who"), c("x.period_value").alias("amount"))
     return out.unionByName(moved, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
 
@@ -124,11 +124,11 @@ known AS (SELECT 'Payer ' || s_suppkey AS pa, -s_suppkey - 1 AS row_id FROM supp
 calls AS (SELECT *, p % 3 = 0 OR p % 5 = 0 AS is_call FROM l WHERE domain = 'capital_calls'),
 ex AS (SELECT *, p % 2 = 0 AS left_, p % 3 = 1 AS dated, p % 4 = 1 OR p % 8 = 2 OR p % 16 = 5 AS has_amount, CASE WHEN p % 9 <> 0 THEN paid END AS got, CASE WHEN p % 4 = 1 THEN gr WHEN p % 8 = 2 THEN 0 END AS g0, CASE WHEN p % 16 = 5 THEN nt END AS n0 FROM l WHERE domain = 'exits_distributions'),
 ds AS (SELECT *, left_ AND NOT dated AS projected FROM ex WHERE CASE WHEN dated THEN true WHEN left_ THEN payer_id % 3 = 0 ELSE has_amount AND (p % 5 IN (0, 2) OR p % 6 <> 1) END),
-bor AS (SELECT co, arg_max(d, row_id) AS day FROM l WHERE domain = 'portfolio_investments' AND p % 5 <> 0 AND p % 3 = 0 AND p % 4 < 2 GROUP BY 1),
+bor AS (SELECT co, arg_max(d, (row_id, d)) AS day FROM l WHERE domain = 'portfolio_investments' AND p % 5 <> 0 AND p % 3 = 0 AND p % 4 < 2 GROUP BY 1),
 va AS (SELECT *, domain = 'portfolio_investments' AS mirror FROM l WHERE domain = 'valuations_kpis' AND (p % 3 = 0 OR p % 11 = 0 OR NOT (p % 4 = 0 OR p % 10 = 0)) OR domain = 'portfolio_investments' AND p % 5 <> 0 AND p % 3 = 0),
 nav AS (SELECT *, p % 3 = 0 AS has_nav, p % 4 = 0 OR p % 12 = 7 AS has_ledger FROM l WHERE domain IN ('nav_accounting', 'nav_calculation')),
 recs AS (SELECT *, CASE WHEN p % 6 <> 1 THEN pe END AS per FROM nav WHERE has_nav AND (domain = 'nav_calculation' OR NOT has_ledger)),
-lin AS (SELECT pe, arg_min(row_id, (domain, row_id)) AS row_id, arg_min(nt, (domain, row_id)) AS v FROM nav WHERE p % 5 IN (1, 3) AND p % 6 <> 1 AND p % 13 > 1 AND nt <> 0 AND pe NOT IN (SELECT per FROM recs WHERE per IS NOT NULL) GROUP BY 1),
+lin AS (SELECT pe, arg_min(row_id, (domain, row_id, nt)) AS row_id, arg_min(nt, (domain, row_id, nt)) AS v FROM nav WHERE p % 5 IN (1, 3) AND p % 6 <> 1 AND p % 13 > 1 AND nt <> 0 AND pe NOT IN (SELECT per FROM recs WHERE per IS NOT NULL) GROUP BY 1),
 o(block, row_id, derived, who, day, amount, other) AS (
   SELECT 'commitments', row_id, false, pa, NULL::DATE, NULL::DECIMAL(18,4), NULL::DECIMAL(18,4) FROM known
   UNION ALL SELECT 'capital_calls', row_id, false, CASE WHEN p % 4 <> 0 THEN pa END, CASE WHEN p % 3 = 0 THEN d END, NULL, NULL FROM calls WHERE is_call
