@@ -35,4 +35,44 @@ WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text
 SELECT doc_id, size, source_size, target, copies * size + part AS taken, source, copies, part FROM taken
 """
 
-ORACLES = {"op5_chat_formatting": CHAT_FORMATTING.strip(), "op7_decontamination": DECONTAMINATION.strip(), "op9_mixing": MIXING.strip()}
+# The checksum of a number's decimal digits, byte by byte and bit by bit.
+_CRC = "xor(list_reduce(list_transform(range(1, len({x}) + 1), lambda i: ascii(substr({x}, i, 1))::UBIGINT), lambda c, b: list_reduce(range(8)::UBIGINT[], lambda y, k: xor(y >> 1, 3988292384::UBIGINT * (y & 1)), xor(c, b)), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}))::VARCHAR || ':' || {x} END"
+
+
+_FIELDS = " || ".join(_field(x) for x in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR"))
+_SIDES = "coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r"
+
+MERKLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_FIELDS} || {_field('text')}) AS leaf,
+    CASE WHEN {_CRC.format(x="(doc_id::VARCHAR)")} % 3 = 0 THEN sha256({_FIELDS} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS shown FROM documents),
+  t AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, row_number() OVER () AS id FROM d),
+  n AS (SELECT tree, 0 AS level, idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS total FROM t
+    UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (total + 7) // 8 FROM n WHERE total > 1 GROUP BY tree, level, idx // 8, total),
+  roots AS (SELECT tree, level, h, row_number() OVER (ORDER BY tree) - 1 AS idx FROM n WHERE total = 1),
+  top AS (SELECT 0 AS level, idx, h, count(*) OVER () AS total FROM roots UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (total + 7) // 8 FROM top WHERE total > 1 GROUP BY level, idx // 8, total),
+  s1 AS (SELECT tree, level, idx, {_SIDES} FROM n WHERE total > 1 WINDOW w AS (PARTITION BY tree, level, idx // 8 ORDER BY idx)),
+  s2 AS (SELECT level, idx, {_SIDES} FROM top WHERE total > 1 WINDOW w AS (PARTITION BY level, idx // 8 ORDER BY idx)),
+  w1 AS (SELECT id, tree, 0 AS level, idx, coalesce(shown, leaf) AS node, '' AS proof FROM t UNION ALL SELECT id, w1.tree, w1.level + 1, w1.idx // 8, sha256(l || node || r), proof || l || r FROM w1 JOIN s1 ON s1.tree = w1.tree AND s1.level = w1.level AND s1.idx = w1.idx),
+  w2 AS (SELECT id, 0 AS level, roots.idx, node, proof FROM w1 JOIN roots ON roots.tree = w1.tree AND roots.level = w1.level UNION ALL SELECT id, w2.level + 1, w2.idx // 8, sha256(l || node || r), proof || l || r FROM w2 JOIN s2 ON s2.level = w2.level AND s2.idx = w2.idx),
+  root AS (SELECT level, h FROM top WHERE total = 1)
+SELECT doc_id, leaf, roots.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = root.h AS verified FROM t JOIN roots USING (tree) JOIN root ON true JOIN w2 ON w2.id = t.id AND w2.level = root.level
+"""
+
+TRIE = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+  c AS (SELECT conv_id, count(*) AS n, ({_CRC.format(x="(conv_id::VARCHAR)")} % 9)::BIGINT AS h, conv_id - conv_id % 5 AS base FROM t GROUP BY conv_id),
+  b AS (SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(o.n, 0)), t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c o ON o.conv_id = c.base WHERE t.pos >= c.h),
+  p AS (SELECT conv_id, pos + 1 AS depth, octet_length(encode(text)) AS size, string_agg(sha256(json_array(role, text)::VARCHAR), '') OVER (PARTITION BY conv_id ORDER BY pos) AS path FROM b UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+  node AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size FROM p GROUP BY ALL),
+  kids AS (SELECT left(path, (depth - 1) * 64) AS path, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+  ends AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN (SELECT conv_id, max(depth) AS depth FROM p GROUP BY 1) USING (conv_id, depth) GROUP BY 1),
+  whole AS (SELECT a.path, sum((u.n_convs - 1) * u.size)::BIGINT AS saved, count(*) FILTER (u.path NOT IN (SELECT path FROM kids)) AS leaves FROM node a JOIN node u ON left(u.path, a.depth * 64) = a.path GROUP BY 1)
+SELECT node.conv_id, node.depth, up.conv_id AS parent_conv_id, node.n_convs, coalesce(k, 0) AS n_children, leaves AS n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN whole USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path) LEFT JOIN node up ON node.depth > 0 AND up.path = left(node.path, (node.depth - 1) * 64)
+"""
+
+ORACLES = {"op5_chat_formatting": CHAT_FORMATTING.strip(), "op7_decontamination": DECONTAMINATION.strip(), "op9_mixing": MIXING.strip(), "op12_merkle_manifest": MERKLE.strip(), "op13_prefix_trie": TRIE.strip()}
