@@ -137,3 +137,14 @@ def test_headers_by_hand(spark):
     found = sheets.bound(cells, aliases, guesses)
     assert {(r["sheet"], r["canon"]): (r["header"], r["col"]) for r in found.collect()} == {("s", "company_name"): (1, 1), ("s", "total_invested"): (1, 3), ("s", "financial_year"): (1, 5), ("s", "company_id"): (1, 2), ("s", "period"): (1, 4)}
     assert [r["row"] for r in sheets.extracted(cells, found, ["company_name", "total_invested"]).orderBy("row").collect()] == [2, 3, 4, 5]
+
+
+def test_report_reads_each_source_once(spark, sf):
+    from fundloom import catalog
+    from fundloom.operators import report
+
+    df = catalog.QUERIES["k09_report_blocks"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert {t: plan.count(k) for t, k in (("lineitem", "l_shipdate#"), ("orders", "o_orderdate#"), ("events", "event_id#"))} and plan.count("Relation [") == 6  # with company's three
+    blocks = {b for x in report.BLOCKS.values() for b in x}
+    assert len(blocks) >= 20 and {r["block"] for r in df.select("block").distinct().collect()} == blocks
