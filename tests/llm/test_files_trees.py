@@ -251,3 +251,28 @@ def test_trie_of_nothing_and_of_one(spark):
     assert trie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
     for rows in ([(0, 0, "u", "a")], [(1, 0, "u", "a")], [(4, 0, "u", "a"), (0, 0, "u", "b")], [(2, None, None, None)] * 12):
         assert by_text(trie.prefix_trie(spark.createDataFrame(rows, TURNS)).collect()) == plain_trie(rows)
+
+
+# Components
+
+
+@pytest.mark.parametrize("hub", [10_000, 5, 1])
+def test_components_with_hubs(spark, monkeypatch, hub):
+    from fundloom.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    rnd = random.Random(9)
+    edges = [(0, i) for i in range(1, 80)] + [(rnd.randint(100, 160), rnd.randint(100, 160)) for _ in range(40)] + [(i, i + 1) for i in range(200, 240)] + [(300, 300), (500, 501), (501, 500), (90, 79), (90, 91)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    got = {(r["node"], r["root"]) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(x, find(x)) for x in list(root)}
