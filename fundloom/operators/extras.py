@@ -101,15 +101,16 @@ def b01(t):
     return seen.select("who", "fund", (F.col("role") != "lp").alias("may_edit"))
 
 
-STATEMENTS = ("WITH a AS (SELECT 1), b AS (SELECT 2) SELECT * FROM a JOIN inv", "SELECT * FROM inv JOIN company", "WITH inv AS (SELECT 1) SELECT * FROM inv")
+STATEMENT = """'WITH a AS (SELECT * FROM inv), ' || CASE WHEN company_id % 3 = 0 THEN lower(segment) ELSE 'b' END || ' AS (SELECT * FROM ' || replace(lower(fund), ' ', '_') || ') SELECT * FROM a JOIN ' || lower(segment) || CASE WHEN company_id % 2 = 0 THEN ' join B' ELSE ', c' END"""
 
 
-@query("f12_tables_less_ctes", "SELECT * FROM (VALUES (0, 'inv'), (1, 'company,inv'), (2, '')) v(i, tables)")
+@query("f12_tables_less_ctes", rf"""WITH s AS (SELECT company_id, lower({STATEMENT}) AS s FROM company), n AS (SELECT company_id, regexp_extract_all(s, '(?:from|join)\s+(\w+)', 1) AS used, regexp_extract_all(s, '(?:with|,)\s*(\w+)\s+as\s*\(', 1) AS made FROM s)
+  SELECT company_id, array_to_string(list_sort(list_distinct(list_filter(used, lambda x: NOT list_contains(made, x)))), ',') AS tables FROM n""")
 def f12(t):
-    """Names that a statement reads less those it defines."""
-    s = t.spark.createDataFrame(list(enumerate(STATEMENTS)), "i int, s string")
+    """Names that a statement reads less those it defines: a statement a company, with a name that is defined in some and read in others."""
+    s = t.company.select("company_id", F.lower(F.expr(STATEMENT)).alias("s"))
     names = lambda rx: F.array_distinct(F.regexp_extract_all("s", F.lit(rx), 1))
-    return s.select("i", F.array_join(F.array_sort(F.array_except(names(r"(?i)(?:from|join)\s+(\w+)"), names(r"(?i)(?:with|,)\s*(\w+)\s+as\s*\("))), ",").alias("tables"))
+    return s.select("company_id", F.array_join(F.array_sort(F.array_except(names(r"(?:from|join)\s+(\w+)"), names(r"(?:with|,)\s*(\w+)\s+as\s*\("))), ",").alias("tables"))
 
 
 # Fifteen ways to write a day, a spreadsheet's number among them.

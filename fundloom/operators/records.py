@@ -307,13 +307,23 @@ KINDS = (("_date", "date"), ("_pct", "percent"), ("is_", "flag"), ("amount", "nu
 FIELDS = ("call_date", "holding_pct", "is_active", "call_amount", "fair_value", "company_name", "value_date")
 
 
-@query("h15_kind_by_name", f"WITH f(field) AS (VALUES {', '.join(f'({x!r})' for x in FIELDS)}) SELECT field, CASE WHEN contains(field, '_date') THEN 'date' WHEN contains(field, '_pct') THEN 'percent' WHEN starts_with(field, 'is_') THEN 'flag' WHEN contains(field, 'amount') OR contains(field, 'value') THEN 'number' ELSE 'text' END AS kind, CASE WHEN contains(field, '_date') THEN '2024-03-31' WHEN contains(field, '_pct') THEN '25.0' WHEN starts_with(field, 'is_') THEN 'true' WHEN contains(field, 'amount') OR contains(field, 'value') THEN '1250.0' ELSE 'Acme' END AS value FROM f")
+CELLS_OF_FIELDS = f"""CASE val_id % {len(FIELDS)} WHEN 0 THEN strftime(d, '%d/%m/%Y') WHEN 1 THEN CASE WHEN val_id % 4 = 0 THEN (val_id % 90 + 1) || '%' ELSE '0.' || (10 + val_id % 90) END WHEN 2 THEN ['Yes', 'no', 'maybe', ' TRUE '][val_id % 4 + 1] WHEN 3 THEN '1,' || (100 + val_id % 900) WHEN 4 THEN '(' || val_id || '.50)' WHEN 5 THEN methodology ELSE strftime(d, '%Y-%m-%d') END"""
+
+
+@query("h15_kind_by_name", f"""WITH f AS (SELECT val_id, ({list(FIELDS)!r})[val_id % {len(FIELDS)} + 1] AS field, {CELLS_OF_FIELDS} AS raw FROM val),
+  k AS (SELECT *, CASE WHEN contains(field, '_date') THEN 'date' WHEN contains(field, '_pct') THEN 'percent' WHEN starts_with(field, 'is_') THEN 'flag' WHEN contains(field, 'amount') OR contains(field, 'value') THEN 'number' ELSE 'text' END AS kind FROM f),
+  n AS (SELECT *, CASE WHEN raw LIKE '(%' THEN -1 ELSE 1 END * try_cast(regexp_replace(raw, '[,()%]', '', 'g') AS DOUBLE) AS x FROM k)
+  SELECT val_id, field, kind, CASE WHEN kind = 'date' THEN coalesce(try_strptime(raw, '%Y-%m-%d'), try_strptime(raw, '%d/%m/%Y'))::DATE END AS day, CASE kind WHEN 'number' THEN x WHEN 'percent' THEN round(CASE WHEN x > 0 AND x < 0.5 THEN x * 100 ELSE x END, 6) END AS number,
+  CASE WHEN kind = 'flag' THEN CASE lower(trim(raw)) WHEN 'yes' THEN true WHEN 'true' THEN true WHEN 'no' THEN false END END AS flag, CASE WHEN kind = 'text' THEN raw END AS text FROM n""")
 def h15(t):
-    """A field's name says how its cells are read: as dates, percents, flags, numbers or texts."""
-    raw = {"date": "31/03/2024", "percent": "0.25", "flag": "Yes", "number": "1,250", "text": "Acme"}
-    f = t.spark.createDataFrame([(x,) for x in FIELDS], "field string")
-    fits = lambda key: F.col("field").startswith(key) if key.endswith("_") else F.col("field").contains(key)
+    """A field's name says how its cells are read: as dates, percents, flags, numbers or texts. Every reading is a cell of one of seven fields."""
+    c, i = F.col, F.col("val_id")
+    pick = lambda of, k: F.element_at(F.array(*map(F.lit, of)), (k + 1).cast("int"))
+    text = lambda x: x.cast("string")
+    share = F.when(i % 4 == 0, F.concat(text(i % 90 + 1), F.lit("%"))).otherwise(F.concat(F.lit("0."), text(i % 90 + 10)))
+    raws = [F.date_format("d", "dd/MM/yyyy"), share, pick(("Yes", "no", "maybe", " TRUE "), i % 4), F.concat(F.lit("1,"), text(i % 900 + 100)), F.concat(F.lit("("), text(i), F.lit(".50)")), c("methodology"), F.date_format("d", "yyyy-MM-dd")]
+    f = t.val.select("val_id", pick(FIELDS, i % len(FIELDS)).alias("field"), ladder([(i % len(FIELDS) == k, x) for k, x in enumerate(raws)], F.lit(None)).alias("raw"))
+    fits = lambda key: c("field").startswith(key) if key.endswith("_") else c("field").contains(key)
     f = f.withColumn("kind", ladder([(fits(k), F.lit(v)) for k, v in KINDS], F.lit("text")))
-    cell = ladder([(F.col("kind") == k, F.lit(v)) for k, v in raw.items()], F.lit(None))
-    read = {"date": T.date(cell).cast("string"), "percent": T.as_percent(T.number(cell)).cast("string"), "flag": T.truth(cell).cast("string"), "number": T.number(cell).cast("string")}
-    return f.select("field", "kind", ladder([(F.col("kind") == k, v) for k, v in read.items()], cell).alias("value"))
+    number = ladder([(c("kind") == "number", T.number(c("raw"))), (c("kind") == "percent", F.round(T.as_percent(T.number(c("raw"))), 6))], F.lit(None))
+    return f.select("val_id", "field", "kind", F.when(c("kind") == "date", T.date(c("raw"))).alias("day"), number.alias("number"), F.when(c("kind") == "flag", T.truth(c("raw"))).alias("flag"), F.when(c("kind") == "text", c("raw")).alias("text"))
