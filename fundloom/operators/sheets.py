@@ -181,3 +181,22 @@ def i02_rows(t):
     """The sheets' rows by the fields that their columns were bound to."""
     grid = investment_grid(t)
     return extracted(grid, investment_columns(t, grid), FIELDS)
+
+
+# What is a period's header, and what is the number of a company, an investor or an investment.
+PERIOD_HEADER = r"(?i)^(?:(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*[\s\-/]?\d{2,4}|q[1-4][\s\-/]?(?:fy)?\s*\d{2,4}|fy\s*\d{2,4}(?:[\s\-/]\d{2,4})?|\d{4}[\s\-/]\d{1,2}|\d{4})$"
+ENTITY_HEADER = r"(?i)^\s*(?:lp|inv|pc|co|entity|acct|account|f\d*c)[\s_\-]*(\d+|[a-z]\d+|[ivx]+)(?:\s*\([^)]*\))?\s*$"
+MADE = """CASE inv_id % 14 WHEN 0 THEN 'LP' || company_id WHEN 1 THEN 'PC-' || inv_id || ' (x)' WHEN 2 THEN ' f14c' || company_id WHEN 3 THEN 'Q' || (inv_id % 6) || '-' || (20 + company_id % 9) WHEN 4 THEN 'fy ' || (2010 + inv_id % 20) || '-' || (11 + inv_id % 20) WHEN 5 THEN stage WHEN 6 THEN 'Total ' || CASE WHEN company_id % 2 = 0 THEN 'investors' ELSE stage END
+  WHEN 7 THEN 'Note: ' || status WHEN 8 THEN (2000 + company_id % 99) || '/' || (inv_id % 13) WHEN 9 THEN 'Sub-Total:' WHEN 10 THEN 'INV ' || status || ' (' || stage || ')' WHEN 11 THEN 'A. ' || lower(stage) WHEN 12 THEN 'Sept' || (company_id % 100) ELSE 'account iv' END"""
+
+
+@query("h07_predicates_of_cells", f"WITH m AS (SELECT inv_id, {MADE} AS raw, inv_id % 3 = 0 AS beside FROM inv) SELECT inv_id, regexp_matches(trim(raw), '{PERIOD_HEADER}') AS is_period, regexp_matches(trim(raw), '{ENTITY_HEADER}') AS is_entity, regexp_matches(lower(trim(raw)), '{JUNK}') AS junk, NOT beside AND length(trim(raw)) <= 120 AND regexp_matches(raw, '[a-z]') AS title FROM m")
+def h07(t):
+    """Of every cell whether it is a period's header, an entity's number, the head of a junk row, or a title that stands alone in its row."""
+    c = F.col
+    m = t.inv.select("inv_id", "company_id", "stage", "status").withColumn("raw", F.expr(MADE))
+    cells_ = m.select(c("inv_id").alias("sheet"), F.lit(0).alias("row"), F.lit(0).alias("col"), "raw", F.lit("text").alias("kind"))
+    beside = m.filter("inv_id % 3 = 0").select(c("inv_id").alias("sheet"), F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit("1").alias("raw"), F.lit("number").alias("kind"))
+    facts = row_facts(cells_.unionByName(beside)).select(c("sheet").alias("inv_id"), "junk", "title")
+    s = F.trim("raw")
+    return m.join(facts, "inv_id").select("inv_id", s.rlike(PERIOD_HEADER).alias("is_period"), s.rlike(ENTITY_HEADER).alias("is_entity"), "junk", "title")

@@ -89,3 +89,12 @@ def p09_kept(t):
     for more in (told("receipts", "inv_id", F.col("n")), told("readings", "val_id"), told("companies", "company_id"), told("payers", "payer_id")):
         out = out.unionByName(more)
     return out
+
+
+@query("a19_csv_file", '''SELECT company_id || ',' || company || ',' || sector || ',' || CASE WHEN company_id % 9 = 0 THEN '"a,""b"""' WHEN company_id % 9 = 1 THEN '"line ""x"""' WHEN company_id % 9 = 2 THEN '' ELSE 'plain' END || ',' || cash::VARCHAR AS line FROM company''')
+def a19_file(t):
+    """A block of the dashboard as CSV files, read back as their lines: fields with a separator or a quote are quoted by the writer, quotes are doubled."""
+    path, i = folder(t, "csv"), F.col("company_id") % 9
+    note = F.when(i == 0, 'a,"b"').when(i == 1, 'line "x"').when(i == 2, None).otherwise("plain")
+    t.company.select("company_id", "company", "sector", note.alias("note"), "cash").write.options(header="false", escape='"', emptyValue="", nullValue="").csv(path)
+    return t.spark.read.text(path).select(F.col("value").alias("line"))
