@@ -117,9 +117,10 @@ def merged(nodes: DataFrame, keep: int) -> DataFrame:
 
 def build(leaves: DataFrame, order: list[str], keep: int = UNIT, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """leaves(tree, digest, ...) to those with rank and n, and the nodes from level keep on and all roots as tree, n, level, idx, digest."""
-    rows = dealt(leaves, "tree", order)
+    made = materialize(leaves)  # bounds of ranges are sampled first: texts would be hashed once more for that
+    rows = dealt(made, "tree", order)
     leaves = materialize(ranked(rows, starts(rows, "tree"), "tree"))
-    discard(rows)
+    discard(made, rows)
     place = ["part", "tree", "level", "idx"]
     now = materialize(merged(leaves.select("part", "tree", "n", F.lit(0).alias("level"), F.col("rank").alias("idx"), "digest").sortWithinPartitions(*place), keep))
     rounds = [now]
