@@ -187,7 +187,7 @@ def h25(t):
 
 @query("h26_keyword_in_list", "SELECT conv_id, bool_or(regexp_matches(lower(text), '\\b(the|la)\\b')) AS found FROM conversations GROUP BY 1")
 def h26(t):
-    return t.conversations.groupBy("conv_id").agg(F.max(F.lower("text").rlike(r"\b(the|la)\b")).alias("found"))
+    return t.conversations.groupBy("conv_id").agg(F.max(T.has_word(F.col("text"), "the|la")).alias("found"))
 
 
 @query("h27_working_days", "SELECT inv_id, (SELECT x FROM (SELECT unnest(generate_series(d + 1, d + 15, INTERVAL 1 DAY))::DATE AS x) WHERE dayofweek(x) BETWEEN 1 AND 5 ORDER BY x LIMIT 1 OFFSET 4) AS t5, last_day(d) AS month_end, (date_trunc('quarter', d) + INTERVAL 3 MONTH + INTERVAL 14 DAY)::DATE AS due FROM inv")
