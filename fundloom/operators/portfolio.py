@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import dbl
+from ..sources.tables import dbl, rounded
 from .fundframe import ladder
 
 #: All readings are before this date.
@@ -99,7 +99,7 @@ def g52(t):
         "compliance": ladder([(overdue == 0, lit(0)), (overdue <= 2, lit(4))], lit(8)),
     }
     s = s.select("company_id", *[x.alias(k) for k, x in signals.items()])
-    score = F.round(F.least(F.greatest(sum((c(k) * w for k, w in list(WEIGHTS.items())[1:]), c("plan") * WEIGHTS["plan"]) * 10, lit(0)), lit(100)), 1)
+    score = rounded(F.least(F.greatest(sum((c(k) * w for k, w in list(WEIGHTS.items())[1:]), c("plan") * WEIGHTS["plan"]) * 10, lit(0)), lit(100)), 1)
     return s.withColumn("score", score).withColumn("tier", ladder([(c("score") <= 33, F.lit("low")), (c("score") <= 66, F.lit("medium"))], F.lit("high")))
 
 

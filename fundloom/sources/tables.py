@@ -72,3 +72,8 @@ def total(c, name: str) -> Column:
 def ratio(a, b, digits: int = 4) -> Column:
     """a / b in doubles, rounded; null where b is 0 or null."""
     return F.round(F.try_divide(dbl(a), F.nullif(dbl(b), F.lit(0.0))), digits)
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """A double rounded after it was scaled, as SQL does: F.round takes the shortest decimal form, in which a sum of weights may lie just below a half."""
+    return F.round(x * 10**digits) / 10**digits
