@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import dbl
+from ..sources.tables import dbl, few
 
 # The fields that tell a call, a valuation, a KPI, a net asset value and a ledger row, and the lines that are a net asset value.
 CALL = ("call_date", "call_number", "call_ref")
@@ -83,7 +83,10 @@ def routed(rows: DataFrame) -> DataFrame:
     company = F.lower(F.trim("company_name"))
     mirror = (c("domain") == "portfolio_investments") & (c("block") == "valuations")
     dates = rows.filter((c("domain") == "portfolio_investments") & present("company_name") & c("fair_value").isNotNull() & c("valuation_date").isNotNull()).groupBy(company.alias("_company")).agg(F.max_by("valuation_date", F.struct("row_id", "valuation_date")).alias("borrowed"))
-    each = each.filter("block <> 'rerouted'").withColumn("_company", F.when(c("block") == "valuations", company)).join(dates, "_company", "left")
+    # Rows that borrow nothing have a key of their own, so they don't meet in one task.
+    borrows = (c("block") == "valuations") & c("valuation_date").isNull()
+    each = each.filter("block <> 'rerouted'").withColumn("_company", F.coalesce(F.when(borrows, company), F.concat(F.lit("\0"), c("row_id").cast("string"))))
+    each = each.join(few(dates), "_company", "left")
     is_ = lambda *b: c("block").isin(*b)
     who = F.when(is_("capital_calls", "commitments"), c("investor_name")).when(is_("nav_records"), c("period")).when(is_("fund_ledger"), c("description")).otherwise(c("company_name"))
     day = F.when(is_("capital_calls"), c("call_date")).when(is_("distributions"), F.coalesce("distribution_date", "exit_date")).when(is_("exits"), c("exit_date")).when(is_("valuations"), F.coalesce("valuation_date", "borrowed")).when(is_("portfolio_investments"), c("valuation_date"))
@@ -94,7 +97,7 @@ def routed(rows: DataFrame) -> DataFrame:
     line = F.regexp_replace(F.regexp_replace(F.lower("line_item"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     lines = rows.filter(c("domain").isin("nav_accounting", "nav_calculation") & line.isin(*NAV_LINES) & present("period") & (c("period_value") != 0))
     had = out.filter("block = 'nav_records' and who is not null").select(c("who").alias("period")).distinct()
-    first = lines.join(had, "period", "left_anti").groupBy("period").agg(F.min(F.struct("domain", "row_id", "period_value")).alias("x"))
+    first = lines.groupBy("period").agg(F.min(F.struct("domain", "row_id", "period_value")).alias("x")).join(had, "period", "left_anti")
     more = first.select(F.lit("nav_records").alias("block"), c("x.row_id").alias("row_id"), F.lit(True).alias("derived"), c("period").alias("who"), c("x.period_value").alias("amount"))
     return out.unionByName(moved, allowMissingColumns=True).unionByName(more, allowMissingColumns=True)
 

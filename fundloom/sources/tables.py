@@ -77,3 +77,8 @@ def ratio(a, b, digits: int = 4) -> Column:
 def rounded(x: Column, digits: int) -> Column:
     """A double rounded after it was scaled, as SQL does: F.round takes the shortest decimal form, in which a sum of weights may lie just below a half."""
     return F.round(x * 10**digits) / 10**digits
+
+
+def few(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df as the broadcast side of a join if it has no more rows than that; beyond, the same join is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
