@@ -130,12 +130,13 @@ def cascade(tables: dict[str, DataFrame], links: list[tuple[str, str, str, str]]
         refers = [(child, column, key) for child, column, parent, key in links if parent == owner]
         if not refers:
             continue
-        had = [tables[child].select(F.col(column).alias(key)) for child, column, key in refers]
-        has = [stay[child].select(F.col(column).alias(key)) for child, column, key in refers]
+        # An owner has many rows that refer to it, so keys are made distinct before they are joined, not after.
+        had = [tables[child].select(F.col(column).alias(key)).distinct() for child, column, key in refers]
+        has = [stay[child].select(F.col(column).alias(key)).distinct() for child, column, key in refers]
         orphans = had[0]
         for x in had[1:]:
             orphans = orphans.unionByName(x)
         for x in has:
-            orphans = orphans.join(x.distinct(), x.columns, "left_anti")
+            orphans = orphans.join(x, x.columns, "left_anti")
         stay[owner] = stay[owner].join(orphans.distinct(), orphans.columns, "left_anti").select(*tables[owner].columns)
     return stay
