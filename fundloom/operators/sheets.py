@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.staging import staged
 from .fundframe import ladder
 from .records import CELLS, cells
 
@@ -179,7 +180,7 @@ def i02_columns(t):
 @query("i02_header_binding", f"WITH {SHEETS} SELECT sheet, row, {', '.join(f'max(trim(raw)) FILTER (canon = {f!r}) AS {f}' for f in FIELDS)} FROM g JOIN bd USING (sheet, col) JOIN facts f USING (sheet, row) WHERE row > header AND NOT f.junk AND NOT f.title GROUP BY 1, 2")
 def i02_rows(t):
     """The sheets' rows by the fields that their columns were bound to."""
-    grid = investment_grid(t)
+    grid = staged(investment_grid(t))
     return extracted(grid, investment_columns(t, grid), FIELDS)
 
 
