@@ -10,7 +10,8 @@ are between distinct fingerprints only, copies join by equality; each posting's
 ``near_duplicates`` is for texts whose sets of five-word shingles have a cosine of at least 0.8, the similarity that a SimHash
 estimates; all texts of a Jaccard similarity of 0.8 are among them. A 64-bit SimHash puts such texts nine bits apart and more,
 so three bits miss most of them; there the positional bytes are min-wise ones (each of 64 positions holds a byte of the
-least shingle hash under its own permutation), with the same index, tally and verification, which is exact on shingles.
+least shingle hash under its own permutation), filed by threes of positions and held against postings' pivots. So no SimHash is indexed there and no postings
+are tallied, a departure from the method; verification is exact on shingles.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; repeated rows are in one
 component; a component's id is its smallest doc_id, null only if all are; an empty table gives an empty result; other columns are ignored.
