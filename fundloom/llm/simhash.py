@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_texts
-from .common import discard, free_name, materialize, settled
+from .common import discard, free_name, materialize, settled, shuffled
 from .components import components
 
 SEED, SHINGLE, BYTES, MAX_BITS = 42, 3, 8, 3
@@ -89,7 +89,7 @@ def star_links(prints: DataFrame) -> DataFrame:
     """prints(fp), each once, to u and v: each with the least of a posting, where they differ in MAX_BITS or fewer bits."""
     posted = filed(prints)
     least = posted.groupBy("block", "bytes").agg(F.min("fp").alias("v"), F.max("fp").alias("most")).filter("v < most").drop("most")
-    return posted.withColumnRenamed("fp", "u").join(least, ["block", "bytes"]).filter((F.col("u") != F.col("v")) & close(F.col("u"), F.col("v"))).select("u", "v").distinct()
+    return posted.withColumnRenamed("fp", "u").join(shuffled(least), ["block", "bytes"]).filter((F.col("u") != F.col("v")) & close(F.col("u"), F.col("v"))).select("u", "v").distinct()
 
 
 def links(prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -98,11 +98,11 @@ def links(prints: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     if roots is None:
         posted = posted.withColumn("root", F.col("fp"))
     else:
-        posted = posted.join(roots.withColumnRenamed("key", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        posted = posted.join(shuffled(roots.withColumnRenamed("key", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         several = posted.groupBy("block", "bytes").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("block", "bytes")
-        posted = posted.join(several, ["block", "bytes"])
+        posted = posted.join(shuffled(several), ["block", "bytes"])
     a, b = posted.select("block", "bytes", F.col("fp").alias("u"), F.col("root").alias("ur")), posted.select("block", "bytes", F.col("fp").alias("v"), F.col("root").alias("vr"))
-    tally = a.join(b, ["block", "bytes"]).filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr"))).groupBy("u", "v").agg(F.count("*").alias("shared"))
+    tally = a.join(shuffled(b), ["block", "bytes"]).filter((F.col("u") > F.col("v")) & (F.col("ur") != F.col("vr"))).groupBy("u", "v").agg(F.count("*").alias("shared"))
     return tally.filter(F.col("shared") >= LEAST_SHARED).filter(close(F.col("u"), F.col("v"))).select("u", "v")
 
 
@@ -195,10 +195,10 @@ def postings(drawn: DataFrame) -> DataFrame:
     """drawn(key, n, words, keys) as bucket and of, a text's sketch with ``near``, how many texts it meets; only of buckets with two texts or more."""
     posted = drawn.select("key", F.explode("keys").alias("bucket"))
     shared = posted.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    posted = materialize(posted.join(shared, "bucket"))
+    posted = materialize(posted.join(shuffled(shared), "bucket"))
     near = posted.groupBy("key").agg(F.sum("size").alias("near"))
-    of = drawn.join(near, "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
-    out = materialize(posted.select("bucket", "key").join(of, "key").select("bucket", "of"))
+    of = drawn.join(shuffled(near), "key").select("key", F.struct("key", "n", "words", "near").alias("of"))
+    out = materialize(posted.select("bucket", "key").join(shuffled(of), "key").select("bucket", "of"))
     discard(posted)
     return out
 
@@ -208,7 +208,7 @@ def near_pivots(posted: DataFrame, similar: float) -> DataFrame:
     seeded = [F.min(F.struct(F.xxhash64(F.lit(i), "of.key").alias("h"), "of"))["of"] for i in range(PIVOTS - 1)]
     pivots = [F.max(F.struct(F.col("of.near").alias("near"), F.col("of.key").alias("key"), "of"))["of"], *seeded]
     chosen = posted.groupBy("bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
-    met = posted.join(chosen, "bucket").select("of", F.explode("pivots").alias("pivot")).filter(F.col("of.key") != F.col("pivot.key")).filter(plausible(F.col("of"), F.col("pivot"), similar))
+    met = posted.join(shuffled(chosen), "bucket").select("of", F.explode("pivots").alias("pivot")).filter(F.col("of.key") != F.col("pivot.key")).filter(plausible(F.col("of"), F.col("pivot"), similar))
     one = F.struct(differing(F.col("of"), F.col("pivot")).alias("differ"), (-F.col("pivot.near")).alias("near"), F.col("pivot.key").alias("v"))
     return met.groupBy(F.col("of.key").alias("u")).agg(F.array_sort(F.collect_set(one)).alias("tried"))
 
@@ -219,11 +219,11 @@ def shared_shingles(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, Data
     label = [F.xxhash64("key").alias("a"), F.xxhash64("key", F.lit(1)).alias("b")]
     own = materialize(sets.join(placed, "key").select("key", "root", "shingles", *label))
     held = own.select("a", "b", F.explode("shingles").alias("h"))
-    met = materialize(held.join(held.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1"), "h"))
+    met = materialize(held.join(shuffled(held.groupBy("h").agg(F.count("*").alias("texts")).filter("texts > 1")), "h"))
     tally = met.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum((F.col("texts") > RARE).cast("long")).alias("often"))
-    texts = own.select("key", "root", "a", "b", F.size("shingles").cast("long").alias("n")).join(tally, ["a", "b"])
+    texts = own.select("key", "root", "a", "b", F.size("shingles").cast("long").alias("n")).join(shuffled(tally), ["a", "b"])
     texts = materialize(texts)
-    return texts, met.filter(F.col("texts") <= RARE).select("h", "a", "b").join(texts, ["a", "b"]).select("h", "key", "root", "n", "often", "common")
+    return texts, met.filter(F.col("texts") <= RARE).select("h", "a", "b").join(shuffled(texts), ["a", "b"]).select("h", "key", "root", "n", "often", "common")
 
 
 def enough(common: Column, n: Column, m: Column, similar: float) -> Column:
@@ -234,7 +234,7 @@ def by_rare_shingles(rare: DataFrame, similar: float) -> DataFrame:
     """u and v, the pairs of different classes with a rare shingle in common that have enough in common if all their frequent ones are."""
     able = rare.filter(F.col("common") >= F.lit(similar * similar) * F.col("n") - 1e-9).drop("common")
     x, y = (able.select("h", *[F.col(c).alias(side + c) for c in ("key", "root", "n", "often")]) for side in "xy")
-    met = x.join(y, "h").filter((F.col("xkey") > F.col("ykey")) & (F.col("xroot") != F.col("yroot")))
+    met = x.join(shuffled(y), "h").filter((F.col("xkey") > F.col("ykey")) & (F.col("xroot") != F.col("yroot")))
     met = met.groupBy("xkey", "ykey", "xn", "yn", "xoften", "yoften").agg(F.count("*").alias("met"))
     return met.filter(enough(F.col("met") + F.least("xoften", "yoften"), F.col("xn"), F.col("yn"), similar)).select(F.col("xkey").alias("u"), F.col("ykey").alias("v"))
 
@@ -255,10 +255,10 @@ def by_frequent_shingles(placed: DataFrame, similar: float) -> DataFrame:
     placed = placed.withColumn("most", F.floor(F.col("often") * F.col("often") / (squared * n) + F.lit(1e-9))).filter(F.col("most") >= least)
     x = placed.select("bucket", F.explode(F.sequence(size_class(least), size_class(F.least(n, F.col("most"))))).alias("cell"), F.col("of").alias("x"), F.col("root").alias("xr"), F.col("most").alias("x_most"))
     y = placed.filter(F.col("most") >= n).select("bucket", size_class(n).alias("cell"), F.col("of").alias("y"), F.col("root").alias("yr"), F.col("most").alias("y_most"))
-    meet = x.select("bucket", "cell", "xr").distinct().join(y.select("bucket", "cell", "yr").distinct(), ["bucket", "cell"]).filter("xr <> yr")
+    meet = x.select("bucket", "cell", "xr").distinct().join(shuffled(y.select("bucket", "cell", "yr").distinct()), ["bucket", "cell"]).filter("xr <> yr")
     smaller = F.struct(F.col("y.n"), F.col("y.key")) < F.struct(F.col("x.n"), F.col("x.key"))
     fits = smaller & (F.col("y.n") <= F.col("x_most")) & (F.col("x.n") <= F.col("y_most"))
-    held = x.join(meet, ["bucket", "cell", "xr"]).join(y, ["bucket", "cell", "yr"]).filter(fits).filter(plausible(F.col("x"), F.col("y"), similar))
+    held = x.join(shuffled(meet), ["bucket", "cell", "xr"]).join(shuffled(y), ["bucket", "cell", "yr"]).filter(fits).filter(plausible(F.col("x"), F.col("y"), similar))
     return held.select(F.col("x.key").alias("u"), F.col("y.key").alias("v"))
 
 
@@ -270,9 +270,9 @@ def across(posted: DataFrame, roots: DataFrame, sets: DataFrame, similar: float)
     """
     placed = posted.select(F.col("of.key").alias("key"), "bucket", "of").join(roots, "key", "left").select("bucket", "of", "key", F.coalesce("root", "key").alias("root"))
     several = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("bucket")
-    placed = materialize(placed.join(several, "bucket"))
+    placed = materialize(placed.join(shuffled(several), "bucket"))
     texts, rare = shared_shingles(placed.select("key", "root").distinct(), sets)
-    frequent = by_frequent_shingles(placed.join(texts.select("key", "often"), "key"), similar)
+    frequent = by_frequent_shingles(placed.join(shuffled(texts.select("key", "often")), "key"), similar)
     return materialize(by_rare_shingles(rare, similar).unionByName(frequent).distinct())
 
 
