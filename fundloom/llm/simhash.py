@@ -10,8 +10,8 @@ are between distinct fingerprints only, copies join by equality; each posting's
 ``near_duplicates`` is for texts whose sets of five-word shingles have a cosine of at least 0.8, the similarity that a SimHash
 estimates; all texts of a Jaccard similarity of 0.8 are among them. A 64-bit SimHash puts such texts nine bits apart and more,
 so three bits miss most of them; there the positional bytes are min-wise ones (each of 64 positions holds a byte of the
-least shingle hash under its own permutation), filed by threes of positions and held against postings' pivots. So no SimHash is indexed there and no postings
-are tallied, a departure from the method; verification is exact on shingles.
+least shingle hash under its own permutation), filed by threes of positions and held against postings' pivots; verification is exact on shingles.
+``deduplicated`` takes both: the classes of op8's fingerprints, by their index and tally, and then what is similar but differs in more bits.
 
 Defined results: a null text is empty; texts without words have fingerprint zero and are linked like any other; repeated rows are in one
 component; a component's id is its smallest doc_id, null only if all are; an empty table gives an empty result; other columns are ignored.
@@ -276,9 +276,25 @@ def across(posted: DataFrame, roots: DataFrame, sets: DataFrame, similar: float)
     return materialize(by_rare_shingles(rare, similar).unionByName(frequent).distinct())
 
 
-def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def sketch_and_print(text: str | None) -> tuple[int, list[int], list[int], int]:
+    return *sketch(text), *fingerprint(text)
+
+
+def print_links(texts: DataFrame) -> DataFrame:
+    """texts(key, fp), each key once, to u and v: each text with the least one of its class of fingerprints. The classes are those of op8."""
+    prints = materialize(texts.groupBy("fp").agg(F.min("key").alias("least"), F.max("key").alias("most")))
+    found = print_classes(prints.select("fp")).withColumnRenamed("key", "fp")
+    rooted = prints.join(shuffled(found), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("v"), F.max("most").alias("most")).filter("v < most")
+    of = rooted.select("fp", "root").join(shuffled(heads.select("root", "v")), "root").select("fp", "v")
+    return texts.select(F.col("key").alias("u"), "fp").join(shuffled(of), "fp").filter("u <> v").select("u", "v")
+
+
+def near_duplicates(docs: DataFrame, similar: float = SIMILAR, prints: bool = False) -> DataFrame:
     """docs(doc_id, text) to key (the text's md5) and root (the least key of its class), one row a distinct text.
 
+    With prints, texts that the inverted index of SimHash fingerprints links are of one class beforehand; what follows finds the similar texts that differ in more bits.
+
     First each text is held against the likeliest pivot of its postings, then against those other pivots that are in another class.
     The pivot that meets most texts is, in a family of copies, their original. Only then are texts of one posting that are still in
     different classes held against each other, where sizes and what they share with any text at all leave room for a link. So a large
@@ -286,14 +302,19 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     words, and no link that matters for the classes is passed over.
     """
     keyed = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    drawn = map_texts(keyed, sketch, "n long, words array<long>, keys array<long>")
-    drawn = materialize(drawn.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "words", "keys")]))
+    fields = ["n long", "words array<long>", "keys array<long>"] + ["fp long"] * prints
+    drawn = map_texts(keyed, sketch_and_print if prints else sketch, ", ".join(fields))
+    drawn = materialize(drawn.groupBy("key").agg(*[F.first(c).alias(c) for c in (f.split()[0] for f in fields)]))
+    roots = materialize(components(print_links(drawn.select("key", "fp"))).select(F.col("node").alias("key"), "root")) if prints else None
     posted = postings(drawn)
     tried = materialize(near_pivots(posted, similar))
     texts = keyed.groupBy("key").agg(F.first("text").alias("text")).join(posted.select("of.key").distinct(), "key", "left_semi")
     sets = materialize(map_texts(texts, shingle_set, "shingles array<long>"))
-    first = verified(tried.select("u", F.col("tried")[0]["v"].alias("v")), sets, similar)
-    roots = materialize(components(first).select(F.col("node").alias("key"), "root"))
+    first = tried.select("u", F.col("tried")[0]["v"].alias("v"))
+    if prints:
+        roots = merged(roots, verified(apart(first, roots), sets, similar))
+    else:
+        roots = materialize(components(verified(first, sets, similar)).select(F.col("node").alias("key"), "root"))
     others = tried.select("u", F.explode(F.slice("tried", 2, PIVOTS * BANDS)).alias("p")).select("u", F.col("p.v").alias("v"))
     roots = merged(roots, verified(apart(others, roots), sets, similar))
     roots = merged(roots, verified(across(posted, roots, sets, similar), sets, similar))
@@ -302,12 +323,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """One row of docs for each class of near-duplicate texts: the one with the least doc_id (null last), then the least other values, then md5."""
+    """One row of docs for each class of near-duplicate texts, by fingerprints or similarity: the one with the least doc_id (null last), then the least other values, then md5."""
     names = []
     for name in ("text_key", "stay_key", "stay_row"):
         names.append(free_name([*docs.columns, *names], name))
     key, stay_key, stay_row = names
-    classes = settled(lambda: near_duplicates(docs.select("doc_id", "text"), similar))
+    classes = settled(lambda: near_duplicates(docs.select("doc_id", "text"), similar, prints=True))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     told = [F.col("doc_id").isNull().alias("_null_id"), F.col("doc_id").alias("_id"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)]]
     keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
