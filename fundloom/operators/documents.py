@@ -29,18 +29,27 @@ PATHS_SQL = "paths(field, steps) AS (VALUES " + ", ".join(f"('{f}', {s!r})" for
 def fund_documents(t) -> DataFrame:
     """company_id and doc, the JSON text of the company's fund document."""
     c, row = F.col, F.struct
-    of = lambda order, one: F.transform(F.array_sort(F.collect_list(F.struct(*order, one.alias("x")))), lambda r: r["x"])
+    # Plain columns are gathered once a table, in order; what a document calls them is added when they are in their list, so that it isn't shuffled.
+    gathered = lambda *columns: F.array_sort(F.collect_list(row(*columns)))
+    of = lambda list_, one: F.transform(list_, one)
     text = lambda x: x.cast("string")
-    oi = t.inv.groupBy("company_id").agg(
-        of(["inv_id"], row(c("cost").alias("commitment_amount"), "stage")).alias("commitments"),
-        of(["inv_id"], row(text(c("d")).alias("call_date"), F.when(c("company_id") % 3 == 0, "").otherwise(text(c("cost"))).alias("total_call_amount"), c("cost").alias("called_amount"))).alias("capital_calls"),
-        of(["inv_id"], row(F.when(c("status") == "O", text(c("cost"))).when(c("status") == "P", "n/a").alias("total_invested"), (c("status") == "O").alias("open"))).alias("portfolio_investments"),
+    oi = t.inv.groupBy("company_id").agg(gathered("inv_id", "cost", "stage", "d", "status").alias("invs"))
+    oi = oi.select(
+        "company_id",
+        of("invs", lambda r: row(r["cost"].alias("commitment_amount"), r["stage"].alias("stage"))).alias("commitments"),
+        of("invs", lambda r: row(text(r["d"]).alias("call_date"), F.when(c("company_id") % 3 == 0, "").otherwise(text(r["cost"])).alias("total_call_amount"), r["cost"].alias("called_amount"))).alias("capital_calls"),
+        of("invs", lambda r: row(F.when(r["status"] == "O", text(r["cost"])).when(r["status"] == "P", "n/a").alias("total_invested"), (r["status"] == "O").alias("open"))).alias("portfolio_investments"),
     )
-    kind = F.when(c("flag") == "R", "Return_of_Capital").when(c("flag") == "N", "LTCG").otherwise("dividend")
-    orc = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(of(["inv_id", "n", "part_id", "payer_id", "gross", "net"], row(kind.alias("distribution_type"), F.when(c("part_id") % 4 != 0, c("net")).alias("total_net_amount"), c("gross").alias("net_amount"))).alias("distributions"))
-    ov = t.val.groupBy(c("holding_id").alias("company_id")).agg(
-        of(["val_id"], row(text(c("d")).alias("valuation_date"), F.when(c("val_id") % 2 == 0, c("fair")).alias("fair_value_of_holding"), c("holding").alias("fv_holding"))).alias("valuations"),
-        of(["val_id"], row(F.when(c("val_id") % 5 != 0, text(c("d"))).alias("nav_date"), F.when(c("val_id") % 7 == 0, "").otherwise(text(c("fair"))).alias("total_nav"))).alias("nav_records"),
+    # By one letter, in the order of the names that it stands for.
+    kind = F.when(c("flag") == "R", "R").when(c("flag") == "N", "L").otherwise("d").alias("kind")
+    named = lambda x: F.when(x == "R", "Return_of_Capital").when(x == "L", "LTCG").otherwise("dividend")
+    orc = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(gathered("inv_id", "n", "part_id", "payer_id", "gross", "net", kind).alias("recs"))
+    orc = orc.select("company_id", of("recs", lambda r: row(named(r["kind"]).alias("distribution_type"), F.when(r["part_id"] % 4 != 0, r["net"]).alias("total_net_amount"), r["gross"].alias("net_amount"))).alias("distributions"))
+    ov = t.val.groupBy(c("holding_id").alias("company_id")).agg(gathered("val_id", "d", "fair", "holding").alias("vals"))
+    ov = ov.select(
+        "company_id",
+        of("vals", lambda r: row(text(r["d"]).alias("valuation_date"), F.when(r["val_id"] % 2 == 0, r["fair"]).alias("fair_value_of_holding"), r["holding"].alias("fv_holding"))).alias("valuations"),
+        of("vals", lambda r: row(F.when(r["val_id"] % 5 != 0, text(r["d"])).alias("nav_date"), F.when(r["val_id"] % 7 == 0, "").otherwise(text(r["fair"])).alias("total_nav"))).alias("nav_records"),
     )
     all_ = t.company.join(oi, "company_id", "left").join(orc, "company_id", "left").join(ov, "company_id", "left")
     master = row(c("company").alias("fund_name"), row(c("sector").alias("name"), "fund").alias("scheme"), (c("company_id") % 20 + 1990).alias("vintage_year"), F.lit("").alias("note"))

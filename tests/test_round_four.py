@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fundloom.functions import paths
+from fundloom.operators import sinks
 from fundloom.operators.documents import PATHS, listed
 from fundloom.sources.tables import Tables
 
@@ -23,3 +24,12 @@ def test_few_paths_repeat_no_document(spark, sf):
     assert got == {(r["company_id"], r["field"]): (r["found"], r["text"], r["number"]) for r in joined} and len(got) == len(PATHS) * len(ODD)
     assert got[0, "committed"] == got[0, "sum_commitments"] == ("number", None, 7.5) and got[0, "nav"] == ("number", None, 3.0) and got[0, "calls"][0] == "object"
     assert got[1, "sum_distributions"] == ("number", None, 1.25) and got[1, "sum_capital_distributions"] == ("number", None, 3.25) and got[1, "committed"] == (None, None, None)
+
+
+def test_files_of_documents_are_small(spark, sf, tmp_path):
+    """The files held the documents as they are, 5.7 times the tables that they are made of and more."""
+    sinks.write_documents(Tables(spark, sf), str(tmp_path / "in"))
+    files = [f for f in (tmp_path / "in").rglob("part-*") if not f.name.endswith(".crc")]
+    written = sum(f.stat().st_size for f in files)
+    held = spark.read.text(str(tmp_path / "in"), recursiveFileLookup=True).agg(F.sum(F.length("value"))).first()[0]
+    assert 5 * written < held
