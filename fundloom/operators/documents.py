@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import COMPUTE, LATEST, SUM, resolve, uncomputed
@@ -26,35 +26,35 @@ PATHS = (
 PATHS_SQL = "paths(field, steps) AS (VALUES " + ", ".join(f"('{f}', {s!r})" for f, s in PATHS) + ")"
 
 
-def fund_documents(t) -> DataFrame:
-    """company_id and doc, the JSON text of the company's fund document."""
+def fund_documents(t, file: Column | None = None) -> DataFrame:
+    """company_id and doc, the JSON text of the company's fund document. With file, which tells company_ids' files, also that, and all documents of a file are in one task.
+
+    All tables' rows are shuffled once, as plain columns; what a document calls them is added when they are in their lists, so neither names nor documents are shuffled.
+    """
     c, row = F.col, F.struct
-    # Plain columns are gathered once a table, in order; what a document calls them is added when they are in their list, so that it isn't shuffled.
-    gathered = lambda *columns: F.array_sort(F.collect_list(row(*columns)))
-    of = lambda list_, one: F.transform(list_, one)
     text = lambda x: x.cast("string")
-    oi = t.inv.groupBy("company_id").agg(gathered("inv_id", "cost", "stage", "d", "status").alias("invs"))
-    oi = oi.select(
-        "company_id",
-        of("invs", lambda r: row(r["cost"].alias("commitment_amount"), r["stage"].alias("stage"))).alias("commitments"),
-        of("invs", lambda r: row(text(r["d"]).alias("call_date"), F.when(c("company_id") % 3 == 0, "").otherwise(text(r["cost"])).alias("total_call_amount"), r["cost"].alias("called_amount"))).alias("capital_calls"),
-        of("invs", lambda r: row(F.when(r["status"] == "O", text(r["cost"])).when(r["status"] == "P", "n/a").alias("total_invested"), (r["status"] == "O").alias("open"))).alias("portfolio_investments"),
-    )
     # By one letter, in the order of the names that it stands for.
     kind = F.when(c("flag") == "R", "R").when(c("flag") == "N", "L").otherwise("d").alias("kind")
     named = lambda x: F.when(x == "R", "Return_of_Capital").when(x == "L", "LTCG").otherwise("dividend")
-    orc = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").groupBy("company_id").agg(gathered("inv_id", "n", "part_id", "payer_id", "gross", "net", kind).alias("recs"))
-    orc = orc.select("company_id", of("recs", lambda r: row(named(r["kind"]).alias("distribution_type"), F.when(r["part_id"] % 4 != 0, r["net"]).alias("total_net_amount"), r["gross"].alias("net_amount"))).alias("distributions"))
-    ov = t.val.groupBy(c("holding_id").alias("company_id")).agg(gathered("val_id", "d", "fair", "holding").alias("vals"))
-    ov = ov.select(
-        "company_id",
-        of("vals", lambda r: row(text(r["d"]).alias("valuation_date"), F.when(r["val_id"] % 2 == 0, r["fair"]).alias("fair_value_of_holding"), r["holding"].alias("fv_holding"))).alias("valuations"),
-        of("vals", lambda r: row(F.when(r["val_id"] % 5 != 0, text(r["d"])).alias("nav_date"), F.when(r["val_id"] % 7 == 0, "").otherwise(text(r["fair"])).alias("total_nav"))).alias("nav_records"),
-    )
-    all_ = t.company.join(oi, "company_id", "left").join(orc, "company_id", "left").join(ov, "company_id", "left")
+    own = t.company.select("company_id", row("company", "sector", "fund", "cash").alias("head"))
+    recs = t.recv.join(t.inv.select("inv_id", "company_id"), "inv_id").select("company_id", row("inv_id", "n", "part_id", "payer_id", "gross", "net", kind).alias("recs"))
+    for more in (t.inv.select("company_id", row("inv_id", "cost", "stage", "d", "status").alias("invs")), recs, t.val.select(c("holding_id").alias("company_id"), row("val_id", "d", "fair", "holding").alias("vals"))):
+        own = own.unionByName(more.filter("company_id is not null"), allowMissingColumns=True)
+    keys = ["company_id"] if file is None else ["file", "company_id"]
+    gathered = (own if file is None else own.withColumn("file", file)).repartition(keys[0]).groupBy(keys).agg(*[F.collect_list(x).alias(x) for x in ("head", "invs", "recs", "vals")])
+    lists = gathered.select(*keys, F.explode("head").alias("h"), *[F.when(F.size(x) > 0, F.array_sort(x)).alias(x) for x in ("invs", "recs", "vals")]).select(*keys, "h.*", "invs", "recs", "vals")
+    of = lambda list_, one: F.transform(list_, one)
+    all_ = lists.withColumns({
+        "commitments": of("invs", lambda r: row(r["cost"].alias("commitment_amount"), r["stage"].alias("stage"))),
+        "capital_calls": of("invs", lambda r: row(text(r["d"]).alias("call_date"), F.when(c("company_id") % 3 == 0, "").otherwise(text(r["cost"])).alias("total_call_amount"), r["cost"].alias("called_amount"))),
+        "portfolio_investments": of("invs", lambda r: row(F.when(r["status"] == "O", text(r["cost"])).when(r["status"] == "P", "n/a").alias("total_invested"), (r["status"] == "O").alias("open"))),
+        "distributions": of("recs", lambda r: row(named(r["kind"]).alias("distribution_type"), F.when(r["part_id"] % 4 != 0, r["net"]).alias("total_net_amount"), r["gross"].alias("net_amount"))),
+        "valuations": of("vals", lambda r: row(text(r["d"]).alias("valuation_date"), F.when(r["val_id"] % 2 == 0, r["fair"]).alias("fair_value_of_holding"), r["holding"].alias("fv_holding"))),
+        "nav_records": of("vals", lambda r: row(F.when(r["val_id"] % 5 != 0, text(r["d"])).alias("nav_date"), F.when(r["val_id"] % 7 == 0, "").otherwise(text(r["fair"])).alias("total_nav"))),
+    })
     master = row(c("company").alias("fund_name"), row(c("sector").alias("name"), "fund").alias("scheme"), (c("company_id") % 20 + 1990).alias("vintage_year"), F.lit("").alias("note"))
     stated = row(c("cash").alias("total_distributions"), F.when(c("company_id") % 4 == 0, c("cash") * 3).alias("fund_nav_latest"), (c("cash") * 2).alias("total_called_capital"))
-    return all_.select("company_id", F.to_json(row(master.alias("fund_master"), stated.alias("fund_performance"), "commitments", "capital_calls", "portfolio_investments", "distributions", "valuations", "nav_records")).alias("doc"))
+    return all_.select(*keys, F.to_json(row(master.alias("fund_master"), stated.alias("fund_performance"), "commitments", "capital_calls", "portfolio_investments", "distributions", "valuations", "nav_records")).alias("doc"))
 
 
 WALK = """w AS (SELECT id, field, steps, CASE WHEN list_position(steps, '__sum__') > 0 THEN list_position(steps, '__sum__') WHEN list_position(steps, '__latest_by__') > 0 THEN list_position(steps, '__latest_by__') ELSE len(steps) + 1 END AS cut, 1 AS i, doc AS cur FROM d, paths WHERE steps[1] <> '__compute__'

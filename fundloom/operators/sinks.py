@@ -25,10 +25,10 @@ def folder(t, name: str) -> str:
 
 
 def write_documents(t, path: str) -> None:
-    """Compressed files of fund documents, each a list over several lines; some are cut. Documents are shuffled once, to the task that writes their file."""
+    """Compressed files of fund documents, each a list over several lines; some are cut. Documents are made where their file is written, so they aren't shuffled."""
     c = F.col
-    docs = fund_documents(t).select("company_id", F.concat(F.lit('{"company_id": '), c("company_id").cast("string"), F.lit(",\n"), F.substring("doc", 2, 1 << 30)).alias("doc"))
-    files = docs.groupBy(F.floor(c("company_id") / A_FILE).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("company_id", "doc"))), lambda x: x["doc"]), ",\n").alias("docs"))
+    docs = fund_documents(t, F.floor(c("company_id") / A_FILE)).select("file", "company_id", F.concat(F.lit('{"company_id": '), c("company_id").cast("string"), F.lit(",\n"), F.substring("doc", 2, 1 << 30)).alias("doc"))
+    files = docs.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("company_id", "doc"))), lambda x: x["doc"]), ",\n").alias("docs"))
     text = F.concat(F.lit("[\n"), c("docs"), F.lit("\n]\n"))
     files.select("file", F.when(c("file") % 10 == 3, F.left(text, F.length(text) - 40)).otherwise(text).alias("value")).write.partitionBy("file").text(path, compression="gzip")
 
