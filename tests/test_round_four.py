@@ -27,7 +27,7 @@ def test_few_paths_repeat_no_document(spark, sf):
 
 
 def test_files_of_documents_are_small(spark, sf, tmp_path):
-    """The files held the documents as they are, 5.7 times the tables that they are made of and more."""
+    """The files held the documents' text as it is; they are compressed."""
     sinks.write_documents(Tables(spark, sf), str(tmp_path / "in"))
     files = [f for f in (tmp_path / "in").rglob("part-*") if not f.name.endswith(".crc")]
     written = sum(f.stat().st_size for f in files)
